@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,7 +58,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], key: str = "doc_id", text: st
     for batch in batches:
         keys = batch.column(batch.schema.get_field_index(key))
         column = batch.column(batch.schema.get_field_index(text))
-        sizes = np.cumsum(np.nan_to_num(np.asarray(pa.compute.binary_length(column).to_numpy(zero_copy_only=False), dtype=np.float64)))
+        sizes = np.cumsum(np.nan_to_num(np.asarray(pc.binary_length(column).to_numpy(zero_copy_only=False), dtype=np.float64)))
         at, n = 0, len(column)
         while at < n:
             base = sizes[at - 1] if at else 0.0

@@ -88,7 +88,8 @@ def bounded_ids(labels: DataFrame, label: str, bound: int, seed: int = 7) -> Dat
     return hashed.filter(near).withColumn("_r", rank).filter(F.col("_r") <= bound).select("doc_id", label)
 
 
-def fitted_rows(docs: DataFrame, ids: DataFrame, columns: list[str], chars: int) -> list:
-    """Brings a bounded sample to the driver: the rows of `docs` named by `ids` (see bounded_ids), `chars` characters of each at most."""
-    pick = docs.select("doc_id", F.substring("text", 1, chars).alias("text")).join(F.broadcast(ids), "doc_id")
-    return sorted(pick.select("doc_id", "text", *columns).collect(), key=lambda r: (r["doc_id"], r["text"] or ""))
+def fitted_rows(docs: DataFrame, ids: DataFrame, label: str, chars: int, on: tuple[str, ...] = ("doc_id",)) -> list:
+    """Brings a bounded sample to the driver: the rows of `docs` that `ids` (see bounded_ids) names, `chars` characters of each at most."""
+    keys = [c for c in on if c != "doc_id"]
+    pick = docs.select("doc_id", *keys, F.substring("text", 1, chars).alias("text")).join(F.broadcast(ids), list(on))
+    return sorted(pick.select("doc_id", "text", label).collect(), key=lambda r: (r["doc_id"], r["text"] or "", str(r[label])))

@@ -200,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
     shares = {int(r[0]): r[1] for r in known.groupBy(label).count().collect()}
     if len(shares) < 2:
         return Model({}, None, float(next(iter(shares), 0.5)))
-    rows = fitted_rows(docs, bounded_ids(known, label, per_label), [label], FIT_CHARS)
+    rows = fitted_rows(docs, bounded_ids(known, label, per_label), label, FIT_CHARS)
     texts, y = [r["text"] for r in rows], np.array([r[label] for r in rows])
     if len(set(y.tolist())) < 2:
         return Model({}, None, shares.get(1, 0) / sum(shares.values()))

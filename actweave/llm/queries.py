@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, quality, simhash
+from . import ann, langid, quality, simhash, spm, toxicity
 from .common import table
 
 
@@ -17,6 +17,20 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predicted(docs, langid.fit(docs))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.digests(table(spark, sf_dir, "documents"), spm.Vocabulary.read())
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.scored(docs, toxicity.fit(docs, labels))
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -24,7 +38,10 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_quality": op4_quality,
     "op5_simhash": op5_simhash,
+    "op6_language": op6_language,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_nearest": op9_nearest,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, langid, quality, simhash, spm, toxicity
+from . import ann, chat, langid, pii, quality, simhash, spm, toxicity
 from .common import table
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotated(table(spark, sf_dir, "conversations"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.scored(docs, quality.fit(docs, labels))
@@ -22,6 +26,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted(docs, langid.fit(docs))
 
 
+def op7_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.digests(table(spark, sf_dir, "documents"), spm.Vocabulary.read())
 
@@ -36,12 +44,14 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_chat": op2_chat,
     "op4_quality": op4_quality,
     "op5_simhash": op5_simhash,
     "op6_language": op6_language,
+    "op7_personal": op7_personal,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_nearest": op9_nearest,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op2_chat": chat.ORACLE}

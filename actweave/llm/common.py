@@ -93,3 +93,15 @@ def fitted_rows(docs: DataFrame, ids: DataFrame, label: str, chars: int, on: tup
     keys = [c for c in on if c != "doc_id"]
     pick = docs.select("doc_id", *keys, F.substring("text", 1, chars).alias("text")).join(F.broadcast(ids), list(on))
     return sorted(pick.select("doc_id", "text", label).collect(), key=lambda r: (r["doc_id"], r["text"] or "", str(r[label])))
+
+
+#: Up to so many ids (8 bytes each) are broadcast to filter a table; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id is not among `ids`(doc_id, no nulls); rows with a null id stay. `ids` must be a written table."""
+    small = ids.select(F.col("doc_id").alias("_gone")).distinct()
+    if small.count() <= BROADCAST_IDS:
+        small = F.broadcast(small)
+    return docs.join(small, docs["doc_id"] == small["_gone"], "left_anti")

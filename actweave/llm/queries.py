@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, langid, pii, quality, simhash, spm, toxicity
+from . import ann, chat, decontam, langid, pii, quality, simhash, spm, toxicity
 from .common import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotated(table(spark, sf_dir, "conversations"))
 
@@ -44,6 +48,7 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_chat": op2_chat,
     "op4_quality": op4_quality,
     "op5_simhash": op5_simhash,

@@ -4,14 +4,17 @@ The automaton reads a segment once. At every position its output links name the
 position's state. For a unigram model the state is the best sum of scores. For a merge (BPE) model sums of scores do not give
 the model's own encoding, so the state is the last piece, and a piece relaxes it if the merges of the joined pair give that
 very pair back; exactly one piece does, and the path is the encoding that the merges give.
-No piece holds a space mark after another character, so text is cut before each run of space marks and segments are encoded
-alone and remembered.
+No piece holds a space mark after another character, so text is cut into words before each run of space marks; a word is cut again
+between two characters that stand together in no piece. Words and what they are cut into are encoded alone and remembered.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+import math
+import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -26,8 +29,8 @@ from .common import text_slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Segments and pairs that a worker remembers; when full, it forgets them.
-REMEMBERED = 150_000
+#: Words, and pairs of pieces, that a worker remembers; when full, it forgets them.
+REMEMBERED = 400_000
 #: Longer segments are encoded but not remembered.
 LONG = 64
 
@@ -42,8 +45,10 @@ class Vocabulary:
     special: frozenset[int]
     unknown: int
     merges: bool
-    seen: dict[str, tuple[int, ...]] = field(default_factory=dict)
-    fits: dict[tuple[int, int], bool] = field(default_factory=dict)
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
+    seen: dict[str, bytes] = field(default_factory=dict)
+    fits: dict[int, bool] = field(default_factory=dict)
+    courses: dict[int, tuple | None] = field(default_factory=dict)
 
     @classmethod
     def read(cls, path: str = MODEL, merges: bool | None = None) -> Vocabulary:
@@ -63,12 +68,17 @@ class Vocabulary:
         return out
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("automaton", "ids", "texts")} | {"seen": {}, "fits": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("automaton", "ids", "texts", "together")} | {"seen": {}, "fits": {}, "courses": {}}
 
     @cached_property
     def ids(self) -> dict[str, int]:
         return {x: i for i, x in enumerate(self.pieces) if i not in self.special}
 
+    @cached_property
+    def together(self) -> frozenset[str]:
+        """Pairs of characters that stand together in a piece."""
+        return frozenset(x[k : k + 2] for x in self.ids for k in range(len(x) - 1))
+
     @cached_property
     def automaton(self):
         import ahocorasick
@@ -85,8 +95,8 @@ class Vocabulary:
         own = {b: None for b in self.byte_ids}
         return [own.get(i, "" if i in self.special and i not in own else x.replace(MARK, " ")) for i, x in enumerate(self.pieces)]
 
-    def _merged(self, parts: list[str]) -> list[str]:
-        """Merges neighbours, best score first and leftmost among equals, until none can be merged."""
+    def _merges(self, parts: list[str]) -> Iterator[tuple[float, list[str]]]:
+        """Merges neighbours, best score first and leftmost among equals; after each merge its rank (the score's negative) and the parts, "" for those merged away."""
         left, right = list(range(-1, len(parts) - 1)), [*range(1, len(parts)), -1]
         parts = list(parts)
         ids, scores, heap = self.ids, self.scores, []
@@ -98,7 +108,7 @@ class Vocabulary:
         for k in range(len(parts)):
             offer(k)
         while heap:
-            _, k, a, b = heapq.heappop(heap)
+            rank, k, a, b = heapq.heappop(heap)
             if parts[k] != a or right[k] < 0 or parts[right[k]] != b:
                 continue  # one of the two has been merged since
             gone = right[k]
@@ -107,88 +117,150 @@ class Vocabulary:
                 left[right[k]] = k
             offer(k)
             offer(left[k])
+            yield rank, parts
+
+    def _merged(self, parts: list[str]) -> list[str]:
+        for _, parts in self._merges(parts):  # noqa: B007, B020, PLR1704
+            pass
         return [x for x in parts if x]
 
+    def _course(self, i: int) -> tuple | None:
+        """How piece i comes about alone: (first parts, last parts, ranks), parts at the edges before and after each merge; None if it does not."""
+        if i not in self.courses:
+            text = list(self.pieces[i])
+            first, last, ranks, parts = [text[0]], [text[-1]], [], text
+            for rank, parts in self._merges(text):  # noqa: B007
+                ranks.append(rank)
+                first.append(parts[0])
+                last.append(next(x for x in reversed(parts) if x))
+            self.courses[i] = (first, last, [*ranks, math.inf]) if [x for x in parts if x] == [self.pieces[i]] else None
+        return self.courses[i]
+
     def _fit(self, a: int, b: int) -> bool:
-        """Whether piece b can follow piece a (-1: it starts the segment) in an encoding by merges."""
-        got = self.fits.get((a, b))
-        if got is None:
-            if len(self.fits) > 4 * REMEMBERED:
-                self.fits.clear()
-            want = [self.pieces[b]] if a < 0 else [self.pieces[a], self.pieces[b]]
-            got = self.fits[a, b] = self._merged(list("".join(want))) == want
-        return got
+        """Whether piece b can follow piece a (-1: it starts the segment) in an encoding by merges: no merge over their border comes first."""
+        to = self._course(b)
+        if to is None:
+            return False
+        if a < 0:
+            return True
+        _, last, ranks_a = self._course(a)
+        first, _, ranks_b = to
+        ids, scores, m, n = self.ids, self.scores, 0, 0
+        while True:
+            over = ids.get(last[m] + first[n])
+            rank_a, rank_b = ranks_a[m], ranks_b[n]
+            if over is not None and -scores[over] < rank_a and -scores[over] <= rank_b:
+                return False
+            if rank_a <= rank_b:
+                if rank_a == math.inf:
+                    return True
+                m += 1
+            else:
+                n += 1
 
     def _fallback(self, char: str) -> tuple[int, ...]:
         return tuple(self.byte_ids[b] for b in char.encode("utf-8")) if self.byte_ids else (self.unknown,)
 
-    def segment(self, s: str) -> tuple[int, ...]:
-        """Ids of one segment: a run of space marks and what follows up to the next one."""
+    def _whole(self, parts: list[str]) -> list[int]:
+        return list(chain.from_iterable((self.ids[x],) if x in self.ids else self._fallback(x) for x in parts))
+
+    def segment(self, s: str) -> list[int]:
+        """Ids of one segment, by one pass of the automaton."""
         if self.merges and s.startswith(MARK * 2):  # runs of marks tie in score: merged as they stand
-            parts = self._merged(list(s)) if len(s) <= LONG else self._merged(list(s[: (m := len(s) - len(s.lstrip(MARK))) - 1])) + [""]
-            if parts[-1] == "":
-                return tuple(chain.from_iterable((self.ids[x],) if x in self.ids else self._fallback(x) for x in parts[:-1])) + self.segment(s[m - 1 :])
-            return tuple(chain.from_iterable((self.ids[x],) if x in self.ids else self._fallback(x) for x in parts))
+            marks = len(s) - len(s.lstrip(MARK))
+            if len(s) <= LONG:
+                return self._whole(self._merged(list(s)))
+            if marks == len(s):
+                return self._whole(self._merged(list(s)))
+            return self._whole(self._merged(list(s[: marks - 1]))) + self.segment(s[marks - 1 :])
         n = len(s)
-        last: list[tuple[int, int] | None] = [None] * (n + 1)  # (piece, its length); piece -1: bytes of a character
-        best = [0.0] + [-1e300] * n
-        last[0] = (-1, 0)
-        at, low = 1, min(self.scores, default=0.0) - 10
-        merges, fit = self.merges, self._fit
-
-        def close(upto: int) -> None:  # positions that no piece has reached: the character stands alone, as bytes
-            nonlocal at
-            while at <= upto:
-                if last[at] is None and last[at - 1] is not None and s[at - 1] not in self.ids:
-                    last[at], best[at] = (-1, 1), best[at - 1] + low
-                at += 1
-
-        for end, (size, i, score) in self.automaton.iter(s):
-            close(end)
-            start = end + 1 - size
-            before = last[start]
-            if before is None:
-                continue
-            if merges:
-                if last[end + 1] is None and fit(before[0], i):
-                    last[end + 1] = (i, size)
-            elif best[start] + score > best[end + 1]:
-                best[end + 1], last[end + 1] = best[start] + score, (i, size)
-        close(n)
-        out: list[tuple[int, ...]] = []
+        piece, size_of = [-2] * (n + 1), [0] * (n + 1)  # the last piece up to each position; -2: none yet, -1: bytes of a character
+        piece[0] = -1
+        if self.merges:
+            fits, fit, at = self.fits, self._fit, 1
+            for end, (size, i, _) in self.automaton.iter(s):
+                end += 1
+                if piece[end] != -2:
+                    continue
+                while at < end:  # positions that no piece has reached: the character stands alone, as bytes
+                    if piece[at] == -2:
+                        piece[at], size_of[at] = -1, 1
+                    at += 1
+                before = piece[end - size]
+                pair = before * 1048576 + i
+                ok = fits.get(pair)
+                if ok is None:
+                    if len(fits) > REMEMBERED:
+                        fits.clear()
+                    ok = fits[pair] = fit(before, i)
+                if ok:
+                    piece[end], size_of[end] = i, size
+            for k in range(at, n + 1):
+                if piece[k] == -2:
+                    piece[k], size_of[k] = -1, 1
+        else:
+            best, low, at = [0.0] + [-math.inf] * n, min(self.scores, default=0.0) - 10, 1
+            ids = self.ids
+
+            def alone(upto: int) -> None:  # a character that is no piece can stand as bytes
+                for k in range(at, upto + 1):
+                    if s[k - 1] not in ids and best[k - 1] + low > best[k]:
+                        best[k], piece[k], size_of[k] = best[k - 1] + low, -1, 1
+
+            for end, (size, i, score) in self.automaton.iter(s):
+                alone(end)
+                at = end + 1
+                if best[at - size] + score > best[at]:
+                    best[at], piece[at], size_of[at] = best[at - size] + score, i, size
+            alone(n)
+        out: list[int] = []
         while n:
-            i, size = last[n]
-            out.append((i,) if i >= 0 else self._fallback(s[n - 1]))
-            n -= size
-        return tuple(chain.from_iterable(reversed(out)))
+            i = piece[n]
+            if i >= 0:
+                out.append(i)
+            else:
+                out.extend(reversed(self._fallback(s[n - 1])))
+            n -= size_of[n]
+        out.reverse()
+        return out
 
-    def _ids_of(self, word: str) -> tuple[int, ...]:
+    def _code(self, word: str) -> bytes:
+        """Ids of a word, as little-endian 32-bit integers."""
         got = self.seen.get(word)
         if got is None:
-            got = self.segment(word)
+            cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in self.together]
+            if cuts:
+                got = b"".join([self._code(word[a:b]) for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)])
+            else:
+                ids = self.segment(word)
+                got = struct.pack(f"<{len(ids)}I", *ids)
             if len(word) <= LONG:
                 if len(self.seen) > REMEMBERED:
                     self.seen.clear()
                 self.seen[word] = got
         return got
 
-    def encode(self, text: str | None) -> list[int]:
-        """Ids of a whole text, whose spaces become marks behind one mark put first; null and empty texts have none."""
+    def encode_bytes(self, text: str | None) -> bytes:
+        """Ids of a whole text as little-endian 32-bit integers: its spaces become marks behind one mark put first; null and empty texts have none."""
         if not text:
-            return []
+            return b""
         words = text.replace(MARK, " ").split(" ")
-        seen, known = self.seen, self._ids_of
-        out: list[tuple[int, ...]] = []
-        marks = 0
+        get, known = self.seen.get, self._code
+        if "" not in words:
+            return b"".join([get(w) or known(w) for w in map(MARK.__add__, words)])
+        out, marks = [], 0
         for w in words:
             marks += 1
             if w:
-                key = MARK + w if marks == 1 else MARK * marks + w
-                out.append(seen.get(key) or known(key))
+                w = MARK * marks + w
+                out.append(get(w) or known(w))
                 marks = 0
         if marks:
             out.append(known(MARK * marks))
-        return list(chain.from_iterable(out))
+        return b"".join(out)
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.encode_bytes(text), dtype="<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: marks are spaces, the first one is dropped, runs of byte pieces are read as UTF-8."""
@@ -210,6 +282,16 @@ class Vocabulary:
         return out[1:] if out.startswith(" ") else out
 
 
+#: The vocabulary that a worker used last, with what it remembers from one task to the next.
+_LAST: list[Vocabulary] = []
+
+
+def _kept(vocabulary: Vocabulary) -> Vocabulary:
+    if not _LAST or _LAST[0].key != vocabulary.key:
+        _LAST[:] = [vocabulary]
+    return _LAST[0]
+
+
 def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """`docs` with `pieces` array<int>, the ids of each row's whole text; null and empty texts have an empty array.
 
@@ -220,15 +302,15 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     schema = docs.select("*", F.array().cast("array<int>").alias("pieces")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
+        v = _kept(shared.value)
         for batch in batches:
             at = 0
             texts = batch.column(batch.schema.get_field_index("text"))
             rows = pa.RecordBatch.from_arrays([texts, texts], ["doc_id", "text"])
             for _, part in text_slices([rows]):
-                ids = [v.encode(t) for t in part]
-                sizes = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes[-1]))
+                ids = [v.encode_bytes(t) for t in part]
+                sizes = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+                flat = np.frombuffer(b"".join(ids), dtype="<i4")
                 own = batch.slice(at, len(part))
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))], [*own.schema.names, "pieces"])
                 at += len(part)
@@ -259,18 +341,18 @@ def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
+        v = _kept(shared.value)
         own = np.zeros(len(v.pieces), dtype=bool)
         own[v.byte_ids] = True
         for keys, texts in text_slices(batches):
             n, raw, sha, back = [], [], [], []
             for t in texts:
-                ids = v.encode(t)
-                flat = np.array(ids, dtype="<u4")
-                n.append(len(ids))
+                code = v.encode_bytes(t)
+                flat = np.frombuffer(code, dtype="<u4")
+                n.append(len(flat))
                 raw.append(int(own[flat].sum()))
-                sha.append(hashlib.sha256(flat.tobytes()).hexdigest())
-                back.append(v.decode(ids) == (t or "").replace(MARK, " "))
+                sha.append(hashlib.sha256(code).hexdigest())
+                back.append(v.decode(flat.tolist()) == (t or "").replace(MARK, " "))
             yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), pa.array(raw, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.bool_())], ["doc_id", "n_pieces", "n_byte_pieces", "pieces_sha256", "round_trip"])
 
     out = "doc_id long, n_pieces long, n_byte_pieces long, pieces_sha256 string, round_trip boolean"

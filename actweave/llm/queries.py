@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, decontam, langid, pii, quality, simhash, spm, toxicity
+from . import ann, chat, decontam, langid, pii, quality, simhash, spm, substring, toxicity
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotated(table(spark, sf_dir, "conversations"))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicated(table(spark, sf_dir, "documents"), texts=False).drop("kept")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.scored(docs, quality.fit(docs, labels))
@@ -50,6 +54,7 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_chat": op2_chat,
+    "op3_substrings": op3_substrings,
     "op4_quality": op4_quality,
     "op5_simhash": op5_simhash,
     "op6_language": op6_language,
@@ -59,4 +64,4 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL = {"op2_chat": chat.ORACLE}
+ORACLE_SQL = {"op2_chat": chat.ORACLE, "op3_substrings": substring.ORACLE}

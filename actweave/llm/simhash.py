@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_slices
+from .common import materialize, text_slices, without
 from .components import components
 
 SEED = 42
@@ -210,11 +210,30 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, budget: int = BUDGET) -
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies")
 
 
+def _with_print(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """`docs` with the column `_fp`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = np.array([fingerprint(t.as_py(), words) for t in batch.column(batch.schema.get_field_index("text"))], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp)], [*batch.schema.names, "_fp"])
+
+    return docs.mapInArrow(run, docs.select("*", F.lit(0).cast("long").alias("_fp")).schema)
+
+
 def kept(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay after near-duplicate removal: of each component, the row with the smallest doc_id.
 
-    Whole rows that repeat that smallest id are reduced to one. Rows without an id stay, as nothing can name them.
+    Of rows that share their id and stay, one does. Rows without an id stay, as nothing can name them.
     """
-    found = near_duplicates(docs.filter(F.col("doc_id").isNotNull())).filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    stay = docs.join(found, docs["doc_id"] == found["_id"], "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.filter(F.col("doc_id").isNull()))
+    near = materialize(near_duplicates(docs.filter(F.col("doc_id").isNotNull())))
+    again = materialize(near.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    gone = near.filter("doc_id <> component_id").select("doc_id")
+    if not again.count():
+        return without(docs, materialize(gone))
+    out = without(docs, materialize(gone.unionByName(again).distinct()))
+    # rows that share an id are told apart by their fingerprints
+    rows = _with_print(docs.join(again.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left_semi"))
+    low = near.select(F.conv("fingerprint", 16, -10).cast("long").alias("_f"), "component_id").distinct()
+    stay = rows.join(low, (F.col("_fp") == F.col("_f")) & (F.col("doc_id") == F.col("component_id")), "left_semi")
+    return out.unionByName(stay.drop("_fp").dropDuplicates(["doc_id"]))

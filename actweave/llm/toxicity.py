@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,7 +32,9 @@ FOLDS, HELD, THRESHOLD, SPAN = 4, 2, 0.3, 0.5
 #: A feature marks toxic tokens if it occurs in RATIO times more families of toxic texts than of clean ones, by share, in LEAST at
 #: least, and not by chance: the expected share of false marks is FALSE (Benjamini and Hochberg).
 RATIO, LEAST, FALSE = 8.0, 4, 0.02
-CACHE = 120_000
+CACHE = 300_000
+#: What a worker remembers from one task to the next, of the model it used last.
+_REMEMBERED: list = []
 _CORE = re.compile(r"[^\W_]+", re.U)
 #: Signs that stand for letters.
 LEET = str.maketrans("013457@$", "oieastas")
@@ -48,12 +51,19 @@ def core_of(word: str) -> str:
     return low
 
 
-def features_of(core: str) -> list[str]:
-    return ["w:" + core, *(f"p{k}:{core[:k]}" for k in (4, 5, 6) if len(core) > k), *(f"s{k}:{core[-k:]}" for k in (4,) if len(core) > k), f"l:{min(len(core), 12)}"]
+def features_of(core: str) -> list[tuple[str, int]]:
+    """The word itself (0) and its first letters (4 to 6)."""
+    n = len(core)
+    if n <= 4:
+        return [(core, 0)]
+    if n <= 6:
+        return [(core, 0), (core[:4], 4)] if n == 5 else [(core, 0), (core[:4], 4), (core[:5], 5)]
+    return [(core, 0), (core[:4], 4), (core[:5], 5), (core[:6], 6)]
 
 
-def bucket(feature: str) -> int:
-    return xxhash.xxh32_intdigest(feature.encode("utf-8", "surrogatepass")) % BUCKETS
+def bucket(feature: tuple[str, int]) -> int:
+    text, kind = feature
+    return xxhash.xxh32_intdigest(text if text.isascii() else text.encode("utf-8", "surrogatepass"), kind) % BUCKETS
 
 
 @dataclass
@@ -92,6 +102,24 @@ class Field:
         post /= post.sum(axis=2, keepdims=True)
         return post[:, :, 1].T, pairs
 
+    def posteriors(self, toxic: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The marginals alone, by the odds of the two states."""
+        (t00, t01), (t10, t11) = np.exp(self.step)
+        e = np.exp(np.clip(toxic.T, -30, 30))
+        width = len(e)
+        f, g = np.empty_like(e), np.ones_like(e)
+        f[0] = np.exp(self.start[1] - self.start[0]) * e[0]
+        for k in range(1, width):
+            f[k] = e[k] * (t01 + t11 * f[k - 1]) / (t00 + t10 * f[k - 1])
+        short = length < width
+        for k in range(width - 2, -1, -1):
+            x = e[k + 1] * g[k + 1]
+            g[k] = (t10 + t11 * x) / (t00 + t01 * x)
+            if k >= length.min() - 1:
+                g[k][short & (length <= k + 1)] = 1.0
+        odds = f * g
+        return (odds / (1 + odds)).T
+
 
 def runs(ids: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
     """Token ids cut into rows of RUN, filled up with `none`; the row lengths."""
@@ -150,6 +178,7 @@ class Model:
     field_: Field | None
     weights: np.ndarray = field(default_factory=lambda: np.zeros(4))
     constant: float = 0.5
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
 @dataclass
@@ -160,21 +189,27 @@ class Words:
     rows: dict[str, int] = field(default_factory=dict)
     table: np.ndarray = field(default_factory=lambda: np.zeros((CACHE + 1, 3)))
 
+    def __post_init__(self):
+        self.weights = self.model.own.tolist(), self.model.before.tolist(), self.model.after.tolist()
+
     def ids(self, words: list[str]) -> np.ndarray:
-        if len(self.rows) + len(words) > CACHE and len(self.rows) + len({w for w in words if w not in self.rows}) > CACHE:
-            self.rows.clear()
-        rows, get = self.rows, self.rows.get
+        get, rows = self.rows.get, self.rows
         out = [get(w, -1) for w in words]
         if -1 in out:
-            for at, k in enumerate(out):
-                if k < 0:
-                    w = words[at]
-                    if w not in rows:
-                        rows[w] = len(rows)
-                        core = core_of(w)
-                        word = bucket("w:" + core)
-                        self.table[rows[w]] = self.model.own[[bucket(x) for x in features_of(core)]].sum(), self.model.before[word], self.model.after[word]
-                    out[at] = rows[w]
+            fresh = list(dict.fromkeys(w for w, k in zip(words, out, strict=True) if k < 0))
+            if len(rows) + len(fresh) > CACHE:
+                rows.clear()
+                fresh = list(dict.fromkeys(words))
+            own, before, after = self.weights
+            new = []
+            for w in fresh:
+                kinds = features_of(core_of(w))
+                word = bucket(kinds[0])
+                new.append((own[word] + sum([own[bucket(x)] for x in kinds[1:]]), before[word], after[word]))
+            first = len(rows)
+            self.table[first : first + len(new)] = new
+            rows.update(zip(fresh, range(first, first + len(fresh)), strict=True))
+            out = [rows[w] for w in words]
         return np.array(out, dtype=np.int64)
 
     def marginals(self, words: list[str]) -> np.ndarray:
@@ -184,7 +219,7 @@ class Words:
             ids = self.ids(words[at : at + CACHE // 2])
             x, n = runs(ids, CACHE)
             left, right = _shifted(x, CACHE)
-            p, _ = self.model.marginals(self.table[x, 0] + self.table[left, 1] + self.table[right, 2], n)
+            p = self.model.posteriors(self.table[x, 0] + self.table[left, 1] + self.table[right, 2], n)
             found.append(p.ravel()[: len(ids)])
         return np.concatenate(found) if found else np.zeros(0)
 
@@ -197,7 +232,7 @@ class Words:
         parts = [runs(ids[a:b], CACHE) for a, b in zip(cut[:-1], cut[1:], strict=True)]
         x, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         left, right = _shifted(x, CACHE)
-        p, _ = self.model.marginals(self.table[x, 0] + self.table[left, 1] + self.table[right, 2], n)
+        p = self.model.posteriors(self.table[x, 0] + self.table[left, 1] + self.table[right, 2], n)
         rows = np.cumsum([0, *(len(q[0]) for q in parts)])
         return [p[a:b].ravel()[: len(t)] for a, b, t in zip(rows[:-1], rows[1:], texts, strict=True)]
 
@@ -212,14 +247,14 @@ def _family(words: list[str]) -> int:
     return min((xxhash.xxh64_intdigest(" ".join(words[k : k + 5]).encode("utf-8", "surrogatepass")) for k in range(max(1, len(words) - 4))), default=0)
 
 
-def token_labels(texts: list[list[str]], toxic: list[bool]) -> set[str]:
+def token_labels(texts: list[list[str]], toxic: list[bool]) -> set[tuple[str, int]]:
     """Features that mark toxic tokens: those in clearly more families of toxic texts than of clean ones."""
     where = (defaultdict(set), defaultdict(set))
     families: tuple[set, set] = (set(), set())
     for cores, t in zip(texts, toxic, strict=True):
         family = _family(cores)
         families[t].add(family)
-        for x in {x for c in set(cores) if len(c) > 2 for x in features_of(c) if x[:2] in ("w:", "p4", "p5", "p6")}:
+        for x in {x for c in set(cores) if len(c) > 2 for x in features_of(c)}:
             where[t][x].add(family)
     share = len(families[1]) / max(1, len(families[0]) + len(families[1]))
     tested = sorted((_tail(len(own), len(own) + len(where[0].get(x, ())), share), x) for x, own in where[1].items() if len(own) >= LEAST)
@@ -288,6 +323,12 @@ def _field_of(texts: list[list[str]], y: np.ndarray) -> Field:
     return train_field(x, n, (hit[x] & (of == 1)[:, None]).astype(np.int64), buckets, words)
 
 
+def _words(model: Model) -> Words:
+    if not _REMEMBERED or _REMEMBERED[0].key != model.key:
+        _REMEMBERED[:] = [model, Words(model.field_)]
+    return _REMEMBERED[1]
+
+
 def _spans(text: str, p: np.ndarray, found: list[re.Match]) -> list[str]:
     out, at = [], None
     for k, q in enumerate([*p, 0.0]):
@@ -312,7 +353,7 @@ def scored(docs: DataFrame, model: Model, folds: int = FOLDS, held: int = HELD,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        table = Words(m.field_) if m.field_ else None
+        table = _words(m) if m.field_ else None
         for keys, texts in text_slices(batches):
             if table is None:
                 score, spans = [m.constant] * len(texts), [""] * len(texts)

@@ -20,6 +20,10 @@ def test_marginals_match_enumeration():
         weight[y] = np.exp(f.start[y[0]] + sum(e[0, k] * y[k] for k in range(n)) + sum(f.step[a, b] for a, b in zip(y[:-1], y[1:], strict=True)))
     z = sum(weight.values())
     assert np.allclose(p[0, :n], [sum(w for y, w in weight.items() if y[k]) / z for k in range(n)])
+    assert np.allclose(f.posteriors(e, np.array([n]))[0, :n], p[0, :n])
+    rows, sizes = rng.normal(size=(40, toxicity.RUN)), rng.integers(1, toxicity.RUN + 1, 40)
+    for got, full, size in zip(f.posteriors(rows, sizes), f.marginals(rows, sizes)[0], sizes, strict=True):
+        assert np.allclose(got[:size], full[:size])
     want = np.array([[sum(w * sum((a, b) == (i, j) for a, b in zip(y[:-1], y[1:], strict=True)) for y, w in weight.items()) / z for j in (0, 1)] for i in (0, 1)])
     assert np.allclose(pairs[0], want)
 

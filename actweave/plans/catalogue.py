@@ -1,34 +1,465 @@
-"""The driver-facing queries, each with the SQL that must give the same rows."""
+"""The driver-facing queries over the star schema, each with the SQL that must give the same rows.
+
+The tables stand in for a corpus: customer → orders → lineitem is act → article → paragraph, lineitem's (supplier, part) pairs are citations,
+documents are paragraphs, embeddings their vectors, events usage records, conversations transcripts and pages portal cards.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from actweave.functions import text as tx
+from actweave.operators import graph, ranking
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    """Registers a query under its name, with its oracle if SQL can express it."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
 
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+def _t(spark: SparkSession, sf_dir: str, *names: str):
+    found = [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names]
+    return found if len(found) > 1 else found[0]
 
-def top_cited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges orders → customer's nation: the ten nations with the most incoming edges."""
-    orders, customer, nation = (_t(spark, sf_dir, n) for n in ("orders", "customer", "nation"))
+
+@query("""SELECT n_nationkey, n_name, CAST(count(*) AS BIGINT) AS citations FROM orders
+    JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+    GROUP BY n_nationkey, n_name ORDER BY citations DESC, n_nationkey LIMIT 10""")
+def top_cited(spark, sf_dir):
+    """Edges order → nation: the ten targets with the most incoming edges. Counts by customer come before any join."""
+    orders, customer, nation = _t(spark, sf_dir, "orders", "customer", "nation")
     per = orders.groupBy("o_custkey").count()
     return (
         per.join(customer.select("c_custkey", "c_nationkey"), per.o_custkey == F.col("c_custkey"))
         .groupBy("c_nationkey")
         .agg(F.sum("count").alias("citations"))
-        .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .select("n_nationkey", "n_name", "citations")
         .orderBy(F.desc("citations"), "n_nationkey")
         .limit(10)
     )
 
 
-QUERIES = {"top_cited": top_cited}
+@query("""SELECT c_custkey, c_name, CAST(count(o_orderkey) AS BIGINT) AS n_orders, round(coalesce(sum(o_totalprice), 0), 2) AS total
+    FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name""")
+def outline_counts(spark, sf_dir):
+    """Containers with the count of what they hold; empty ones keep a zero."""
+    customer, orders = _t(spark, sf_dir, "customer", "orders")
+    per = orders.groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("s"))
+    return customer.join(per, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "c_name", F.coalesce("n", F.lit(0)).alias("n_orders"), F.round(F.coalesce("s", F.lit(0.0)), 2).alias("total"))
+
+
+@query("""SELECT r_name, n_name, CAST(count(*) AS BIGINT) AS n_lines, round(sum(l_extendedprice), 2) AS amount FROM lineitem
+    JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+    GROUP BY r_name, n_name""")
+def containment_climb(spark, sf_dir):
+    """From the leaves up: every level is aggregated to the next one's key before it is joined."""
+    lineitem, orders, customer, nation, region = _t(spark, sf_dir, "lineitem", "orders", "customer", "nation", "region")
+    lines = lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("l_extendedprice").alias("s"))
+    by_customer = lines.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    by_nation = by_customer.join(customer, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.sum("n").alias("n_lines"), F.sum("s").alias("s"))
+    return by_nation.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name", "n_lines", F.round("s", 2).alias("amount"))
+
+
+@query("""SELECT c_nationkey, CAST(count(DISTINCT c_custkey) AS BIGINT) AS n_customers, CAST(count(o_orderkey) AS BIGINT) AS n_orders,
+    CAST(count(DISTINCT CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus || '/' || o_orderpriority END) AS BIGINT) AS n_kinds
+    FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_nationkey""")
+def distinct_structure_counts(spark, sf_dir):
+    """Counts and distinct counts of a computed expression that is null outside a condition."""
+    customer, orders = _t(spark, sf_dir, "customer", "orders")
+    kind = F.when(F.col("o_orderstatus") != "P", F.concat_ws("/", "o_orderstatus", "o_orderpriority"))
+    per = orders.groupBy("o_custkey", kind.alias("kind")).count()
+    return (
+        customer.join(per, F.col("c_custkey") == F.col("o_custkey"), "left")
+        .groupBy("c_nationkey")
+        .agg(F.countDistinct("c_custkey").alias("n_customers"), F.coalesce(F.sum("count"), F.lit(0)).alias("n_orders"), F.countDistinct("kind").alias("n_kinds"))
+    )
+
+
+@query("""SELECT 'customer' AS kind, c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)
+    UNION ALL SELECT 'part', p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)""")
+def orphans(spark, sf_dir):
+    """Nodes without the relation they should have."""
+    customer, orders, part, lineitem = _t(spark, sf_dir, "customer", "orders", "part", "lineitem")
+    a = customer.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id"))
+    b = part.join(lineitem, F.col("p_partkey") == F.col("l_partkey"), "left_anti").select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"))
+    return a.unionByName(b)
+
+
+@query("""SELECT l_suppkey AS target, CAST(count(*) AS BIGINT) AS citations FROM lineitem
+    WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = l_suppkey AND s_acctbal > 0) GROUP BY l_suppkey ORDER BY citations DESC, target""")
+def stub_worklist(spark, sf_dir):
+    """Targets that are cited but not loaded, the most cited first."""
+    lineitem, supplier = _t(spark, sf_dir, "lineitem", "supplier")
+    return graph.stubs(lineitem.select(F.col("l_suppkey").alias("dst")), supplier.filter("s_acctbal > 0").select(F.col("s_suppkey").alias("id")))
+
+
+@query("""SELECT o_orderpriority AS kind, CAST(count(*) AS BIGINT) AS total, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS loaded,
+    CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END) AS BIGINT) AS stubs, CAST(min(year(o_orderdate)) AS INTEGER) AS first_year, CAST(max(year(o_orderdate)) AS INTEGER) AS last_year
+    FROM orders GROUP BY o_orderpriority ORDER BY loaded DESC, kind""")
+def catalogue_by_type(spark, sf_dir):
+    """Totals by type with conditional sums and the span of years."""
+    orders = _t(spark, sf_dir, "orders")
+    loaded = F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0))
+    return (
+        orders.groupBy(F.col("o_orderpriority").alias("kind"))
+        .agg(F.count("*").alias("total"), loaded.alias("loaded"), (F.count("*") - loaded).alias("stubs"), F.min(F.year("o_orderdate")).alias("first_year"), F.max(F.year("o_orderdate")).alias("last_year"))
+        .orderBy(F.desc("loaded"), "kind")
+    )
+
+
+@query("""SELECT o_orderkey, CAST(abs(year(o_orderdate) - 1996) AS INTEGER) AS distance, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders
+    WHERE o_orderpriority = '2-HIGH' ORDER BY distance, year DESC, o_orderkey LIMIT 8""")
+def find_nearest(spark, sf_dir):
+    """The alternatives offered on a miss: nearest in years, the later one first, then by id."""
+    orders = _t(spark, sf_dir, "orders").filter("o_orderpriority = '2-HIGH'")
+    return orders.select("o_orderkey", F.abs(F.year("o_orderdate") - 1996).alias("distance"), F.year("o_orderdate").alias("year")).orderBy("distance", F.desc("year"), "o_orderkey").limit(8)
+
+
+@query("""SELECT l_suppkey AS source, CAST(count(*) AS BIGINT) AS times, CAST(max(year(l_shipdate)) AS INTEGER) AS year,
+    array_to_string(list_sort(list(DISTINCT l_linenumber))[1:6], ',') AS points
+    FROM lineitem WHERE l_partkey IN (1, 2, 3) AND year(l_shipdate) >= 1996 GROUP BY l_suppkey ORDER BY year DESC, times DESC, source LIMIT 20""")
+def incoming_refs(spark, sf_dir):
+    """Who cites a node or its twins: edge count, at most six distinct places, ordered by year where a first year is asked for."""
+    lineitem = _t(spark, sf_dir, "lineitem")
+    own = lineitem.filter(F.col("l_partkey").isin(1, 2, 3) & (F.year("l_shipdate") >= 1996))
+    return (
+        own.groupBy(F.col("l_suppkey").alias("source"))
+        .agg(F.count("*").alias("times"), F.max(F.year("l_shipdate")).alias("year"), F.array_join(tx.capped(F.collect_set("l_linenumber"), 6), ",").alias("points"))
+        .orderBy(F.desc("year"), F.desc("times"), "source")
+        .limit(20)
+    )
+
+
+@query("""SELECT l_partkey AS target, p_name, CAST(count(*) AS BIGINT) AS times, array_to_string(list_sort(list(DISTINCT l_linenumber))[1:6], ',') AS points
+    FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey = 7 GROUP BY l_partkey, p_name""")
+def outgoing_refs(spark, sf_dir):
+    """What a node cites, with the places."""
+    lineitem, part = _t(spark, sf_dir, "lineitem", "part")
+    own = lineitem.filter("l_suppkey = 7").groupBy(F.col("l_partkey").alias("target")).agg(F.count("*").alias("times"), F.array_join(tx.capped(F.collect_set("l_linenumber"), 6), ",").alias("points"))
+    return own.join(part, F.col("target") == F.col("p_partkey")).select("target", "p_name", "times", "points")
+
+
+@query("""WITH o AS (SELECT o_orderkey, lead(o_orderkey) OVER w AS later, lead(o_orderdate) OVER w AS later_date, o_orderdate,
+      max(o_orderdate) OVER (PARTITION BY o_custkey, o_orderpriority) AS newest FROM orders WINDOW w AS (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey))
+    SELECT o_orderkey, later, CAST(date_diff('day', CAST(o_orderdate AS DATE), CAST(later_date AS DATE)) AS INTEGER) AS days, later_date = newest AS is_newest FROM o WHERE later IS NOT NULL""")
+def later_same_key(spark, sf_dir):
+    """The next later one of the same key, and whether it is the newest: one window instead of a self join."""
+    orders = _t(spark, sf_dir, "orders")
+    key = Window.partitionBy("o_custkey", "o_orderpriority")
+    order = key.orderBy("o_orderdate", "o_orderkey")
+    rows = orders.select("o_orderkey", "o_orderdate", F.lead("o_orderkey").over(order).alias("later"), F.lead("o_orderdate").over(order).alias("d"), F.max("o_orderdate").over(key).alias("newest"))
+    return rows.filter("later IS NOT NULL").select("o_orderkey", "later", F.datediff("d", "o_orderdate").alias("days"), (F.col("d") == F.col("newest")).alias("is_newest"))
+
+
+@query("""WITH one AS (SELECT c_nationkey, c_mktsegment, min(c_custkey) AS c FROM customer GROUP BY ALL HAVING count(*) = 1)
+    SELECT s_suppkey, c_mktsegment, c AS c_custkey FROM supplier JOIN one ON s_nationkey = c_nationkey""")
+def unique_match(spark, sf_dir):
+    """A join that accepts a key only if exactly one candidate has it."""
+    customer, supplier = _t(spark, sf_dir, "customer", "supplier")
+    one = graph.unique(customer.select("c_nationkey", "c_mktsegment", "c_custkey"), ["c_nationkey", "c_mktsegment"], "c_custkey")
+    return supplier.join(one, F.col("s_nationkey") == F.col("c_nationkey")).select("s_suppkey", "c_mktsegment", "c_custkey")
+
+
+@query("""SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT l_linenumber))[1:6], ',') AS numbers, string_agg(l_returnflag, ' ' ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS flags,
+    CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY l_orderkey""")
+def capped_collect(spark, sf_dir):
+    """A capped set, and an ordered collect reduced to a string."""
+    lineitem = _t(spark, sf_dir, "lineitem")
+    flags = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))), lambda x: x["l_returnflag"])
+    return lineitem.groupBy("l_orderkey").agg(F.array_join(tx.capped(F.collect_set("l_linenumber"), 6), ",").alias("numbers"), F.array_join(flags, " ").alias("flags"), F.count("*").alias("n"))
+
+
+@query("""SELECT c_nationkey, c_mktsegment, c_custkey AS representative, CAST(n AS BIGINT) AS n FROM (
+      SELECT *, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY floor(c_acctbal / 1000) DESC, c_custkey % 2 DESC, length(c_name) DESC, c_custkey DESC) AS r,
+      count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) AS n FROM customer) WHERE r = 1""")
+def representative_pick(spark, sf_dir):
+    """The largest of a group by four keys, as one aggregate."""
+    customer = _t(spark, sf_dir, "customer")
+    rank = F.struct(F.floor(F.col("c_acctbal") / 1000).alias("a"), (F.col("c_custkey") % 2).alias("b"), F.length("c_name").alias("c"), F.col("c_custkey").alias("d"))
+    return customer.groupBy("c_nationkey", "c_mktsegment").agg(F.max_by("c_custkey", rank).alias("representative"), F.count("*").alias("n"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey) AS r FROM lineitem) WHERE r <= 3""")
+def topn_per_group(spark, sf_dir):
+    """The first three of each group."""
+    lineitem = _t(spark, sf_dir, "lineitem")
+    return ranking.top(lineitem, 3, ["l_orderkey"], [F.desc("l_extendedprice"), F.asc("l_linenumber"), F.asc("l_partkey")]).select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "rank")
+
+
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, coalesce(sum(least(l_quantity, 30)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lineitem)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, least(l_quantity, 30, greatest(100 - before, 0)) AS shown, before >= 100 AS omitted, l_quantity > least(30, 100 - before) AS truncated FROM s""")
+def running_budget(spark, sf_dir):
+    """A budget shared along an order: each gets at most 30, all together at most 100."""
+    lineitem = _t(spark, sf_dir, "lineitem")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    rows = lineitem.withColumns(ranking.portions(F.col("l_quantity"), order, each=30.0, total=100.0))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "shown", "omitted", "truncated")
+
+
+@query("""SELECT event_id, user_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_purchase FROM events""")
+def last_nonnull_carry(spark, sf_dir):
+    """An entry without its own value inherits the last one named."""
+    events = _t(spark, sf_dir, "events")
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return events.select("event_id", "user_id", F.last(F.when(F.col("event_type") == "purchase", F.col("value")), ignorenulls=True).over(order).alias("last_purchase"))
+
+
+@query("""SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 5 AND a.n_regionkey = b.n_regionkey
+    UNION ALL SELECT b.n_nationkey, a.n_nationkey FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 5 AND a.n_regionkey = b.n_regionkey""")
+def pairs_both_ways(spark, sf_dir):
+    """Twin edges, matched in either direction."""
+    nation = _t(spark, sf_dir, "nation")
+    a, b = nation.select(F.col("n_nationkey").alias("a"), F.col("n_regionkey").alias("r")), nation.select(F.col("n_nationkey").alias("b"), F.col("n_regionkey").alias("r"))
+    return graph.both_ways(a.withColumn("next", F.col("a") + 5).join(b, (F.col("next") == F.col("b")) & (a["r"] == b["r"])).select("a", "b"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS s, o_orderkey % 1500 AS d FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'),
+    r AS (SELECT CAST(1 AS BIGINT) AS node UNION SELECT d FROM r JOIN e ON s = node) SELECT node FROM r""")
+def fixpoint_reach(spark, sf_dir):
+    """All nodes reached from one, by rounds that join only what is new."""
+    orders = _t(spark, sf_dir, "orders").filter("o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
+    return graph.reached(orders.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 1500).alias("dst")), [1])
+
+
+@query("""WITH l AS (SELECT user_id, event_type, value, timezone('Europe/Rome', timezone('UTC', ts)) AS t FROM events)
+    SELECT user_id, 'giorno#' || strftime(t, '%Y-%m-%d') AS period, CAST(count(*) AS BIGINT) AS requests, round(sum(value), 2) AS cost FROM l GROUP BY ALL
+    UNION ALL SELECT user_id, 'mese#' || strftime(t, '%Y-%m'), CAST(count(*) AS BIGINT), round(sum(value), 2) FROM l GROUP BY ALL""")
+def usage_counters(spark, sf_dir):
+    """Requests and cost by user and by day and month of Rome, both periods in one pass."""
+    from actweave.streaming import usage
+
+    return usage.counters(_t(spark, sf_dir, "events").select("user_id", "ts", F.col("value").alias("cost")))
+
+
+@query("""SELECT event_id, user_id, CAST(count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS BIGINT) AS in_last_hour FROM events""")
+def rate_limit_counts(spark, sf_dir):
+    """Events of each user in the hour up to each event."""
+    events = _t(spark, sf_dir, "events")
+    hour = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-3_600_000_000, 0)
+    return events.select("event_id", "user_id", F.count("*").over(hour).alias("in_last_hour"))
+
+
+@query(r"""WITH f AS (SELECT doc_id, md5(left(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', '', 'g'), 300)) AS fp FROM documents)
+    SELECT fp, min(doc_id) AS first_id, CAST(count(*) AS BIGINT) AS copies FROM f GROUP BY fp HAVING count(*) > 1""")
+def fingerprint_dups(spark, sf_dir):
+    """Texts that share the fingerprint of their first 300 letters and digits."""
+    docs = _t(spark, sf_dir, "documents")
+    return docs.groupBy(tx.fingerprint(F.col("text")).alias("fp")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).filter("copies > 1")
+
+
+@query("""SELECT doc_id, min(doc_id) OVER (PARTITION BY trim(text)) AS first_id, CAST(count(*) OVER (PARTITION BY trim(text)) AS BIGINT) AS copies FROM documents WHERE length(trim(text)) > 40
+    QUALIFY count(*) OVER (PARTITION BY trim(text)) > 1""")
+def exact_text_equivalents(spark, sf_dir):
+    """Rows whose trimmed text occurs again: class and size by hash, never all pairs."""
+    docs = _t(spark, sf_dir, "documents")
+    return graph.same_text(docs.filter(F.length(F.trim("text")) > 40).select("doc_id", F.trim("text").alias("text")))
+
+
+@query(None)
+def near_dup_bag_ratio(spark, sf_dir):
+    """Texts that open alike (same language, first 12 letters) and whose first 400 characters share most of their characters with the first of them."""
+    docs = _t(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", F.col("lang").alias("k1"), F.left(tx.letters(F.col("text")), F.lit(12)).alias("k2"), F.left(F.lower("text"), F.lit(400)).alias("s"))
+    first = rows.groupBy("k1", "k2").agg(F.min_by(F.struct("doc_id", "s"), "doc_id").alias("f"))
+    return rows.join(first, ["k1", "k2"]).filter("doc_id <> f.doc_id").select("doc_id", F.col("f.doc_id").alias("first_id"), F.round(tx.quick_ratio(F.col("s"), F.col("f.s")), 6).alias("ratio")).filter("ratio >= 0.82")
+
+
+@query(None)
+def chunk_offsets(spark, sf_dir):
+    """Overlapping chunks of long texts, as offsets in characters."""
+    from actweave.operators import chunks
+
+    docs = _t(spark, sf_dir, "documents")
+    return chunks.chunked(docs.select(F.col("doc_id").alias("id"), "text")).select("id", "ord", "start", "end", F.md5("text").alias("md5"))
+
+
+@query(None)
+def sentence_blocks(spark, sf_dir):
+    """Texts split at sentence ends into blocks of at most 1,400 characters."""
+    from actweave.operators import chunks
+
+    docs = _t(spark, sf_dir, "documents")
+    return chunks.blocks(docs.select(F.col("doc_id").alias("id"), "text")).select("id", "ord", F.length("text").alias("n_chars"), F.md5("text").alias("md5"))
+
+
+_BM25 = r"""
+    tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL), dl AS (SELECT doc_id, count(*) AS dl FROM tok GROUP BY doc_id),
+    av AS (SELECT avg(dl) AS av, count(*) AS n FROM dl), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark),
+    sc AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))) AS score
+      FROM q JOIN df USING (term) JOIN tf USING (term) JOIN dl USING (doc_id), av GROUP BY ALL),
+    lex AS (SELECT item_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM sc)"""
+
+
+@query(f"WITH {_BM25} SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM lex WHERE rank <= 10")
+def bm25_topk(spark, sf_dir):
+    """BM25 of every benchmark text against all documents, the ten best of each."""
+    docs, bench = _t(spark, sf_dir, "documents", "benchmark")
+    return ranking.bm25(docs, bench.select("item_id", "text"), query_id="item_id", k=10)
+
+
+@query("""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS score
+      FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+    SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p QUALIFY rank <= 10""")
+def cosine_topk(spark, sf_dir):
+    """The ten most similar vectors of every row whose id is divisible by 100."""
+    vectors = _t(spark, sf_dir, "embeddings")
+    return ranking.cosine(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
+
+
+@query("""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS score, b.label AS l
+      FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+    pre AS (SELECT 'pre' AS mode, query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p WHERE l = 1 QUALIFY rank <= 5),
+    big AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM p QUALIFY r <= 40),
+    post AS (SELECT 'post' AS mode, query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM big WHERE l = 1 QUALIFY rank <= 5)
+    SELECT mode, query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT * FROM pre UNION ALL SELECT * FROM post)""")
+def filtered_cosine_topk(spark, sf_dir):
+    """Filter first and search, or search for eight times as many and filter then."""
+    vectors = _t(spark, sf_dir, "embeddings")
+    asked = vectors.filter("vec_id % 100 = 0")
+    pre = ranking.cosine(vectors.filter("label = 1"), asked, k=5)
+    wide = ranking.cosine(vectors, asked, k=40).drop("rank").join(vectors.filter("label = 1").select("vec_id"), "vec_id", "left_semi")
+    post = ranking.top(wide, 5, ["query_id"], [F.desc("score"), F.asc("vec_id")])
+    return pre.select(F.lit("pre").alias("mode"), "query_id", "vec_id", "score", "rank").unionByName(post.select(F.lit("post").alias("mode"), "query_id", "vec_id", "score", "rank"))
+
+
+@query(f"""WITH {_BM25}, second AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY dl, doc_id) AS rank FROM lex JOIN dl USING (doc_id) WHERE rank <= 30),
+    f AS (SELECT item_id, doc_id, sum(w) AS s, min(o) AS o FROM (SELECT item_id, doc_id, 0.75 / (20 + rank) AS w, 1000 + rank AS o FROM lex WHERE rank <= 30
+      UNION ALL SELECT item_id, doc_id, 1.0 / (20 + rank), rank FROM second) GROUP BY ALL)
+    SELECT item_id, doc_id, round(s, 9) AS score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(s, 9) DESC, o, doc_id) AS INTEGER) AS rank FROM f QUALIFY rank <= 10""")
+def rrf_fusion(spark, sf_dir):
+    """Two rankings fused by reciprocal ranks (k = 20, weights 1 and 0.75); ties in order of first sight."""
+    docs, bench = _t(spark, sf_dir, "documents", "benchmark")
+    lexical = ranking.bm25(docs, bench.select("item_id", "text"), query_id="item_id", k=30)
+    size = ranking.tokens(docs).groupBy("doc_id").agg(F.sum("tf").alias("dl"))
+    second = ranking.top(lexical.drop("rank").join(size, "doc_id"), 30, ["item_id"], [F.asc("dl"), F.asc("doc_id")])
+    return ranking.fused([(second, 1.0), (lexical, 0.75)], ["item_id"], "doc_id", k=10)
+
+
+@query("""WITH p AS (SELECT a.vec_id AS anchor, b.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS score
+      FROM embeddings a JOIN embeddings b ON b.vec_id > a.vec_id AND b.label <> a.label WHERE a.vec_id % 100 = 0)
+    SELECT anchor, vec_id, score, CAST(row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p WHERE score >= 0.1 QUALIFY rank <= 3""")
+def similar_later(spark, sf_dir):
+    """Later rows of another family that are similar enough, at most three for each anchor."""
+    vectors = _t(spark, sf_dir, "embeddings")
+    return ranking.similar_later(vectors, vectors.filter("vec_id % 100 = 0"), least=0.1, n=3)
+
+
+@query("""SELECT item_id, CAST(count(*) AS BIGINT) AS n_docs, min(doc_id) AS first_doc FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id""")
+def contamination_equivalents(spark, sf_dir):
+    """Documents that contain a probe text, found by a run of its words and then confirmed."""
+    docs, bench = _t(spark, sf_dir, "documents", "benchmark")
+    return ranking.containing(docs, bench).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+
+
+@query(r"""WITH c AS (SELECT o_orderkey, 'come previsto dall''articolo ' || (o_orderkey % 40 + 1) || ' della ' || CASE o_orderstatus WHEN 'F' THEN 'Legge' WHEN 'O' THEN 'Decreto Delegato' ELSE 'Decreto-Legge' END
+      || ' ' || strftime(o_orderdate, '%-d') || ' marzo ' || strftime(o_orderdate, '%Y') || ' n. ' || (o_custkey % 200 + 1) || ' e seguenti' AS t FROM orders)
+    SELECT o_orderkey, CASE regexp_extract(t, '(Legge|Decreto Delegato|Decreto-Legge) [0-9]', 1) WHEN 'Legge' THEN 'legge' WHEN 'Decreto Delegato' THEN 'decreto delegato' ELSE 'decreto-legge' END AS type,
+      CAST(regexp_extract(t, 'n\. ([0-9]+)', 1) AS INTEGER) AS number, CAST(regexp_extract(t, 'marzo ([0-9]{4})', 1) AS INTEGER) AS year, regexp_extract(t, 'articolo ([0-9]+)', 1) AS cited_article FROM c""")
+def citation_extract(spark, sf_dir):
+    """Citations read from sentences that the orders spell out."""
+    from actweave.functions import citations
+
+    orders = _t(spark, sf_dir, "orders")
+    kind = F.when(F.col("o_orderstatus") == "F", "Legge").when(F.col("o_orderstatus") == "O", "Decreto Delegato").otherwise("Decreto-Legge")
+    said = F.concat(F.lit("come previsto dall'articolo "), F.col("o_orderkey") % 40 + 1, F.lit(" della "), kind, F.lit(" "), F.dayofmonth("o_orderdate"), F.lit(" marzo "), F.year("o_orderdate"), F.lit(" n. "), F.col("o_custkey") % 200 + 1, F.lit(" e seguenti"))
+    rows = citations.extracted(orders.select("o_orderkey", said.alias("text")), "text", "o_orderkey")
+    return rows.select("o_orderkey", "type", "number", "year", "cited_article")
+
+
+@query(r"""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host,
+    CAST(len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS INTEGER) AS n_links FROM pages""")
+def html_fields(spark, sf_dir):
+    """Fields of portal cards, from the markup."""
+    from actweave.sources import html
+
+    return html.cards(_t(spark, sf_dir, "pages"))
+
+
+@query(None)
+def mojibake_repair(spark, sf_dir):
+    """Texts whose letters were read in the wrong code page, and the repaired ones."""
+    docs = _t(spark, sf_dir, "documents")
+    broken = F.when(F.col("doc_id") % 2 == 0, F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")).otherwise(F.col("text"))
+    fixed = tx.repair_mojibake(docs.select("doc_id", "text", broken.alias("broken")), "broken")
+    return fixed.select("doc_id", F.md5("broken").alias("md5"), (F.col("broken") == F.col("text")).alias("restored"))
+
+
+@query("""WITH t AS (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last_turn FROM conversations)
+    SELECT conv_id, turn, role, CASE WHEN turn < last_turn AND role = 'assistant' AND length(text) > 200 THEN left(text, 200) || ' [...]' ELSE text END AS text, turn < last_turn AND role = 'assistant' AND length(text) > 200 AS pruned FROM t""")
+def conversation_prune(spark, sf_dir):
+    """Older long turns are cut to 200 characters; the last turn stays whole."""
+    turns = _t(spark, sf_dir, "conversations")
+    last = F.max("turn").over(Window.partitionBy("conv_id"))
+    cut = (F.col("turn") < last) & (F.col("role") == "assistant") & (F.length("text") > 200)
+    return turns.select("conv_id", "turn", "role", F.when(cut, tx.truncated(F.col("text"), 200)).otherwise(F.col("text")).alias("text"), cut.alias("pruned"))
+
+
+@query("""WITH s AS (SELECT conv_id, md5(lower(trim(text))) AS source, min(turn) AS first_turn, CAST(count(*) AS BIGINT) AS times FROM conversations WHERE role <> 'user' GROUP BY ALL)
+    SELECT conv_id, source, first_turn, times, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY first_turn, source) AS INTEGER) AS n FROM s""")
+def dedup_sources(spark, sf_dir):
+    """The distinct sources of a conversation, numbered in order of first sight."""
+    turns = _t(spark, sf_dir, "conversations").filter("role <> 'user'")
+    seen = turns.groupBy("conv_id", F.md5(F.lower(F.trim("text"))).alias("source")).agg(F.min("turn").alias("first_turn"), F.count("*").alias("times"))
+    return seen.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("first_turn", "source")))
+
+
+@query("""SELECT lang, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(CASE WHEN length(trim(text)) < 200 THEN 1 ELSE 0 END) AS BIGINT) AS nearly_empty, CAST(sum(CASE WHEN length(text) > 6000 THEN 1 ELSE 0 END) AS BIGINT) AS long,
+    CAST(sum(length(text)) AS BIGINT) AS chars, CAST(max(length(text)) AS INTEGER) AS longest, CAST(count(quality) AS BIGINT) AS labelled, CAST(coalesce(sum(quality), 0) AS BIGINT) AS good, CAST(coalesce(sum(toxic), 0) AS BIGINT) AS toxic
+    FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang""")
+def qa_rollup(spark, sf_dir):
+    """Per-document metrics rolled up: one pass over the documents, labels joined by id."""
+    docs, labels = _t(spark, sf_dir, "documents", "labels")
+    size = F.length("text")
+    rows = docs.select("doc_id", "lang", size.alias("n"), (F.length(F.trim("text")) < 200).alias("empty")).join(labels, "doc_id", "left")
+    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    return rows.groupBy("lang").agg(
+        F.count("*").alias("n_docs"), one(F.col("empty")).alias("nearly_empty"), one(F.col("n") > 6000).alias("long"), F.sum("n").alias("chars"), F.max("n").alias("longest"),
+        F.count("quality").alias("labelled"), F.coalesce(F.sum("quality"), F.lit(0)).alias("good"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic"),
+    )
+
+
+@query("""SELECT coalesce(d.doc_id, l.doc_id, p.page_id) AS id, d.doc_id IS NOT NULL AS in_documents, l.doc_id IS NOT NULL AS in_labels, p.page_id IS NOT NULL AS in_pages
+    FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id FULL JOIN pages p ON coalesce(d.doc_id, l.doc_id) = p.page_id""")
+def reconcile(spark, sf_dir):
+    """Which of three stores has each id: one aggregate over the union instead of full outer joins."""
+    docs, labels, pages = _t(spark, sf_dir, "documents", "labels", "pages")
+    return graph.reconciled({"documents": docs.select(F.col("doc_id").alias("id")), "labels": labels.select(F.col("doc_id").alias("id")), "pages": pages.select(F.col("page_id").alias("id"))})
+
+
+@query("""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id, b.label = a.label AS hit, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) DESC, b.vec_id) AS rank
+      FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 QUALIFY rank <= 10),
+    f AS (SELECT query_id, min(CASE WHEN hit THEN rank END) AS first FROM p GROUP BY query_id)
+    SELECT CAST(count(*) AS BIGINT) AS queries, round(avg(coalesce(1.0 / first, 0)), 9) AS mrr, round(avg(CASE WHEN first <= 3 THEN 1.0 ELSE 0.0 END), 9) AS hit_at_3, round(avg(CASE WHEN first <= 10 THEN 1.0 ELSE 0.0 END), 9) AS hit_at_10 FROM f""")
+def mrr_hit_at_k(spark, sf_dir):
+    """Mean reciprocal rank and hits of a search whose relevant rows share the query's label."""
+    vectors = _t(spark, sf_dir, "embeddings")
+    found = ranking.cosine(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
+    labels = vectors.select("vec_id", "label")
+    judged = found.join(labels, "vec_id").join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id").select("query_id", "rank", (F.col("label") == F.col("own")).alias("hit"))
+    return ranking.retrieval_metrics(judged, (3, 10))
+
 
-ORACLE_SQL = {
-    "top_cited": """SELECT n_nationkey, n_name, CAST(count(*) AS BIGINT) AS citations FROM orders
-        JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-        GROUP BY n_nationkey, n_name ORDER BY citations DESC, n_nationkey LIMIT 10""",
-}
+@query("""WITH s AS (SELECT user_id, event_type, list_sort(list(DISTINCT CAST(ts AS DATE)))::VARCHAR AS days, count(*) AS n, avg(value) AS m, stddev_pop(value) AS s FROM events GROUP BY ALL)
+    SELECT user_id, CAST(count(*) AS BIGINT) AS n_types, count(DISTINCT days) = 1 AS same_days, round(avg(s), 6) AS mean_spread FROM s GROUP BY user_id""")
+def stability(spark, sf_dir):
+    """Whether repeated runs agree: equal sets, and the mean of their spreads."""
+    events = _t(spark, sf_dir, "events")
+    runs = events.groupBy("user_id", "event_type").agg(F.array_sort(F.collect_set(F.to_date("ts"))).alias("days"), F.stddev_pop("value").alias("s"))
+    return runs.groupBy("user_id").agg(F.count("*").alias("n_types"), (F.countDistinct("days") == 1).alias("same_days"), F.round(F.avg("s"), 6).alias("mean_spread"))

@@ -44,12 +44,11 @@ def short_fingerprint(text: Column) -> Column:
 def quick_ratio(a: Column, b: Column) -> Column:
     """Twice the characters that two texts share, each counted as often as both have it, over their length; 1 for two empty texts."""
 
-    def counts(s: Column) -> Column:
-        chars = F.filter(F.split(s, ""), lambda c: c != "")
-        return F.map_from_entries(F.transform(F.array_distinct(chars), lambda c: F.struct(c, F.size(F.filter(chars, lambda d: d == c)))))
+    def held(s: Column, c: Column) -> Column:
+        return F.length(s) - F.length(F.replace(s, c, F.lit("")))
 
-    ca, cb = counts(a), counts(b)
-    shared = F.aggregate(F.map_keys(ca), F.lit(0), lambda n, c: n + F.least(F.element_at(ca, c), F.coalesce(F.try_element_at(cb, c), F.lit(0))))
+    chars = F.filter(F.array_distinct(F.split(a, "")), lambda c: c != "")
+    shared = F.aggregate(chars, F.lit(0), lambda n, c: n + F.least(held(a, c), held(b, c)))
     size = F.length(a) + F.length(b)
     return F.when(size == 0, F.lit(1.0)).otherwise(2.0 * shared / size)
 

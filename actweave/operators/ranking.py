@@ -114,9 +114,9 @@ def containing(docs: DataFrame, probes: DataFrame, words: int = 5) -> DataFrame:
     size = F.size(parts)
     long_ = probes.filter(size >= words + 2).select("item_id", F.col("text").alias("probe"), F.array_join(F.slice(parts, 2, words), " ").alias("run"))
     short = probes.filter((size < words + 2) & (F.length("text") > 0)).select("item_id", F.col("text").alias("probe"))
-    n = F.size("w")
-    runs = docs.select("doc_id", "text", parts.alias("w")).select("doc_id", "text", F.when(n >= words, F.array_distinct(F.transform(F.sequence(F.lit(1), n - words + 1), lambda i: F.array_join(F.slice("w", i, words), " ")))).alias("runs"))
-    runs = runs.select("doc_id", F.explode("runs").alias("run"))
+    # one pass of a pattern of no width finds every run of words
+    every = F.regexp_extract_all("text", F.lit(rf"(?<!\S)(?=(\S+(?:\s+\S+){{{words - 1}}}))"), F.lit(1))
+    runs = docs.select("doc_id", F.explode(F.array_distinct(every)).alias("run")).select("doc_id", F.regexp_replace("run", r"\s+", " ").alias("run"))
     candidates = runs.join(_small(long_.select("item_id", "run")), "run").select("item_id", "doc_id").distinct()
     found = candidates.join(docs.select("doc_id", "text"), "doc_id").join(_small(long_.select("item_id", "probe")), "item_id").filter(F.contains("text", "probe"))
     everywhere = docs.select("doc_id", "text").join(_small(short), F.contains("text", "probe"))

@@ -114,7 +114,7 @@ def _repaired(text: str) -> str:
                 pass
         if text[k] == "Ã" and text[k + 1 : k + 2].isspace():
             out.append("à")  # the second byte of à was read as a space
-            k += 2 if text[k + 1] == "\xa0" else 1
+            k += 2
             continue
         if text[k] != "Â":
             out.append(text[k])

@@ -9,6 +9,7 @@ words' vectors and a few shares. The network's output is divided by a temperatur
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -24,28 +25,39 @@ from .common import bounded_ids, fitted_rows, remainder, text_slices
 #: The fit uses at most so many labelled rows of each class, and so many characters of each. Scores read whole texts.
 PER_LABEL = 1500
 FIT_CHARS = 20_000
-CONTEXT, FORM, NONZERO, REACH = 48, 32, 4, 2
+CONTEXT, FORM, NONZERO, REACH = 48, 64, 4, 2
 VOCABULARY = 40_000
-CACHE = 60_000
+#: Words at which a document's features count half.
+FEW = 8
+CACHE = 120_000
 FOLDS, THRESHOLD = 5, 0.3
 
 _EDGES = re.compile(r"^([^\w]*)(.*?)([^\w]*)$", re.S)
 
 
-def index_vector(name: str, dims: int) -> np.ndarray:
-    """NONZERO components of +1 or -1 at places given by a hash."""
-    out = np.zeros(dims, dtype=np.float32)
+def index_rows(names: list[str], dims: int) -> np.ndarray:
+    """The index vectors of names: NONZERO components of +1 or -1, at places and with signs from the bits of one hash."""
+    out = np.zeros((len(names), dims), dtype=np.float32)
+    h = np.array([xxhash.xxh64_intdigest(x if x.isascii() else x.encode("utf-8", "surrogatepass")) for x in names], dtype=np.uint64)
+    row = np.arange(len(names))
     for k in range(NONZERO):
-        h = xxhash.xxh64_intdigest(name.encode("utf-8", "surrogatepass"), k)
-        out[(h >> 1) % dims] += 1.0 if h & 1 else -1.0
+        piece = (h >> np.uint64(16 * k)).astype(np.int64) & 0xFFFF
+        out[row, (piece >> 1) % dims] += np.where(piece & 1, 1.0, -1.0)
     return out
 
 
-def form_of(word: str) -> tuple[str, str]:
+def form_of(word: str) -> tuple[str, tuple]:
     """(core, form): the lower-case word without the signs around it, and how it is written."""
-    lead, core, trail = _EDGES.match(word).groups()
-    case = "d" if core[:1].isdigit() else "U" if core.isupper() and len(core) > 1 else "T" if core[:1].isupper() else "l" if core.islower() else "-"
-    return core.lower(), f"{case}|{lead[:3]}|{trail[:3]}|{min(len(core), 12) // 3}|{any(c.isdigit() for c in core)}"
+    lead = trail = ""
+    if word.isalpha():
+        core = word
+    elif word[:-1].isalpha():
+        core, trail = word[:-1], word[-1]
+    else:
+        lead, core, trail = _EDGES.match(word).groups()
+    low = core.lower()
+    case = "l" if core == low else "U" if len(core) > 1 and core.isupper() else "T" if core[0].isupper() else "-"
+    return low, (case, lead[:3], trail[:3], min(len(core), 12) // 3, not core.isalpha() and any(c.isdigit() for c in core))
 
 
 @dataclass
@@ -54,34 +66,45 @@ class Words:
 
     contexts: dict[str, np.ndarray]
     rows: dict[str, int] = field(default_factory=dict)
-    forms: dict[str, np.ndarray] = field(default_factory=dict)
+    forms: dict[tuple, np.ndarray] = field(default_factory=dict)
     table: np.ndarray = field(default_factory=lambda: np.zeros((CACHE, CONTEXT + FORM), dtype=np.float32))
 
     def ids(self, words: list[str]) -> np.ndarray:
-        if len(self.rows) + len(words) > CACHE:
-            fresh = {w for w in words if w not in self.rows}
-            if len(self.rows) + len(fresh) > CACHE:
-                self.rows.clear()
         get, rows = self.rows.get, self.rows
         out = [get(w, -1) for w in words]
         if -1 in out:
-            for at, k in enumerate(out):
-                if k < 0:
-                    out[at] = rows[words[at]] if words[at] in rows else self._new(words[at])
+            fresh = list(dict.fromkeys(w for w, k in zip(words, out, strict=True) if k < 0))
+            if len(rows) + len(fresh) > CACHE:
+                rows.clear()
+                fresh = list(dict.fromkeys(words))
+            self._add(fresh)
+            out = [rows[w] for w in words]
         return np.array(out, dtype=np.int64)
 
-    def _new(self, word: str) -> int:
-        core, form = form_of(word)
-        k = self.rows[word] = len(self.rows)
-        vector = self.contexts.get(core)
-        self.table[k, :CONTEXT] = index_vector(core, CONTEXT) / 2 if vector is None else vector
-        if form not in self.forms:
-            if len(self.forms) > CACHE:
-                self.forms.clear()
-            parts = form.split("|")
-            self.forms[form] = sum(index_vector(f"{i}{p}", FORM) for i, p in enumerate(parts)) / 2
-        self.table[k, CONTEXT:] = self.forms[form]
-        return k
+    def _add(self, words: list[str]) -> None:
+        first, known = len(self.rows), self.contexts.get
+        pairs = [form_of(w) for w in words]
+        own = self.table[first : first + len(words)]
+        own[:, :CONTEXT] = index_rows([c for c, _ in pairs], CONTEXT) / 2
+        for k, (core, form) in enumerate(pairs):
+            if (vector := known(core)) is not None:
+                own[k, :CONTEXT] = vector
+            if (vector := self.forms.get(form)) is None:
+                if len(self.forms) > CACHE:
+                    self.forms.clear()
+                vector = self.forms[form] = index_rows([f"{i}{x}" for i, x in enumerate(form)], FORM).sum(axis=0) / 2
+            own[k, CONTEXT:] = vector
+        self.rows.update(zip(words, range(first, first + len(words)), strict=True))
+
+
+#: What a worker remembers from one task to the next, of the model it used last.
+_REMEMBERED: list = []
+
+
+def _words(model: Model) -> Words:
+    if not _REMEMBERED or _REMEMBERED[0].key != model.key:
+        _REMEMBERED[:] = [model, Words(model.contexts)]
+    return _REMEMBERED[1]
 
 
 def pooled(text: str | None, words: Words) -> np.ndarray:
@@ -113,7 +136,7 @@ def context_vectors(texts: list[str]) -> dict[str, np.ndarray]:
     docs = [[form_of(w)[0] for w in (t or "").split()] for t in texts]
     vocabulary = [w for w, _ in sorted(Counter(w for d in docs for w in set(d)).items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY]]
     place = {w: k for k, w in enumerate(vocabulary)}
-    index = np.array([index_vector(w, CONTEXT) for w in vocabulary] + [np.zeros(CONTEXT)], dtype=np.float32)
+    index = np.concatenate([index_rows(vocabulary, CONTEXT), np.zeros((1, CONTEXT), dtype=np.float32)])
     total = np.zeros((len(vocabulary) + 1, CONTEXT), dtype=np.float32)
     for d in docs:
         ids = np.array([place.get(w, len(vocabulary)) for w in d], dtype=np.int64)
@@ -125,6 +148,12 @@ def context_vectors(texts: list[str]) -> dict[str, np.ndarray]:
     return {w: total[k] for w, k in place.items()}
 
 
+def standard(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Features in units of their spread, drawn towards the mean where few words speak."""
+    n = np.expm1(x[:, 2 * (CONTEXT + FORM)])
+    return (x - mean) / spread * (n / (n + FEW))[:, None]
+
+
 @dataclass
 class Network:
     """Two layers; score = sigmoid(output / temperature + shift)."""
@@ -139,13 +168,13 @@ class Network:
     shift: float = 0.0
 
     def output(self, x: np.ndarray) -> np.ndarray:
-        return np.tanh((x - self.mean) / self.spread @ self.w1 + self.b1) @ self.w2 + self.b2
+        return np.tanh(standard(x, self.mean, self.spread) @ self.w1 + self.b1) @ self.w2 + self.b2
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.output(x) / self.temperature + self.shift, -30, 30)))
 
 
-def train(x: np.ndarray, y: np.ndarray, prior: float, hidden: int = 24, steps: int = 1500, seed: int = 5) -> Network:
+def train(x: np.ndarray, y: np.ndarray, prior: float, hidden: int = 32, steps: int = 3000, seed: int = 5) -> Network:
     """Fits the network on classes of equal weight, then the temperature on held-back rows, then shifts to the `prior` of class 1."""
     rng = np.random.default_rng(seed)
     back = rng.random(len(y)) < 0.2
@@ -153,7 +182,7 @@ def train(x: np.ndarray, y: np.ndarray, prior: float, hidden: int = 24, steps: i
         back = np.zeros(len(y), bool)
     fit = np.flatnonzero(~back)
     mean, spread = x[fit].mean(axis=0), x[fit].std(axis=0) + 1e-3
-    z = (x - mean) / spread
+    z = standard(x, mean, spread)
     d = x.shape[1]
     p = [rng.normal(0, d**-0.5, (d, hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, hidden), np.zeros(1)]
     m, v = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
@@ -168,7 +197,7 @@ def train(x: np.ndarray, y: np.ndarray, prior: float, hidden: int = 24, steps: i
         for k, gr in enumerate(grads):
             m[k] = 0.9 * m[k] + 0.1 * gr
             v[k] = 0.999 * v[k] + 0.001 * gr**2
-            p[k] -= 0.01 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+            p[k] -= 0.01 * (1 - 0.9 * t / steps) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
     net = Network(mean, spread, p[0], p[1], p[2], float(p[3][0]))
     if back.any():
         o, target, w = net.output(x[back]), y[back], weight[back]
@@ -183,6 +212,7 @@ class Model:
     contexts: dict[str, np.ndarray]
     network: Network | None
     constant: float = 0.5
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def scores(self, texts: list[str | None], words: Words) -> np.ndarray:
         if self.network is None:
@@ -219,7 +249,7 @@ def scored(docs: DataFrame, model: Model, folds: int = FOLDS, held: int = 0, thr
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(shared.value.contexts)
+        words = _words(shared.value)
         for keys, texts in text_slices(batches):
             yield pa.RecordBatch.from_arrays([keys, pa.array(shared.value.scores(texts, words).astype(np.float64))], ["doc_id", "score"])
 
@@ -234,7 +264,7 @@ def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(shared.value.contexts)
+        words = _words(shared.value)
         for batch in batches:
             only = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text")], ["doc_id", "text"])
             scores = [shared.value.scores(texts, words) for _, texts in text_slices([only])]

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 #: A batch of texts is worked on in slices of about this many characters, which bounds a worker's memory.
 SLICE_CHARS = 2_000_000
 
@@ -48,13 +50,25 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: What a worker remembers from one task to the next: one thing, that of the operator it runs.
+_REMEMBERED: dict = {}
+
+
+def remembered(key: str, make: Callable[[], T]) -> T:
+    """What `make` gave for this key last time; whatever another key had is forgotten, so that a worker's memory doesn't add up over operators."""
+    if key not in _REMEMBERED:
+        _REMEMBERED.clear()
+        _REMEMBERED[key] = make()
+    return _REMEMBERED[key]
+
+
 def remainder(doc_id: str, modulus: int):
     """crc32(doc_id as text) mod `modulus`: which fold a row belongs to."""
     return F.crc32(F.col(doc_id).cast("string")) % modulus
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], key: str = "doc_id", text: str = "text") -> Iterator[tuple[pa.Array, list]]:
-    """(keys, texts) in slices of at most SLICE_CHARS characters or one document; a null text stays None."""
+def text_slices(batches: Iterator[pa.RecordBatch], key: str = "doc_id", text: str = "text", chars: int = SLICE_CHARS) -> Iterator[tuple[pa.Array, list]]:
+    """(keys, texts) in slices of at most `chars` characters or one document; a null text stays None."""
     for batch in batches:
         keys = batch.column(batch.schema.get_field_index(key))
         column = batch.column(batch.schema.get_field_index(text))
@@ -62,7 +76,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], key: str = "doc_id", text: st
         at, n = 0, len(column)
         while at < n:
             base = sizes[at - 1] if at else 0.0
-            to = max(at + 1, int(np.searchsorted(sizes, base + SLICE_CHARS, side="right")))
+            to = max(at + 1, int(np.searchsorted(sizes, base + chars, side="right")))
             yield keys.slice(at, to - at), column.slice(at, to - at).to_pylist()
             at = to
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_ids, fitted_rows, remainder, text_slices
+from .common import bounded_ids, fitted_rows, remainder, remembered, text_slices
 
 #: The fit uses at most so many labelled rows of each class, and so many characters of each. Scores read whole texts.
 PER_LABEL = 1500
@@ -97,16 +97,6 @@ class Words:
         self.rows.update(zip(words, range(first, first + len(words)), strict=True))
 
 
-#: What a worker remembers from one task to the next, of the model it used last.
-_REMEMBERED: list = []
-
-
-def _words(model: Model) -> Words:
-    if not _REMEMBERED or _REMEMBERED[0].key != model.key:
-        _REMEMBERED[:] = [model, Words(model.contexts)]
-    return _REMEMBERED[1]
-
-
 def pooled(text: str | None, words: Words) -> np.ndarray:
     """The document's vector. All words of the text count; no words give zeros."""
     found = text.split() if text else []
@@ -249,7 +239,7 @@ def scored(docs: DataFrame, model: Model, folds: int = FOLDS, held: int = 0, thr
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words(shared.value)
+        words = remembered(shared.value.key, lambda: Words(shared.value.contexts))
         for keys, texts in text_slices(batches):
             yield pa.RecordBatch.from_arrays([keys, pa.array(shared.value.scores(texts, words).astype(np.float64))], ["doc_id", "score"])
 
@@ -264,7 +254,7 @@ def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words(shared.value)
+        words = remembered(shared.value.key, lambda: Words(shared.value.contexts))
         for batch in batches:
             only = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text")], ["doc_id", "text"])
             scores = [shared.value.scores(texts, words) for _, texts in text_slices([only])]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import remembered, text_slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -282,16 +282,6 @@ class Vocabulary:
         return out[1:] if out.startswith(" ") else out
 
 
-#: The vocabulary that a worker used last, with what it remembers from one task to the next.
-_LAST: list[Vocabulary] = []
-
-
-def _kept(vocabulary: Vocabulary) -> Vocabulary:
-    if not _LAST or _LAST[0].key != vocabulary.key:
-        _LAST[:] = [vocabulary]
-    return _LAST[0]
-
-
 def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """`docs` with `pieces` array<int>, the ids of each row's whole text; null and empty texts have an empty array.
 
@@ -302,7 +292,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     schema = docs.select("*", F.array().cast("array<int>").alias("pieces")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = _kept(shared.value)
+        v = remembered(shared.value.key, lambda: shared.value)
         for batch in batches:
             at = 0
             texts = batch.column(batch.schema.get_field_index("text"))
@@ -324,10 +314,11 @@ def decoded(rows: DataFrame, vocabulary: Vocabulary, key: str = "doc_id") -> Dat
     rows = rows.select(key, "pieces")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = remembered(shared.value.key, lambda: shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if x is None else shared.value.decode(x) for x in part.column(1).to_pylist()], pa.string())], [key, "text"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if x is None else v.decode(x) for x in part.column(1).to_pylist()], pa.string())], [key, "text"])
 
     return rows.mapInArrow(run, rows.select(key, F.lit("").alias("text")).schema)
 
@@ -341,7 +332,7 @@ def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = _kept(shared.value)
+        v = remembered(shared.value.key, lambda: shared.value)
         own = np.zeros(len(v.pieces), dtype=bool)
         own[v.byte_ids] = True
         for keys, texts in text_slices(batches):

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_ids, fitted_rows, remainder, text_slices
+from .common import bounded_ids, fitted_rows, remainder, remembered, text_slices
 
 #: The fit uses at most so many labelled rows of each class, and so many characters of each. Scores read whole texts.
 PER_LABEL, FIT_CHARS = 900, 20_000
@@ -33,8 +33,6 @@ FOLDS, HELD, THRESHOLD, SPAN = 4, 2, 0.3, 0.5
 #: least, and not by chance: the expected share of false marks is FALSE (Benjamini and Hochberg).
 RATIO, LEAST, FALSE = 8.0, 4, 0.02
 CACHE = 300_000
-#: What a worker remembers from one task to the next, of the model it used last.
-_REMEMBERED: list = []
 _CORE = re.compile(r"[^\W_]+", re.U)
 #: Signs that stand for letters.
 LEET = str.maketrans("013457@$", "oieastas")
@@ -323,12 +321,6 @@ def _field_of(texts: list[list[str]], y: np.ndarray) -> Field:
     return train_field(x, n, (hit[x] & (of == 1)[:, None]).astype(np.int64), buckets, words)
 
 
-def _words(model: Model) -> Words:
-    if not _REMEMBERED or _REMEMBERED[0].key != model.key:
-        _REMEMBERED[:] = [model, Words(model.field_)]
-    return _REMEMBERED[1]
-
-
 def _spans(text: str, p: np.ndarray, found: list[re.Match]) -> list[str]:
     out, at = [], None
     for k, q in enumerate([*p, 0.0]):
@@ -353,7 +345,7 @@ def scored(docs: DataFrame, model: Model, folds: int = FOLDS, held: int = HELD,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        table = _words(m) if m.field_ else None
+        table = remembered(m.key, lambda: Words(m.field_)) if m.field_ else None
         for keys, texts in text_slices(batches):
             if table is None:
                 score, spans = [m.constant] * len(texts), [""] * len(texts)

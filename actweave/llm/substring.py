@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import remembered, text_slices
 
 WINDOW = 13
 PREFIX = 4
@@ -35,22 +35,24 @@ FREQUENT = 10_000
 #: Characters of text for each partition of prefixes, and groups of documents for each partition.
 PART_CHARS, GROUPS = 16_000_000, 4
 REACH = WINDOW - PREFIX
+#: Words whose hashes a worker remembers, and characters worked on at once.
+REMEMBERED_WORDS, SLICE = 120_000, 1_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_HASHES: dict[bytes, int] = {}
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words; a worker remembers those of frequent ones."""
-    get = _HASHES.get
+    known: dict[bytes, int] = remembered("word hashes", dict)
+    get = known.get
     out = [get(w) for w in words]
     if None in out:
-        if len(_HASHES) > 300_000:
-            _HASHES.clear()
+        if len(known) > REMEMBERED_WORDS:
+            known.clear()
         xx = xxhash.xxh64_intdigest
         for k, h in enumerate(out):
             if h is None:
                 w = words[k]
-                out[k] = _HASHES[w] = xx(w)
+                out[k] = known[w] = xx(w)
     return np.array(out, dtype=np.uint64)
 
 
@@ -145,7 +147,7 @@ def _read_hits(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 
 def _send_prefixes(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in text_slices(batches):
+        for keys, texts in text_slices(batches, chars=SLICE):
             rid, at, g = [], [], []
             for d, t in zip(keys.to_pylist(), texts, strict=True):
                 if t and d is not None:
@@ -191,7 +193,7 @@ def _repeated_prefixes(groups: int, frequent: int):
 def _pack_docs(groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
-        for keys, texts in text_slices(batches):
+        for keys, texts in text_slices(batches, chars=SLICE):
             raw = [(t or "").encode("utf-8") for t in texts]
             ids = keys.to_pylist()
             rid = np.array([_rid(d, t) for d, t in zip(ids, raw, strict=True)], dtype=np.int64)

@@ -29,7 +29,7 @@ def stubs(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def unique(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, value) of the keys that exactly one row has."""
-    return rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.first(value).alias(value)).filter("_n = 1").drop("_n")
+    return rows.groupBy(*keys).agg(F.count("*").alias("_matches"), F.first(value).alias(value)).filter("_matches = 1").drop("_matches")
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:

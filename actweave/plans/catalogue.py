@@ -463,3 +463,132 @@ def stability(spark, sf_dir):
     events = _t(spark, sf_dir, "events")
     runs = events.groupBy("user_id", "event_type").agg(F.array_sort(F.collect_set(F.to_date("ts"))).alias("days"), F.stddev_pop("value").alias("s"))
     return runs.groupBy("user_id").agg(F.count("*").alias("n_types"), (F.countDistinct("days") == 1).alias("same_days"), F.round(F.avg("s"), 6).alias("mean_spread"))
+
+
+_CLAUSE = """CASE o_orderstatus WHEN 'F' THEN 'È abrogata la Legge n.' || (o_custkey % 200 + 1) || '/' || year(o_orderdate) || '.'
+    WHEN 'O' THEN 'L''articolo ' || (o_orderkey % 40 + 1) || ' della Legge n.' || (o_custkey % 200 + 1) || '/' || year(o_orderdate) || ' è abrogato.'
+    ELSE 'È abrogata la Legge n.' || (o_custkey % 200 + 1) || '/' || year(o_orderdate) || ' a decorrere dal 1° gennaio 2099.' END"""
+
+
+def _clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _t(spark, sf_dir, "orders")
+    act = F.concat((F.col("o_custkey") % 200 + 1).cast("string"), F.lit("/"), F.year("o_orderdate").cast("string"))
+    text = (
+        F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("È abrogata la Legge n."), act, F.lit(".")))
+        .when(F.col("o_orderstatus") == "O", F.concat(F.lit("L'articolo "), F.col("o_orderkey") % 40 + 1, F.lit(" della Legge n."), act, F.lit(" è abrogato.")))
+        .otherwise(F.concat(F.lit("È abrogata la Legge n."), act, F.lit(" a decorrere dal 1° gennaio 2099.")))
+    )
+    return orders.select(F.col("o_orderkey").alias("par_id"), text.alias("text"))
+
+
+@query("""SELECT o_orderkey AS par_id, CAST(o_custkey % 200 + 1 AS INTEGER) AS number, CAST(year(o_orderdate) AS INTEGER) AS year, 'legge' AS kind FROM orders WHERE o_orderstatus = 'F'""")
+def repeal_targets(spark, sf_dir):
+    """Acts repealed as a whole, read from clauses that the orders spell out; what is partial or put off is no target."""
+    from datetime import date
+
+    from actweave.functions import repeals
+
+    return repeals.targets(_clauses(spark, sf_dir), date(2026, 9, 1))
+
+
+@query("""SELECT o_orderkey AS par_id, CAST(o_orderkey % 40 + 1 AS VARCHAR) AS article, CAST(o_custkey % 200 + 1 AS INTEGER) AS number, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders WHERE o_orderstatus = 'O'""")
+def repealed_articles(spark, sf_dir):
+    """Articles repealed within an act that goes on."""
+    from datetime import date
+
+    from actweave.functions import repeals
+
+    return repeals.partial_targets(_clauses(spark, sf_dir), date(2026, 9, 1)).select("par_id", "article", "number", "year")
+
+
+@query("""SELECT CAST(count(*) AS BIGINT) AS waiting, DATE '2099-01-01' AS next_due FROM orders WHERE o_orderstatus NOT IN ('F', 'O')""")
+def repeals_waiting(spark, sf_dir):
+    """Clauses that will hold one day, and the first such day."""
+    from datetime import date
+
+    from actweave.functions import repeals
+
+    return repeals.waiting(_clauses(spark, sf_dir), date(2026, 9, 1)).agg(F.count("*").alias("waiting"), F.min("due").alias("next_due"))
+
+
+@query("""SELECT o_orderkey, o_orderkey % 3 = 0 AS rewrites FROM orders""")
+def rewrite_predicate(spark, sf_dir):
+    """Whether a paragraph rewrites an article or only mentions it in the text that it inserts."""
+    from actweave.functions import rewrites
+
+    orders = _t(spark, sf_dir, "orders")
+    article, act = (F.col("o_orderkey") % 40 + 1).cast("string"), (F.col("o_custkey") % 200 + 1).cast("int")
+    order = F.concat(F.lit("L'articolo "), article, F.lit(" della Legge n."), act, F.lit("/2001 è così sostituito: “Nuovo testo.”"))
+    mention = F.concat(F.lit("L'articolo 99 della Legge n.999/1990 è così sostituito: “Ai sensi dell'articolo "), article, F.lit(" della Legge n."), act, F.lit("/2001.”"))
+    rows = orders.select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, order).when(F.col("o_orderkey") % 3 == 1, mention).otherwise("Nessuna modifica.").alias("text"), act.alias("act_number"), F.lit("").alias("act_title"), article.alias("article_number"))
+    return rewrites.rewriting(rows).select("o_orderkey", "rewrites")
+
+
+@query("""SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'DL' WHEN '2-HIGH' THEN 'DD' WHEN '3-MEDIUM' THEN 'L' WHEN '4-NOT SPECIFIED' THEN 'DC' ELSE 'X' END || '-' || o_custkey || '-' || year(o_orderdate) AS id,
+    CASE o_orderpriority WHEN '1-URGENT' THEN 'DecretoLegge' WHEN '2-HIGH' THEN 'DecretoDelegato' WHEN '3-MEDIUM' THEN 'Legge' WHEN '4-NOT SPECIFIED' THEN 'DecretoConsiliare' ELSE 'BandoDiGara' END AS label FROM orders""")
+def act_identifiers(spark, sf_dir):
+    """Identifiers and labels from type names as cards spell them."""
+    from actweave.functions import ids
+
+    orders = _t(spark, sf_dir, "orders")
+    p = F.col("o_orderpriority")
+    kind = F.when(p == "1-URGENT", "DECRETO  –  LEGGE").when(p == "2-HIGH", "Decreto Delega5to").when(p == "3-MEDIUM", " Legge ordinaria").when(p == "4-NOT SPECIFIED", "decreto consigliare").otherwise("bando di gara")
+    return orders.select("o_orderkey", ids.act_id(kind, F.col("o_custkey"), F.year("o_orderdate")).alias("id"), ids.label(kind).alias("label"))
+
+
+@query("""SELECT coalesce(n.c_custkey, o.c_custkey) AS c_custkey, coalesce(n.c_acctbal, o.c_acctbal) AS c_acctbal, coalesce(o.c_mktsegment, n.c_mktsegment) AS c_mktsegment
+    FROM (SELECT * FROM customer WHERE c_custkey % 3 <> 0) o FULL JOIN (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal + 1 END AS c_acctbal, 'NEW' AS c_mktsegment FROM customer WHERE c_custkey % 5 = 0) n ON o.c_custkey = n.c_custkey""")
+def upsert_merge(spark, sf_dir):
+    """Rows merged into a table by key: new values win where there are any, except in columns that only fill gaps."""
+    customer = _t(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    rows = customer.filter("c_custkey % 5 = 0").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal") + 1).alias("c_acctbal"), F.lit("NEW").alias("c_mktsegment"))
+    return graph.upserted(customer.filter("c_custkey % 3 <> 0"), rows, "c_custkey", keep=("c_mktsegment",))
+
+
+@query("""SELECT l_orderkey AS src_id, l_partkey AS dst_id, CAST(count(*) AS BIGINT) AS times FROM lineitem
+    WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 25) AND l_orderkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 25) GROUP BY ALL""")
+def cascade_delete(spark, sf_dir):
+    """Edges that are left when nodes go: none at either end."""
+    lineitem, part = _t(spark, sf_dir, "lineitem", "part")
+    edges = lineitem.groupBy(F.col("l_orderkey").alias("src_id"), F.col("l_partkey").alias("dst_id")).agg(F.count("*").alias("times"))
+    return graph.without_nodes(edges, part.filter("p_size > 25").select(F.col("p_partkey").alias("id"))).select("src_id", "dst_id", "times")
+
+
+@query("""SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM lineitem m WHERE m.l_returnflag = 'A' AND m.l_suppkey = l.l_suppkey AND m.l_partkey = l.l_partkey)""")
+def missing_edges(spark, sf_dir):
+    """Edges that are wanted and not there yet, each once."""
+    lineitem = _t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), "l_returnflag")
+    return graph.missing(lineitem.select("src", "dst"), lineitem.filter("l_returnflag = 'A'").select("src", "dst"), ["src", "dst"])
+
+
+@query(r"""WITH b AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM benchmark), a AS (SELECT item_id, unnest(regexp_extract_all(lower(left(text, 120)), '[\p{L}\p{N}]+')) AS w FROM benchmark),
+    nb AS (SELECT item_id, w, count(*) AS n FROM b GROUP BY ALL), na AS (SELECT item_id, w, count(*) AS m FROM a GROUP BY ALL),
+    l AS (SELECT nb.item_id, sum(n) AS words, sum(greatest(n - coalesce(m, 0), 0)) AS lost FROM nb LEFT JOIN na ON nb.item_id = na.item_id AND nb.w = na.w GROUP BY nb.item_id)
+    SELECT CAST(item_id AS VARCHAR) AS act_id, CAST(words AS BIGINT) AS words, CAST(lost AS BIGINT) AS lost, least(length(text), 120) >= 0.9 * length(text) AND lost <= greatest(3, 0.01 * words) AS ok FROM l JOIN benchmark USING (item_id)""")
+def rebuild_gate(spark, sf_dir):
+    """How many words a rebuilt text loses, each as often as it does, and whether it may be written."""
+    from actweave.operators import jobs
+
+    bench = _t(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("act_id"), "text")
+    return jobs.lost_words(bench, bench.select("act_id", F.left("text", F.lit(120)).alias("text"))).select("act_id", "words", "lost", "ok")
+
+
+@query("""WITH s AS (SELECT user_id, ts, event_id, CASE WHEN lag(value) OVER w < value THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+    i AS (SELECT user_id, sum(s) OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM s), c AS (SELECT user_id, count(*) AS n FROM i GROUP BY user_id, i)
+    SELECT user_id, CAST(max(n) AS BIGINT) AS longest FROM c GROUP BY user_id""")
+def increasing_runs(spark, sf_dir):
+    """The longest strictly increasing run of each key, by gaps and islands."""
+    from actweave.operators import jobs
+
+    return jobs.increasing_runs(_t(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "value")
+
+
+@query("""WITH l AS (SELECT event_id, timezone('Europe/Rome', timezone('UTC', ts)) AS t FROM events)
+    SELECT event_id, timezone('UTC', timezone('Europe/Rome', date_trunc('day', t) + INTERVAL 1 DAY)) AS next_day, timezone('UTC', timezone('Europe/Rome', date_trunc('month', t) + INTERVAL 1 MONTH)) AS next_month FROM l""")
+def counter_resets(spark, sf_dir):
+    """When the counters of the day and of the month start again, as instants."""
+    from actweave.streaming import usage
+
+    events = _t(spark, sf_dir, "events")
+    day, month = usage.next_resets(F.col("ts"))
+    return events.select("event_id", day.cast("timestamp_ntz").alias("next_day"), month.cast("timestamp_ntz").alias("next_month"))

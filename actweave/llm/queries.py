@@ -64,4 +64,4 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL = {"op2_chat": chat.ORACLE, "op3_substrings": substring.ORACLE}
+ORACLE_SQL = {"op2_chat": chat.ORACLE, "op3_substrings": substring.ORACLE, "op9_nearest": ann.ORACLE}

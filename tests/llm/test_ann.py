@@ -36,3 +36,12 @@ def test_bounds_hold():
     a, b = rng.normal(size=(50, 64)) * 10.0 ** rng.integers(-3, 4, (50, 1)), rng.normal(size=(60, 64))
     x, off = ann.bounds(ann.Quantised(a), ann.Quantised(b), slice(None), slice(None))
     assert (np.abs(x - a @ b.T) <= off).all() and (off < 0.05 * np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1))).all()
+
+
+def test_oracle(spark):
+    import duckdb
+
+    path = "/root/testdata/sf0.001/embeddings.parquet"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}'")
+    assert sorted(map(tuple, ann.nearest(spark.read.parquet(path)).collect())) == sorted(map(tuple, db.execute(ann.ORACLE).fetchall()))

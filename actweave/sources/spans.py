@@ -32,5 +32,5 @@ def rows(spans: DataFrame) -> DataFrame:
 def article_pages(lines: DataFrame) -> DataFrame:
     """lines(doc, page, text) → (doc, number, page): the first page on which each article is headed."""
     number = F.regexp_extract(F.trim("text"), HEADING, 1)
-    heads = lines.select("doc", "page", F.regexp_replace(F.lower(number), r"\s*-?\s*(?=[a-z])", " ").alias("number")).filter("number <> ''")
+    heads = lines.select("doc", "page", F.regexp_replace(F.lower(number), r"(?<=[0-9])\s*-?\s*(?=[a-z])", " ").alias("number")).filter("number <> ''")
     return heads.groupBy("doc", ids.article_key(F.col("number")).alias("_k")).agg(F.min("page").alias("page"), F.min("number").alias("number")).select("doc", "number", "page")

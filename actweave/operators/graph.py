@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,7 +16,9 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="actweave-")
+        own = tempfile.mkdtemp(prefix="actweave-")
+        atexit.register(shutil.rmtree, own, True)
+        base = "file://" + own
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/graph/{uuid.uuid4().hex}"
     df.write.parquet(path)

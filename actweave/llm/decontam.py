@@ -1,15 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: documents that share enough words with a test item are aligned with it by Smith-Waterman.
 
-The items are a stated query set and go to the executors in blocks of a bounded number of words. One scan of the documents
-finds every place where an n-gram of an item occurs and writes the passage around it. The documents of each n-gram are
-counted over that table; of every WINDOW successive n-grams of an item the rarest is a seed, so a copy that keeps n + WINDOW - 1
-successive words has one. Passages with a seed are aligned with their item: exact copies, edits, gaps and insertions score by what
-stays in order.
+The items are a stated query set and go to the executors in blocks of a bounded number of words. One scan of the documents counts
+how many of an item's words each document has. An alignment of score s matches at least s / MATCH words, so no document below
+that bound can hold a copy; the stretches of the others that are dense enough are aligned: exact copies, edits, gaps and
+insertions score by what stays in order. The score alone decides: no run of words must survive.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,14 +17,13 @@ from pyspark.sql import functions as F
 
 from .common import materialize, text_slices, without
 
-#: n + WINDOW - 1: five words in a row that a copy must keep.
-N, WINDOW = 4, 2
+#: Items of fewer words leak only as a whole.
+N = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of the best possible alignment score from which a passage is a copy.
 SIMILARITY = 0.5
 BLOCK_WORDS = 1_000_000
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -35,66 +32,55 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Index:
-    """The n-grams of a block of items. Items shorter than N words have one n-gram: themselves."""
+    """The words of a block of items, and for each word the items that have it and how often."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], least: float = SIMILARITY):
         self.vocabulary: dict[bytes, int] = {}
         self.items: list[tuple[int, np.ndarray]] = []
-        grams: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for item, text in items:
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)], dtype=np.int64)
             if len(ids):
-                at = len(self.items)
                 self.items.append((item, ids))
-                n = min(N, len(ids))
-                for j, key in enumerate(self.keys(ids, n).tolist()):
-                    grams[n][key].append((at, j))
-        self.sizes = [len(ids) for _, ids in self.items]
-        self.tables = []
-        for n, own in grams.items():
-            keys = np.array(sorted(own), dtype=np.uint64)
-            bits = np.zeros(1 << 20, dtype=bool)
-            bits[(keys >> np.uint64(44)).astype(np.int64)] = True
-            self.tables.append((n, keys, bits, [own[k] for k in keys.tolist()]))
-
-    @staticmethod
-    def keys(ids: np.ndarray, n: int) -> np.ndarray:
-        total = np.zeros(len(ids) - n + 1, dtype=np.uint64)
-        for k in range(n):
-            total = (total ^ (ids[k : len(ids) - n + 1 + k] + 2).astype(np.uint64)) * _FACTOR
-            total ^= total >> np.uint64(29)
-        return total * _FACTOR
-
-    def passages(self, words: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, list[int]]]:
-        """(item's place, first word, word ids around it, n-grams of the item found in it) of one text; -1 is a word that no item has."""
+        size = np.array([len(ids) for _, ids in self.items], dtype=np.int64)
+        #: the score that makes a copy, the words it matches at least, and the words of a text it spans at most
+        self.need = np.where(size < N, 1.0, least) * MATCH * size
+        self.least = np.maximum(np.ceil(self.need / MATCH - 1e-9), 1)
+        self.span = size + np.maximum(0, np.floor((MATCH * size - self.need) / -GAP + 1e-9)).astype(np.int64)
+        own = [np.unique(ids, return_counts=True) for _, ids in self.items]
+        word = np.concatenate([w for w, _ in own] or [np.zeros(0, np.int64)])
+        order = np.argsort(word, kind="stable")
+        self.of = np.repeat(np.arange(len(own)), [len(w) for w, _ in own])[order]
+        self.times = np.concatenate([n for _, n in own] or [np.zeros(0, np.int64)])[order]
+        self.start = np.searchsorted(word[order], np.arange(len(self.vocabulary) + 1))
+        self.mark = np.zeros(len(self.vocabulary) + 1, dtype=bool)
+
+    def passages(self, words: list[bytes]) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(item's place, first word, word ids) of the stretches of one text where an item can reach its score; -1 is a word that no item has."""
         get = self.vocabulary.get
         ids = np.array([get(w, -1) for w in words], dtype=np.int64)
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for n, keys, bits, where in self.tables:
-            if len(ids) < n:
+        kinds, count = np.unique(ids[ids >= 0], return_counts=True)
+        if not len(kinds):
+            return
+        size = self.start[kinds + 1] - self.start[kinds]
+        at = np.repeat(self.start[kinds] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        shared = np.bincount(self.of[at], np.minimum(self.times[at], np.repeat(count, size)), len(self.items))
+        for item in np.flatnonzero(shared >= self.least).tolist():
+            own, span = self.items[item][1], int(self.span[item])
+            self.mark[own] = True
+            hit = self.mark[ids]  # -1 reads the last mark, which is never set
+            self.mark[own] = False
+            # every word of the text within an alignment costs one unless it matches
+            places = np.flatnonzero(hit)
+            gain = (MATCH - GAP) * np.arange(len(places)) + GAP * places
+            if (gain - np.minimum.accumulate(gain)).max() + MATCH < self.need[item]:
                 continue
-            key = self.keys(ids, n)
-            near = np.flatnonzero(bits[(key >> np.uint64(44)).astype(np.int64)])
-            if not len(near):
-                continue
-            at = np.minimum(np.searchsorted(keys, key[near]), len(keys) - 1)
-            for p, k in zip(near.tolist(), at.tolist(), strict=True):
-                if keys[k] == key[p]:
-                    for item, j in where[k]:
-                        own = self.items[item][1]
-                        if (ids[p : p + n] == own[j : j + n]).all():
-                            hits[item].append((p, j))
-        for item, found in hits.items():
-            size = self.sizes[item]
-            slack = size // 4 + 2
-            low, high, own = found[0][0] - found[0][1], found[0][0] - found[0][1] + size, [found[0][1]]
-            for p, j in found[1:]:
-                if p - j > high + slack:
-                    yield item, max(0, low - slack), ids[max(0, low - slack) : high + slack], own
-                    low, high, own = p - j, p - j + size, []
-                low, high = min(low, p - j), max(high, p - j + size)
-                own.append(j)
-            yield item, max(0, low - slack), ids[max(0, low - slack) : high + slack], own
+            total = np.concatenate([[0], np.cumsum(hit)])
+            begin = np.arange(max(1, len(ids) - span + 1))
+            begin = begin[total[np.minimum(begin + span, len(ids))] - total[begin] >= self.least[item]]
+            if len(begin):
+                cut = np.flatnonzero(np.diff(begin) > span) + 1
+                for a, b in zip(begin[np.concatenate([[0], cut])].tolist(), begin[np.concatenate([cut - 1, [len(begin) - 1]])].tolist(), strict=True):
+                    yield item, a, ids[a : b + span]
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -111,16 +97,6 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def rare(counts: dict[tuple[int, int], int], sizes: list[int]) -> set[tuple[int, int]]:
-    """The seeds (item, n-gram): of each WINDOW successive n-grams of an item the one in the fewest documents, the earlier at a tie."""
-    out = set()
-    for item, size in enumerate(sizes):
-        n = max(1, size - N + 1)
-        for j in range(max(1, n - WINDOW + 1)):
-            out.add((item, min(range(j, min(j + WINDOW, n)), key=lambda k: (counts.get((item, k), 0), k))))
-    return out
-
-
 def _blocks(benchmark: DataFrame, words: int) -> Iterator[list[tuple[int, str]]]:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
     total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
@@ -129,63 +105,39 @@ def _blocks(benchmark: DataFrame, words: int) -> Iterator[list[tuple[int, str]]]
         yield sorted(map(tuple, items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()))
 
 
-_PASSAGE = "doc_id long, item int, start long, ids array<int>, grams array<int>"
-
-
-def _scan(docs: DataFrame, shared) -> DataFrame:
+def _found(docs: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for keys, texts in text_slices(batches):
-            rows = [(d, *x) for d, t in zip(keys.to_pylist(), texts, strict=True) for x in index.passages(words_of(t))]
-            if rows:
-                d, item, start, ids, grams = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(item, pa.int32()), pa.array(start, pa.int64()), pa.array([x.tolist() for x in ids], pa.list_(pa.int32())), pa.array(grams, pa.list_(pa.int32()))], ["doc_id", "item", "start", "ids", "grams"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, _PASSAGE)
-
-
-def _scores(passages: DataFrame, shared, seeds, least: float) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, chosen = shared.value, seeds.value
-        for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                item_id, item = index.items[r["item"]]
-                if not any((r["item"], j) in chosen for j in r["grams"]):
-                    continue
-                passage, need = np.array(r["ids"]), least * MATCH * len(item)
-                if MATCH * np.isin(item, passage).sum() < need:  # no alignment can match more words than both have
-                    continue
-                score, i, j = align(item, passage)
-                if score >= need:
-                    _, _, back = align(item[:i][::-1], passage[:j][::-1])
-                    out.append((r["doc_id"], item_id, score / (MATCH * len(item)), r["start"] + j - back, r["start"] + j))
+            for doc, text in zip(keys.to_pylist(), texts, strict=True):
+                for place, start, passage in index.passages(words_of(text)):
+                    item_id, item = index.items[place]
+                    score, i, j = align(item, passage)
+                    if score >= index.need[place]:
+                        _, _, back = align(item[:i][::-1], passage[:j][::-1])
+                        out.append((doc, item_id, score / (MATCH * len(item)), start + j - back, start + j))
             if out:
                 d, item_id, s, a, b = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(item_id, pa.int64()), pa.array(s, pa.float64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["doc_id", "item_id", "similarity", "start_word", "end_word"])
 
-    return passages.mapInArrow(run, "doc_id long, item_id long, similarity double, start_word long, end_word long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "doc_id long, item_id long, similarity double, start_word long, end_word long")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, similarity, start_word, end_word): every document that holds a passage of a benchmark item.
 
     similarity is the alignment score over that of the item with itself; one row for each pair, with its best passage (the first at a
-    tie; words as in `words_of`). Null ids and null or wordless texts on either side leak nothing. Rows that repeat an id are one document, or one item. Other
+    tie; words as in `words_of`). Items of fewer than N words leak only as a whole. Null ids and null or wordless texts on either side leak nothing. Rows that repeat an id are one document, or one item. Other
     columns are ignored. No documents or no items give no rows.
     """
     spark = docs.sparkSession
     out = None
     for items in _blocks(benchmark, block_words):
-        index = Index(items)
+        index = Index(items, similarity)
         if not index.items:
             continue
-        shared = spark.sparkContext.broadcast(index)
-        passages = materialize(_scan(docs, shared))
-        # at most one count for each n-gram of the block
-        grams = passages.select("doc_id", "item", F.explode("grams").alias("j")).groupBy("item", "j").agg(F.approx_count_distinct("doc_id", 0.02).alias("n"))
-        seeds = spark.sparkContext.broadcast(rare({(r[0], r[1]): r[2] for r in grams.collect()}, index.sizes))
-        found = _scores(passages, shared, seeds, similarity)
+        found = _found(docs, spark.sparkContext.broadcast(index))
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], "doc_id long, item_id long, similarity double, start_word long, end_word long")

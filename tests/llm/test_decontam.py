@@ -64,3 +64,18 @@ def test_leaks(spark, block):
         assert 0 <= r.start_word < r.end_word and (r.doc_id in (62, 63) or r.end_word <= len(d.words_of(text[r.doc_id])))
     assert {r.doc_id for r in d.clean(df, bench).collect()} == {i for i, _ in docs} - {i for i, _ in want}
     assert d.leaks(df.limit(0), bench).count() == 0 and d.leaks(df, bench.limit(0)).count() == 0 and d.clean(df, bench.limit(0)).count() == len(docs)
+
+
+def test_copies_without_long_runs(spark):
+    rng = random.Random(4)
+    word = lambda: rng.choice("the of and a to".split()) if rng.random() < 0.3 else "".join(rng.choice("aeioursnt") for _ in range(4))
+    items = [(k, " ".join(word() for _ in range(rng.randrange(8, 40)))) for k in range(12)] + [(12, "one two three"), (13, "one")]
+    docs = []
+    for i in range(140):
+        copy, every = items[i % 12][1].split(), 2 + i % 5  # runs of one to five words
+        copy = [x for k, w in enumerate(copy, 1) for x in ([w] if k % every else [["new"], [], [w, "new"], ["new", "new"]][i // 5 % 4])]
+        docs.append((i, " ".join([word() for _ in range(rng.randrange(60))] + copy + [word() for _ in range(rng.randrange(60))])))
+    docs += [(200, "one two other three"), (201, "zero one two three four"), (202, " ".join("the of and a to".split() * 400))]
+    got = {(r.doc_id, r.item_id) for r in d.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(i, k) for i, t in docs for k, x in items[:12] if slow_sw(d.words_of(x), d.words_of(t)) >= d.SIMILARITY * d.MATCH * len(x.split())}
+    assert got == want | {(201, 12), (200, 13), (201, 13)} and len(want) > 60

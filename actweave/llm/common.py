@@ -107,10 +107,14 @@ def bounded_ids(labels: DataFrame, label: str, bound: int, seed: int = 7) -> Dat
 
 
 def fitted_rows(docs: DataFrame, ids: DataFrame, label: str, chars: int, on: tuple[str, ...] = ("doc_id",)) -> list:
-    """Brings a bounded sample to the driver: the rows of `docs` that `ids` (see bounded_ids) names, `chars` characters of each at most."""
+    """Brings a bounded sample to the driver: whole rows of `docs` that `ids` (see bounded_ids) names, by a hash of the id until those of a label have `chars` characters."""
+    from pyspark.sql import Window
+
     keys = [c for c in on if c != "doc_id"]
-    pick = docs.select("doc_id", *keys, F.substring("text", 1, chars).alias("text")).join(F.broadcast(ids), list(on))
-    return sorted(pick.select("doc_id", "text", label).collect(), key=lambda r: (r["doc_id"], r["text"] or "", str(r[label])))
+    pick = materialize(docs.select("doc_id", *keys, "text").join(F.broadcast(ids), list(on)).select("doc_id", "text", label))
+    before = Window.partitionBy(label).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
+    some = pick.withColumn("_n", F.sum(F.coalesce(F.length("text"), F.lit(0))).over(before)).filter(F.coalesce("_n", F.lit(0)) < chars)
+    return sorted(some.select("doc_id", "text", label).collect(), key=lambda r: (r["doc_id"], r["text"] or "", str(r[label])))
 
 
 #: Up to so many ids (8 bytes each) are broadcast to filter a table; more are joined by a shuffle.

@@ -22,8 +22,8 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 EMBEDDING = 8
-#: The fit uses at most so many rows of each language, so many characters and windows of each. Predictions read whole texts.
-PER_LANGUAGE, FIT_CHARS, FIT_WINDOWS = 400, 20_000, 4
+#: The fit uses at most so many rows of each language, whole texts up to so many characters in all, and so many windows of each. Predictions read whole texts.
+PER_LANGUAGE, FIT_CHARS, FIT_WINDOWS = 400, 8_000_000, 4
 FOLDS, HELD = 3, 1
 UNKNOWN = "und"
 STEP = WINDOW - max(WIDTHS) + 1

@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import bounded_ids, fitted_rows, remainder, remembered, text_slices
 
-#: The fit uses at most so many labelled rows of each class, and so many characters of each. Scores read whole texts.
+#: The fit uses at most so many labelled rows of each class, whole texts up to so many characters in all. Scores read whole texts.
 PER_LABEL = 1500
-FIT_CHARS = 20_000
+FIT_CHARS = 30_000_000
 CONTEXT, FORM, NONZERO, REACH = 48, 64, 4, 2
 VOCABULARY = 40_000
 #: Words at which a document's features count half.

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_ids, fitted_rows, remainder, remembered, text_slices
 
-#: The fit uses at most so many labelled rows of each class, and so many characters of each. Scores read whole texts.
-PER_LABEL, FIT_CHARS = 900, 20_000
+#: The fit uses at most so many labelled rows of each class, whole texts up to so many characters in all. Scores read whole texts.
+PER_LABEL, FIT_CHARS = 900, 18_000_000
 BUCKETS = 1 << 16
 #: Tokens of a sequence of the field; a document's tokens are cut into such runs.
 RUN = 64

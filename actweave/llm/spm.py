@@ -166,13 +166,8 @@ class Vocabulary:
 
     def segment(self, s: str) -> list[int]:
         """Ids of one segment, by one pass of the automaton."""
-        if self.merges and s.startswith(MARK * 2):  # runs of marks tie in score: merged as they stand
-            marks = len(s) - len(s.lstrip(MARK))
-            if len(s) <= LONG:
-                return self._whole(self._merged(list(s)))
-            if marks == len(s):
-                return self._whole(self._merged(list(s)))
-            return self._whole(self._merged(list(s[: marks - 1]))) + self.segment(s[marks - 1 :])
+        if self.merges and s.startswith(MARK * 2):  # runs of marks tie in score: merged as they stand, at any length
+            return self._whole(self._merged(list(s)))
         n = len(s)
         piece, size_of = [-2] * (n + 1), [0] * (n + 1)  # the last piece up to each position; -2: none yet, -1: bytes of a character
         piece[0] = -1

@@ -59,3 +59,11 @@ def test_table_edges(spark, vocabulary):
     assert len(got) == len(EDGES) + 2 and all(r.round_trip for r in got)
     assert spm.encoded(df.limit(0), vocabulary).count() == 0
     assert dict(spm.encoded(df, vocabulary).dtypes)["pieces"] == "array<int>"
+
+
+def test_long_runs_of_symbols_behind_spaces(vocabulary, library):
+    for run in ("-", "*", ".", "~", "=", "_", "#", "-=", ". ", "a", "ab", "9"):
+        for n in (30, 61, 62, 63, 64, 65, 80, 200, 1001):
+            for spaces in (1, 2, 3, 4, 7, 15, 16, 17, 20):
+                for t in (" " * spaces + run * n, "x" + " " * spaces + run * n + " y"):
+                    assert vocabulary.encode(t) == library.encode(t), (run, n, spaces)

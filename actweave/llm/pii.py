@@ -33,7 +33,7 @@ LOOSE = {
     "ip": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
     "card": PATTERNS["card"],
     "phone": r"(?<![0-9A-Za-z+.(-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])",
-    "secret": r"(?i)(?:password|passwd|token|secret|api[_-]?key)[\x22\x27 ]{0,2}[=:] ?[\x22\x27]?[A-Za-z0-9_+/=.-]{8,128}",
+    "secret": r"(?i)(?:password|passwd|token|secret|api[_-]?key)[\x22\x27 ]{0,2}[=:] ?[\x22\x27]?[A-Za-z0-9_+/=.-]{8,}+",
 }
 #: What the labelers know, by kind: a strict form, words before a true span, words before a false one.
 STRICT = {

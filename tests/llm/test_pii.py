@@ -81,3 +81,15 @@ def test_no_python_runs_on_executors(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = pii.found(df, {})._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_long_secrets_are_covered_whole(spark):
+    rng = random.Random(6)
+    key = lambda n: "".join(rng.choice("abcdefXYZ_-") for _ in range(n - 2)) + "z9"
+    keys = {i: key(20 + 45 * (i % 20)) for i in range(60)} | {60: "a1" * 100_000}
+    df = spark.createDataFrame([(i, f"the token = {k} ends here", 0) for i, k in keys.items()], "doc_id long, text string, n_chars int")
+    got = {r.doc_id: r.text for r in pii.redacted(df).collect()}
+    spans = {r.doc_id: r.spans for r in pii.found(df.drop("n_chars")).collect()}
+    for i, k in keys.items():
+        assert f"secret:4:{12 + len(k)}" in spans[i], i
+        assert k[-20:] not in got[i] and "[SECRET] ends here" in got[i], got[i][:80]

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,6 +64,22 @@ def same_text(rows: DataFrame) -> DataFrame:
     return small.join(classes, ["h1", "h2"]).select("doc_id", "first_id", "copies")
 
 
+def represented(rows: DataFrame, keys: list[str], like: Callable[[Column, Column], Column], least: float) -> DataFrame:
+    """(doc_id, first_id, ratio): in the order of ids, rows(doc_id, keys, s) join the first representative of their group that is alike, or become one.
+
+    Each round gives the rows of a group that none has taken a new representative, the smallest of them, so nothing is compared within a task.
+    """
+    rest, found = written(rows.select("doc_id", *keys, "s").dropna(subset=["doc_id", *keys])), None
+    while True:
+        first = rest.groupBy(*keys).agg(F.min_by(F.struct("doc_id", "s"), "doc_id").alias("f"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        seen = written(rest.join(first, keys).filter("doc_id <> f.doc_id").withColumn("ratio", F.round(like(F.col("s"), F.col("f.s")), 6)))
+        taken = seen.filter(F.col("ratio") >= least).select("doc_id", F.col("f.doc_id").alias("first_id"), "ratio")
+        found = taken if found is None else written(found.unionByName(taken))
+        rest = seen.filter(~F.coalesce(F.col("ratio") >= least, F.lit(False))).select("doc_id", *keys, "s")
+        if rest.isEmpty():
+            return found
+
+
 def reconciled(stores: dict[str, DataFrame]) -> DataFrame:
     """(id, in_<store>...): which stores have each id; every store is a frame of one column id."""
     union = None

@@ -272,11 +272,10 @@ def exact_text_equivalents(spark, sf_dir):
 
 @query(None)
 def near_dup_bag_ratio(spark, sf_dir):
-    """Texts that open alike (same language, first 12 letters) and whose first 400 characters share most of their characters with the first of them."""
+    """Texts that open alike (same language, first 12 letters) and whose first 400 characters share most of their characters with an earlier representative."""
     docs = _t(spark, sf_dir, "documents")
     rows = docs.select("doc_id", F.col("lang").alias("k1"), F.left(tx.letters(F.col("text")), F.lit(12)).alias("k2"), F.left(F.lower("text"), F.lit(400)).alias("s"))
-    first = rows.groupBy("k1", "k2").agg(F.min_by(F.struct("doc_id", "s"), "doc_id").alias("f"))
-    return rows.join(first, ["k1", "k2"]).filter("doc_id <> f.doc_id").select("doc_id", F.col("f.doc_id").alias("first_id"), F.round(tx.quick_ratio(F.col("s"), F.col("f.s")), 6).alias("ratio")).filter("ratio >= 0.82")
+    return graph.represented(rows, ["k1", "k2"], tx.quick_ratio, 0.82)
 
 
 @query(None)

@@ -1,5 +1,7 @@
 import random
+import struct
 
+import numpy as np
 import pytest
 import sentencepiece
 
@@ -67,3 +69,45 @@ def test_long_runs_of_symbols_behind_spaces(vocabulary, library):
             for spaces in (1, 2, 3, 4, 7, 15, 16, 17, 20):
                 for t in (" " * spaces + run * n, "x" + " " * spaces + run * n + " y"):
                     assert vocabulary.encode(t) == library.encode(t), (run, n, spaces)
+
+
+def test_many_at_once_and_one_by_one_agree(vocabulary):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("etaoinshrdluéß.,-\n0123") for _ in range(rng.choice((1, 3, 9, 30, 127, 128, 129, 300)))) for _ in range(400)]
+    many = spm.Vocabulary.read()
+    many.learn(list(dict.fromkeys(words)))
+    for w in words:
+        own = []
+        kind = vocabulary._starts(np.array([ord(c) for c in spm.MARK + w]))
+        heads = sorted(set(kind.tolist()))
+        for a, b in zip(heads, [*heads[1:], len(w) + 1], strict=True):
+            own += vocabulary.segment((spm.MARK + w)[a:b])
+        assert list(struct.unpack(f"<{len(own)}I", many.seen[w])) == own
+
+
+def test_unigram_at_once_and_one_by_one_agree():
+    rng = random.Random(6)
+    pieces = ["<unk>", "▁", *{"".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))) for _ in range(40)}, "▁a", "▁ab"]
+    pieces = list(dict.fromkeys(pieces))
+    v = spm.Vocabulary(pieces, [0.0, *(-rng.random() * 9 for _ in pieces[1:])], [], frozenset([0]), 0, False)
+    for _ in range(300):
+        w = "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 40)))
+        best = {0: 0.0}
+        for k in range(1, len(w) + 2):
+            text = spm.MARK + w
+            options = [best[k - len(p)] + v.scores[i] for i, p in enumerate(pieces) if i and text[:k].endswith(p) and k - len(p) in best]
+            best[k] = max(options) if options or text[k - 1] in v.ids else best[k - 1] + v.low
+        got = v.encode(w)
+        assert abs(sum(v.scores[i] if i else v.low for i in got) - best[len(w) + 1]) < 1e-6
+
+
+def test_memory_turns_over(vocabulary, library, monkeypatch):
+    monkeypatch.setattr(spm, "REMEMBERED", 50)
+    v, rng = spm.Vocabulary.read(), random.Random(8)
+    for _ in range(40):
+        texts = [" ".join("".join(rng.choice("aeinst") for _ in range(rng.randrange(1, 5))) for _ in range(30)) for _ in range(3)]
+        for t, c in zip(texts, v.encode_texts(texts), strict=True):
+            assert list(struct.unpack(f"<{len(c) // 4}I", c)) == library.encode(t)
+    monkeypatch.setattr(spm, "AT_ONCE", 64)
+    for t in ("ab" * 300 + "é\n" * 50, "x\ny" * 200, "日本語" * 90):
+        assert v.encode(t) == library.encode(t)

@@ -12,7 +12,7 @@ from typing import TypeVar
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 T = TypeVar("T")
@@ -25,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session (tests) gets a folder of its own; a cluster is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="actweave-")
         atexit.register(shutil.rmtree, own, True)
         found = "file://" + own
@@ -35,11 +37,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _place(spark: SparkSession, path: str) -> tuple:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: writes `df` as a table in the shared folder and reads it back, so a lost executor costs only a read."""
+    """Cuts the lineage: writes `df` as a table in the shared folder and reads it back, so a lost executor costs only a read.
+
+    `discard` deletes the table; one that a result still reads when its maker returns goes when the application ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/actweave/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    files, p = _place(spark, path)
+    files.deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
@@ -49,9 +61,27 @@ def discard(df: DataFrame) -> None:
     """Deletes the table of `materialize`, once nothing reads it any more."""
     path = getattr(df, "_written_at", None)
     if path:
-        jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        files, p = _place(df.sparkSession, path)
+        files.delete(p, True)
+        files.cancelDeleteOnExit(p)
+
+
+#: A key with more than one in HOT of all rows is looked up in a broadcast table: there are fewer than HOT such keys.
+HOT = 10_000
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """`rows` with the columns of `facts`, which has one row for each non-null `key` and in `count` how many of `rows` have it, `total` in all.
+
+    Rows of the keys that hold more than one in HOT of all go by a broadcast of those fewer than HOT keys, the rest by a shuffle, so no
+    task has to take a key that holds much of the table. `facts` must be cheap to read twice (a written table).
+    """
+    names = [c for c in facts.columns if c != key]
+    hot = facts.filter(F.col(count) * HOT > total).withColumn("_hot", F.lit(True))
+    marked = rows.join(F.broadcast(hot), key, "left")
+    few = marked.filter(F.col("_hot").isNotNull()).drop("_hot")
+    rest = marked.filter(F.col("_hot").isNull()).drop("_hot", *names).join(facts, key)
+    return few.unionByName(rest)
 
 
 #: What a worker remembers from one task to the next: one thing, that of the operator it runs.
@@ -85,31 +115,24 @@ def text_slices(batches: Iterator[pa.RecordBatch], key: str = "doc_id", text: st
             at = to
 
 
+#: Groups that a label's rows are dealt into before its sample is drawn, so that a label with most of the rows is not ranked in one task.
+SHARES = 64
+
+
 def bounded_ids(labels: DataFrame, label: str, bound: int, seed: int = 7) -> DataFrame:
     """(doc_id, label) of at most `bound` rows of each label value, picked by a hash of the id.
 
-    The counts by label are one small aggregate. They give a threshold of the hash that leaves somewhat more than `bound`
-    rows, so only those few are ranked.
+    The rows of a label are ranked within SHARES groups first; what can still be among the `bound` lowest is ranked again. Nothing is collected.
     """
-    counts = {r[0]: r[1] for r in labels.groupBy(label).count().collect()}
-    hashed = labels.select("doc_id", label, F.xxhash64("doc_id", F.lit(seed)).alias("_h"))
-    near = None
-    for value, n in sorted(counts.items(), key=lambda x: str(x[0])):
-        share = min(1.0, 1.3 * bound / max(n, 1) + 60 / max(n, 1))
-        part = (F.col(label) == F.lit(value)) & (F.col("_h") <= int(-(2**63) + share * (2**64 - 1)) if share < 1 else F.col(label) == F.lit(value))
-        near = part if near is None else near | part
-    if near is None:
-        return labels.select("doc_id", label).limit(0)
-    from pyspark.sql import Window
-
+    rows = labels.select("doc_id", label, F.xxhash64("doc_id", F.lit(seed)).alias("_h")).withColumn("_g", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(SHARES)))
+    own = F.row_number().over(Window.partitionBy(label, "_g").orderBy("_h", "doc_id"))
+    few = rows.withColumn("_r", own).filter(F.col("_r") <= bound)
     rank = F.row_number().over(Window.partitionBy(label).orderBy("_h", "doc_id"))
-    return hashed.filter(near).withColumn("_r", rank).filter(F.col("_r") <= bound).select("doc_id", label)
+    return few.withColumn("_r", rank).filter(F.col("_r") <= bound).select("doc_id", label)
 
 
 def fitted_rows(docs: DataFrame, ids: DataFrame, label: str, chars: int, on: tuple[str, ...] = ("doc_id",)) -> list:
     """Brings a bounded sample to the driver: whole rows of `docs` that `ids` (see bounded_ids) names, by a hash of the id until those of a label have `chars` characters."""
-    from pyspark.sql import Window
-
     keys = [c for c in on if c != "doc_id"]
     pick = materialize(docs.select("doc_id", *keys, "text").join(F.broadcast(ids), list(on)).select("doc_id", "text", label))
     before = Window.partitionBy(label).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)

@@ -22,8 +22,8 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 EMBEDDING = 8
-#: The fit uses at most so many rows of each language, whole texts up to so many characters in all, and so many windows of each. Predictions read whole texts.
-PER_LANGUAGE, FIT_CHARS, FIT_WINDOWS = 400, 8_000_000, 4
+#: The fit uses at most so many rows of each language, whole texts up to so many characters in all. Predictions read whole texts.
+PER_LANGUAGE, FIT_CHARS = 400, 8_000_000
 FOLDS, HELD = 3, 1
 UNKNOWN = "und"
 STEP = WINDOW - max(WIDTHS) + 1
@@ -80,17 +80,19 @@ class Network:
         return z / z.sum(axis=1, keepdims=True)
 
 
-def train(x: np.ndarray, y: np.ndarray, classes: list[str], steps: int = 500, batch: int = 64, seed: int = 3) -> Network:
-    """Adam on the cross entropy of windows, drawn evenly from the classes."""
+def train(texts: list[np.ndarray], y: np.ndarray, classes: list[str], steps: int = 500, batch: int = 64, seed: int = 3) -> Network:
+    """Adam on the cross entropy of windows. `texts` holds the windows of each text, at least one; classes are drawn evenly, then texts of a class, then windows of a text."""
     rng = np.random.default_rng(seed)
     p = {"e": rng.normal(0, 0.5, (256, EMBEDDING)), "o": rng.normal(0, 0.1, (FILTERS * len(WIDTHS), len(classes))), "ob": np.zeros(len(classes))}
     for w in WIDTHS:
         p[f"f{w}"], p[f"b{w}"] = rng.normal(0, (w * EMBEDDING) ** -0.5, (w, EMBEDDING, FILTERS)), np.zeros(FILTERS)
     m, v = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}
     members = [np.flatnonzero(y == c) for c in range(len(classes))]
+    size = np.array([len(t) for t in texts])
+    begin, x = np.cumsum(size) - size, np.concatenate(texts)
     for t in range(1, steps + 1):
         own = np.concatenate([rng.choice(mine, -(-batch // len(classes))) for mine in members])
-        bytes_, target = x[own], y[own]
+        bytes_, target = x[begin[own] + (rng.random(len(own)) * size[own]).astype(np.int64)], y[own]
         emb = p["e"][bytes_]
         pools, tops = [], []
         for w in WIDTHS:
@@ -123,20 +125,18 @@ def train(x: np.ndarray, y: np.ndarray, classes: list[str], steps: int = 500, ba
 
 
 def fit(docs: DataFrame, folds: int = FOLDS, held: int = HELD, per_language: int = PER_LANGUAGE, seed: int = 3) -> Network | list[str]:
-    """Learns from text and non-null lang of rows outside the held-out fold; with fewer than two languages it returns those there are."""
-    known = docs.filter((remainder("doc_id", folds) != held) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang").distinct()
+    """Learns from text and non-null lang of rows outside the held-out fold; with fewer than two languages it returns those there are.
+
+    A language of empty texts only is not learned. Rows with a null id, text or lang teach nothing; other columns are ignored; no documents give no language.
+    """
+    known = docs.filter((remainder("doc_id", folds) != held) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang").distinct()
     rows = fitted_rows(docs, bounded_ids(known, "lang", per_language), "lang", FIT_CHARS, on=("doc_id", "lang"))
+    rows = [r for r in rows if r["text"]]
     classes = sorted({r["lang"] for r in rows})
     if len(classes) < 2:
         return classes
-    rng = np.random.default_rng(seed)
-    x, y = [], []
-    for r in rows:
-        w = windows((r["text"] or "").encode("utf-8", "replace"))
-        pick = rng.choice(len(w), min(len(w), FIT_WINDOWS), replace=False)
-        x.append(w[pick])
-        y += [classes.index(r["lang"])] * len(pick)
-    return train(np.concatenate(x), np.array(y), classes) if y and len(set(y)) == len(classes) else classes[:1]
+    place = {c: k for k, c in enumerate(classes)}
+    return train([windows(r["text"].encode("utf-8", "replace")) for r in rows], np.array([place[r["lang"]] for r in rows]), classes, seed=seed)
 
 
 def predicted(docs: DataFrame, model: Network | list[str], folds: int = FOLDS, held: int = HELD) -> DataFrame:
@@ -144,6 +144,7 @@ def predicted(docs: DataFrame, model: Network | list[str], folds: int = FOLDS, h
 
     `und` with score 0 for a null text and for one without a letter. Where one language was learned, every other text has it with score 1;
     where none was, `und`. Ties go to the language that sorts first. Rows that repeat stay; a null id is in no fold, so held_out is null.
+    Other columns are ignored, whatever their names. No documents give no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -5,18 +5,21 @@ against or not at all (a strict pattern, a gazetteer before it, words that speak
 text). The counts of the vote patterns over all documents, a bounded table, feed expectation-maximisation, which estimates how
 reliable each labeler is for each kind. A logistic span classifier is fitted to the resulting probabilities and decides on candidates.
 
-Matches are found by marking them in one regexp_replace and splitting at the marks: odd parts are matches, and the lengths
-of all parts add up to positions in code points. Patterns are written so that they neither backtrack over long
+Matches are found by marking them in one regexp_replace and splitting at the marks: odd parts are matches, and running totals of
+the parts' lengths are positions in code points. Nothing grows with the square of the matches in a text. Patterns are written so that they neither backtrack over long
 runs nor nest: what separates digits or labels is first turned into one control character.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
 JOIN, MARK, OTHER = "\x01", "\x02", "\x03"
@@ -55,23 +58,63 @@ LABELERS = ("strict", "gazetteer", "against", "makeup", "company")
 CONTEXT = 24
 
 
+SPAN = "array<struct<s:int,e:int,m:string,b:string>>"
+#: Texts are cut into blocks of so many characters where parts of them are taken by position.
+BLOCK = 4096
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _scan(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Running totals of an array by an associative operation: each round joins totals twice as far apart, so long arrays take few passes."""
+
+    def further(a: Column, k: Column) -> Column:
+        step = F.pow(F.lit(2), k).cast("int")
+        return F.concat(F.slice(a, F.lit(1), step), F.zip_with(F.slice(a, F.lit(1), F.size(a) - step), F.slice(a, step + 1, F.size(a) - step), op))
+
+    return F.aggregate(F.filter(F.sequence(F.lit(0), F.lit(30)), lambda k: F.pow(F.lit(2), k) < F.size(values)), values, further)
+
+
 def _spans(text: Column, pattern: str) -> Column:
     """array<struct<s, e, m, b>> of all matches: start, end, the match, and what stands before it."""
-    parts = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
-    nothing = F.array().cast("array<struct<s:int,e:int,m:string,b:string>>")
-    start = F.struct(F.lit(0).alias("p"), F.lit(0).alias("i"), F.lit("").alias("b"), nothing.alias("f"))
 
-    def step(a: Column, x: Column) -> Column:
-        end = a["p"] + F.length(x)
-        found = F.array(F.struct(a["p"].alias("s"), end.alias("e"), x.alias("m"), a["b"].alias("b")))
-        odd = a["i"] % 2 == 1
-        return F.struct(end.alias("p"), (a["i"] + 1).alias("i"), F.when(odd, F.lit("")).otherwise(F.right(x, F.lit(CONTEXT))).alias("b"), F.when(odd, F.concat(a["f"], found)).otherwise(a["f"]).alias("f"))
+    def of(parts: Column) -> Column:
+        def placed(ends: Column) -> Column:
+            def span(x: Column, i: Column) -> Column:
+                end = F.get(ends, i)
+                before = F.when(i % 2 == 1, F.right(F.get(parts, i - 1), F.lit(CONTEXT)))
+                return F.struct((end - F.length(x)).cast("int").alias("s"), end.cast("int").alias("e"), x.alias("m"), before.alias("b"))
+
+            return F.filter(F.transform(parts, span), lambda x: x["b"].isNotNull())
+
+        return F.when(F.size(parts) > 1, _let(_scan(F.transform(parts, lambda x: F.length(x)), lambda a, b: a + b), placed)).otherwise(_none())
 
-    return F.when(F.size(parts) > 1, F.aggregate(parts, start, step, lambda a: a["f"])).otherwise(nothing)
+    return _let(F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1), of).cast(SPAN)
 
 
 def _none() -> Column:
-    return F.array().cast("array<struct<s:int,e:int,m:string,b:string>>")
+    return F.array().cast(SPAN)
+
+
+def _free(candidates: Column, taken: Column) -> Column:
+    """Those of `candidates` (which don't overlap each other) that overlap none of `taken`."""
+
+    def point(at: Column, kind: int, reach: Column, c: Column) -> Column:
+        return F.struct(at.alias("at"), F.lit(kind).alias("kind"), reach.alias("reach"), c.alias("c"))
+
+    # what starts before a candidate's end, and how far the furthest of it goes
+    asked = F.transform(candidates, lambda c: point(c["e"], 0, F.lit(-1), c))
+    there = F.transform(taken, lambda t: point(t["s"], 1, t["e"], F.lit(None).cast("struct<s:int,e:int,m:string,b:string>")))
+
+    def kept(points: Column) -> Column:
+        far = _scan(F.transform(points, lambda x: x["reach"]), lambda a, b: F.greatest(a, b))
+        both = F.zip_with(points, far, lambda x, r: F.struct(x["kind"].alias("kind"), x["c"].alias("c"), r.alias("r")))
+        return F.transform(F.filter(both, lambda x: (x["kind"] == 0) & (x["r"] <= x["c"]["s"])), lambda x: x["c"])
+
+    return F.when(F.size(candidates) == 0, _none()).when(F.size(taken) == 0, candidates).otherwise(_let(F.array_sort(F.concat(asked, there)), kept))
 
 
 def _digits(m: Column) -> Column:
@@ -105,38 +148,43 @@ def _phone_digits(m: Column) -> Column:
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, base_<kind>, loose_<kind>): the base spans and the candidates of each row's whole text."""
-    t = F.translate(F.coalesce("text", F.lit("")), JOIN + MARK, OTHER + OTHER)
-    rows = docs.select("*", t.alias("_t"))
-    x = F.col("_t")
+    """`docs` with the columns base_<kind> and loose_<kind>: the base spans and the candidates in `text`, over its whole length."""
+    x = F.translate(F.coalesce("text", F.lit("")), JOIN + MARK, OTHER + OTHER)
     dots = F.regexp_replace(x, r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", JOIN)
     joined = F.regexp_replace(x, r"(?<=[0-9])[ -](?=[0-9])", JOIN)
     long_number = x.rlike(r"[0-9](?:[ -]?[0-9]){12}")
-    rows = rows.withColumns(
-        {
-            "base_email": F.when(x.contains("@"), _spans(dots, PATTERNS["email"])).otherwise(_none()),
-            "base_ip": F.when(x.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"), F.filter(_spans(x, PATTERNS["ip"]), lambda s: _small_parts(s["m"]))).otherwise(_none()),
-            "_numbers": F.when(long_number, F.transform(_spans(joined, PATTERNS["card"]), lambda s: F.struct(s["s"].alias("s"), s["e"].alias("e"), s["m"].alias("m"), s["b"].alias("b"), luhn(s["m"]).alias("ok")))).otherwise(F.array().cast("array<struct<s:int,e:int,m:string,b:string,ok:boolean>>")),
-            "base_phone": F.when(x.contains("+"), F.filter(_spans(x, PATTERNS["phone"]), lambda s: _phone_digits(s["m"]))).otherwise(_none()),
-            "_email": F.when(x.rlike(r"[\[(](?:at|AT)[\])]"), _spans(x, LOOSE["email"])).otherwise(_none()),
-            "_ip": F.when(x.rlike(r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{1,4}:"), _spans(x, LOOSE["ip"])).otherwise(_none()),
-            "_phone": F.when(x.rlike(r"[0-9][ .)-]{1,2}[0-9]{3,4}[ .-][0-9]{3}"), _spans(x, LOOSE["phone"])).otherwise(_none()),
-            "loose_secret": F.when((x.contains("=") | x.contains(":")) & x.rlike(r"(?i)(?:password|passwd|token|secret|key)[\x22\x27 ]{0,2}[=:]"), _spans(x, LOOSE["secret"])).otherwise(_none()),
-        }
+    numbers = f"array<struct<{SPAN[len('array<struct<'):-2]},ok:boolean>>"
+
+    def checked(s: Column) -> Column:
+        return F.struct(s["s"].alias("s"), s["e"].alias("e"), s["m"].alias("m"), s["b"].alias("b"), luhn(s["m"]).alias("ok"))
+
+    found = F.struct(
+        F.when(x.contains("@"), _spans(dots, PATTERNS["email"])).otherwise(_none()).alias("email"),
+        F.when(x.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"), F.filter(_spans(x, PATTERNS["ip"]), lambda s: _small_parts(s["m"]))).otherwise(_none()).alias("ip"),
+        F.when(long_number, F.transform(_spans(joined, PATTERNS["card"]), checked)).otherwise(F.array().cast(numbers)).alias("numbers"),
+        F.when(x.contains("+"), F.filter(_spans(x, PATTERNS["phone"]), lambda s: _phone_digits(s["m"]))).otherwise(_none()).alias("phone"),
+        F.when(x.rlike(r"[\[(](?:at|AT)[\])]"), _spans(x, LOOSE["email"])).otherwise(_none()).alias("loose_email"),
+        F.when(x.rlike(r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{1,4}:"), _spans(x, LOOSE["ip"])).otherwise(_none()).alias("loose_ip"),
+        F.when(x.rlike(r"[0-9][ .)-]{1,2}[0-9]{3,4}[ .-][0-9]{3}"), _spans(x, LOOSE["phone"])).otherwise(_none()).alias("loose_phone"),
+        F.when((x.contains("=") | x.contains(":")) & x.rlike(r"(?i)(?:password|passwd|token|secret|key)[\x22\x27 ]{0,2}[=:]"), _spans(x, LOOSE["secret"])).otherwise(_none()).alias("loose_secret"),
     )
 
-    def bare(s: Column) -> Column:
-        return F.struct(s["s"].alias("s"), s["e"].alias("e"), s["m"].alias("m"), s["b"].alias("b"))
+    def sorted_out(f: Column) -> Column:
+        card = F.filter(f["numbers"], lambda s: s["ok"])
+        base = {"email": f["email"], "ip": f["ip"], "card": F.transform(card, _bare), "phone": f["phone"]}
+        loose = {k: f[f"loose_{k}"] for k in KINDS if k != "card"} | {"card": F.transform(F.filter(f["numbers"], lambda s: ~s["ok"]), _bare)}
 
-    rows = rows.withColumns({"base_card": F.transform(F.filter("_numbers", lambda s: s["ok"]), bare), "_card": F.transform(F.filter("_numbers", lambda s: ~s["ok"]), bare)})
-    taken = F.concat(*[f"base_{k}" for k in BASE])
-    rows = rows.withColumn("_taken", taken)
+        def free(taken: Column) -> Column:
+            return F.struct(*[base[k].alias(f"base_{k}") for k in BASE], *[_free(loose[k], taken).alias(f"loose_{k}") for k in KINDS])
 
-    def free(c: Column) -> Column:
-        return ~F.exists("_taken", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
+        return _let(F.concat(*[F.transform(base[k], lambda s: F.struct(s["s"].alias("s"), s["e"].alias("e"))) for k in BASE]), free)
 
-    rows = rows.withColumns({f"loose_{k}": F.filter(f"_{k}", free) for k in BASE} | {"loose_secret": F.filter("loose_secret", free)})
-    return rows.drop("_t", "_numbers", "_taken", *[f"_{k}" for k in BASE])
+    rows = docs.withColumn("found", _let(found, sorted_out))
+    return rows.select(*docs.columns, "found.*")
+
+
+def _bare(s: Column) -> Column:
+    return F.struct(s["s"].alias("s"), s["e"].alias("e"), s["m"].alias("m"), s["b"].alias("b"))
 
 
 def votes(kind: str, span: Column, company: Column) -> list[Column]:
@@ -236,9 +284,9 @@ def classifier(rows: list[tuple[bool, int, int]], post: dict[int, float], steps:
     return w
 
 
-def fit(docs: DataFrame) -> dict[str, list[float]]:
-    """The span classifier's weights by kind, from the votes over all documents; kinds without a span have none."""
-    counts = vote_counts(with_spans(docs.select("text")))
+def fit(spans: DataFrame) -> dict[str, list[float]]:
+    """The span classifier's weights by kind, from the votes over all rows of `with_spans`; kinds without a span have none."""
+    counts = vote_counts(spans)
     out = {}
     for kind in KINDS:
         rows = [(b, c, n) for k, b, c, n in counts if k == kind]
@@ -284,10 +332,11 @@ def found(docs: DataFrame, weights: dict[str, list[float]] | None = None) -> Dat
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) for every row of `docs`(doc_id, text), over whole texts.
 
     A null text is an empty one: no spans. Rows that repeat stay; other columns are ignored. No documents give no rows. Candidates that
-    overlap a base span are not proposed. Two kinds may claim the same place if both are base spans.
+    overlap a base span are not proposed. Two kinds may claim the same place if both are base spans. In `spans`, the kind `secret` comes after
+    the four others. The spans are found once and written to the shared folder; votes and decisions read them there.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = decided(with_spans(docs), fit(docs) if weights is None else weights)
+    spans = materialize(with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).drop("text"))
+    rows = decided(spans, fit(spans) if weights is None else weights)
     added = sum((F.size(f"all_{k}") for k in KINDS), F.lit(0)) - sum((F.size(f"base_{k}") for k in BASE), F.lit(0))
     return rows.select(
         "doc_id",
@@ -303,26 +352,35 @@ def redacted(docs: DataFrame, weights: dict[str, list[float]] | None = None) ->
 
     Null texts stay null; `n_chars`, where there is one, is counted anew for changed texts. All other columns stay.
     """
-    names = docs.columns
-    rows = decided(with_spans(docs), fit(docs) if weights is None else weights)
+    whole = materialize(with_spans(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")))
+    rows = decided(whole, fit(whole) if weights is None else weights)
+    changed = F.size("every") > 0
 
     def named(kind: str) -> Column:
         return F.transform(f"all_{kind}", lambda s: F.struct(s["s"].alias("s"), s["e"].alias("e"), F.lit(f"[{kind.upper()}]").alias("k")))
 
-    every = F.array_sort(F.concat(*map(named, KINDS)))
-    start = F.struct(F.lit(0).alias("p"), F.array().cast("array<string>").alias("o"))
+    rows = rows.withColumn("every", F.array_sort(F.concat(*map(named, KINDS))))
+    rows = rows.select("row", changed.alias("changed"), F.when(changed, _replaced(F.col("text"), F.col("every"))).otherwise(F.col("text")).alias("text"))
+    own = {"text": F.col("text"), "n_chars": F.when(F.col("changed"), F.length("text")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return rows.select(*[own[c].cast(docs.schema[c].dataType).alias(c) if own.get(c) is not None else F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def _replaced(text: Column, spans: Column) -> Column:
+    """`text` with each of the spans(s, e, k), in order of their start, replaced by its k; a span that starts within an earlier one gives nothing of its own."""
+
+    def of(far: Column, blocks: Column) -> Column:
+        def part(a: Column, b: Column) -> Column:  # text[a:b], from the blocks it lies in
+            i, j = F.floor(a / BLOCK).cast("int"), F.floor(b / BLOCK).cast("int")
+            first = F.coalesce(F.get(blocks, i), F.lit(""))
+            between = F.when(j > i + 1, F.array_join(F.slice(blocks, i + 2, F.greatest(j - i - 1, F.lit(0))), "")).otherwise(F.lit(""))
+            several = F.concat(F.substring(first, a % BLOCK + 1, F.lit(BLOCK)), between, F.substring(F.coalesce(F.get(blocks, j), F.lit("")), F.lit(1), b % BLOCK))
+            return F.when(i == j, F.substring(first, a % BLOCK + 1, b - a)).otherwise(several)
 
-    def step(a: Column, s: Column) -> Column:
-        gap = F.substring("text", a["p"] + 1, s["s"] - a["p"])
-        new = F.struct(s["e"].alias("p"), F.concat(a["o"], F.array(gap, s["k"])).alias("o"))
-        longer = F.struct(F.greatest(a["p"], s["e"]).alias("p"), a["o"].alias("o"))
-        return F.when(s["s"] >= a["p"], new).otherwise(longer)
+        def piece(s: Column, i: Column) -> Column:
+            before = F.when(i == 0, F.lit(0)).otherwise(F.get(far, i - 1))
+            return F.when(s["s"] >= before, F.concat(part(before, s["s"]), s["k"])).otherwise(F.lit(""))
 
-    def end(a: Column) -> Column:
-        return F.concat(F.array_join(a["o"], ""), F.substring("text", a["p"] + 1, F.length("text")))
+        return F.concat(F.array_join(F.transform(spans, piece), ""), part(F.element_at(far, -1), F.length(text)))
 
-    rows = rows.withColumn("_every", every)
-    text = F.when(F.size("_every") > 0, F.aggregate("_every", start, step, end)).otherwise(F.col("text"))
-    rows = rows.withColumn("_new", text)
-    columns = [F.col("_new").alias("text") if c == "text" else F.when(F.size("_every") > 0, F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in names]
-    return rows.select(*columns)
+    reach = _scan(F.transform(spans, lambda s: s["e"]), lambda a, b: F.greatest(a, b))
+    return _let(reach, lambda far: _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), lambda blocks: of(far, blocks)))

@@ -1,7 +1,9 @@
 import hashlib
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 
 from actweave.llm import pii
@@ -79,8 +81,8 @@ def test_redaction_and_edges(spark):
 
 def test_no_python_runs_on_executors(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    plan = pii.found(df, {})._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+    for frame in (pii.with_spans(df), pii.found(df, {}), pii.redacted(df)):
+        assert not re.search("Python|Pandas|Arrow", frame._jdf.queryExecution().executedPlan().toString())
 
 
 def test_long_secrets_are_covered_whole(spark):
@@ -93,3 +95,80 @@ def test_long_secrets_are_covered_whole(spark):
     for i, k in keys.items():
         assert f"secret:4:{12 + len(k)}" in spans[i], i
         assert k[-20:] not in got[i] and "[SECRET] ends here" in got[i], got[i][:80]
+
+
+def test_many_matches_in_one_text(spark):
+    n = 640_000  # 5 MB
+    texts = {1: "1.2.3.4 " * n, 2: "a@b.c 555-123-4567 " * 30_000}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in pii.found(df).collect()}
+    assert got[1].n_ip == n and got[1].spans == ",".join(f"ip:{8 * k}:{8 * k + 7}" for k in range(n))
+    assert got[2].n_email == 30_000
+    new = {r.doc_id: r.text for r in pii.redacted(df).collect()}
+    assert new[1] == "[IP] " * n and new[2].count("[EMAIL]") == 30_000
+    assert time.time() - began < 240
+
+
+def test_columns_of_any_name(spark):
+    names = ["_t", "_numbers", "_taken", "_every", "_new", "base_email", "loose_ip", "all_card", "row", "found", "every", "changed", "x.y"]
+    rows = [(1, "mail me@x.example.com or token = abcdef1234567890 a@b.cc", *range(len(names)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    got = pii.redacted(df)
+    assert got.columns == df.columns and "[EMAIL] or" in got.first().text and list(got.first())[2:] == list(range(len(names)))
+    assert pii.found(df).first().n_email == 2
+
+
+def plain_decisions(texts):
+    """Spans that are added, from votes on each span by itself: no counts, no columns."""
+    base = [slow(t) for t in texts]
+    rows = {k: [] for k in pii.KINDS}
+    for d, t in enumerate(texts):
+        for kind in pii.KINDS:
+            own = [(a, b) for k, a, b in base[d] if k == kind]
+            if kind == "card":
+                other = [m.span() for m in CARD.finditer(t) if 13 <= len(re.sub("[^0-9]", "", m.group())) <= 19 and not luhn(re.sub("[^0-9]", "", m.group()))]
+            else:
+                other = [m.span() for m in re.finditer(pii.LOOSE[kind], t)]
+            loose = [(a, b) for a, b in other if not any(x < b and a < y for _, x, y in base[d])]
+            for given, spans in ((True, own), (False, loose)):
+                for a, b in spans:
+                    m, before = t[a:b], t[max(0, a - pii.CONTEXT) : a]
+                    kinds = len(set(re.sub("[^0-9A-Za-z]", "", m)))
+                    v = [1 if re.search(pii.STRICT[kind], m) else -1, int(bool(re.search(pii.BEFORE[kind], before))), -int(bool(re.search(pii.AGAINST, before))), 1 if kinds >= 5 else -1 if kinds <= 2 else 0, int(any(k != kind for k, _, _ in base[d]))]
+                    rows[kind].append((given, v, (d, f"{kind}:{a}:{b}")))
+    added = set()
+    for kind, own in rows.items():
+        if not own:
+            continue
+        p = [1 / (1 + np.exp(-1.5 * sum(v))) for _, v, _ in own]
+        for _ in range(50):
+            q = [1.0 if given else x for (given, _, _), x in zip(own, p, strict=True)]
+            seen = {(k, z, y): 1 + sum((x if z else 1 - x) for (_, v, _), x in zip(own, q, strict=True) if v[k] == y) for k in range(5) for z in (0, 1) for y in (-1, 0, 1)}
+            share = {1: 1 + sum(q), 0: 1 + sum(1 - x for x in q)}
+            new = []
+            for _, v, _ in own:
+                likely = {z: share[z] * np.prod([seen[k, z, v[k]] / sum(seen[k, z, y] for y in (-1, 0, 1)) for k in range(5)]) for z in (0, 1)}
+                new.append(likely[1] / (likely[0] + likely[1]))
+            if max(abs(a - b) for a, b in zip(new, p, strict=True)) < 1e-9:
+                break
+            p = new
+        x = np.array([[1.0, *v] for _, v, _ in own])
+        y = np.array([1.0 if given else z for (given, _, _), z in zip(own, p, strict=True)])
+        w = np.zeros(6)
+        for _ in range(400):
+            w -= 0.5 * (0.05 * w + (1 / (1 + np.exp(-x @ w)) - y) @ x / len(y))
+        added |= {name for (given, _, name), z in zip(own, x @ w, strict=True) if not given and z >= 0}
+    return added
+
+
+def test_votes_to_spans(spark):
+    rng = random.Random(9)
+    parts = ["call 555-{a}-{b}{a}", "phone ({a}) 555-{b}9", "see no 12 345 {b}", "mail jo{a} [at] host [dot] com", "from x{a} (at) y", "token = ab{a}cd{b}ef9012", "secret: aaaaaaaa", "4111 1111 1111 {b}", "jo@x{a}.com", "10.0.{a}.1", "page 10 200 {b}", "host 1:2:3:4:5:6:7:{a}", "+1 906 555 {b}", "order 4{b}111111111{a}"]
+    texts = ["; ".join(rng.choice(parts).format(a=rng.randrange(100, 256), b=rng.randrange(1000, 9999)) for _ in range(rng.randrange(1, 6))) for _ in range(250)]
+    got = {r.doc_id: r for r in pii.found(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = plain_decisions(texts)
+    assert len(want) > 50
+    for d, t in enumerate(texts):
+        assert sorted(filter(None, got[d].spans.split(","))) == sorted({n for k, n in want if k == d} | {f"{k}:{a}:{b}" for k, a, b in slow(t)}), t
+        assert got[d].n_added == sum(k == d for k, _ in want)

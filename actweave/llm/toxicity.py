@@ -26,7 +26,7 @@ from .common import bounded_ids, fitted_rows, remainder, remembered, text_slices
 #: The fit uses at most so many labelled rows of each class, whole texts up to so many characters in all. Scores read whole texts.
 PER_LABEL, FIT_CHARS = 900, 18_000_000
 BUCKETS = 1 << 16
-#: Tokens of a sequence of the field; a document's tokens are cut into such runs.
+#: Tokens that are worked on side by side: a document's chain is dealt into such runs, and what passes from run to run keeps it whole.
 RUN = 64
 FOLDS, HELD, THRESHOLD, SPAN = 4, 2, 0.3, 0.5
 #: A feature marks toxic tokens if it occurs in RATIO times more families of toxic texts than of clean ones, by share, in LEAST at
@@ -74,94 +74,121 @@ class Field:
     step: np.ndarray  # 2 x 2
     start: np.ndarray
 
-    def marginals(self, toxic: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """toxic: n x RUN potentials of the toxic state (the clean one has 0). → n x RUN marginals, and n x 2 x 2 expected transitions."""
-        n, width = toxic.shape
-        t = np.exp(self.step)
-        e = np.exp(np.clip(toxic, -30, 30))
-        a = np.empty((width, n, 2))
-        a[0, :, 0], a[0, :, 1] = np.exp(self.start[0]), np.exp(self.start[1]) * e[:, 0]
-        a[0] /= a[0].sum(axis=1, keepdims=True)
-        for k in range(1, width):
-            a[k] = a[k - 1] @ t
-            a[k, :, 1] *= e[:, k]
-            a[k] /= a[k].sum(axis=1, keepdims=True)
-        b = np.ones((width, n, 2))
-        pairs = np.zeros((n, 2, 2))
-        for k in range(width - 2, -1, -1):
-            nxt = b[k + 1].copy()
-            nxt[:, 1] *= e[:, k + 1]
-            live = length > k + 1
-            b[k] = np.where(live[:, None], nxt @ t.T, 1.0)
-            b[k] /= b[k].sum(axis=1, keepdims=True)
-            x = a[k][:, :, None] * t * nxt[:, None, :]
-            pairs += np.where(live[:, None, None], x / x.sum(axis=(1, 2), keepdims=True), 0)
-        post = a * b
-        post /= post.sum(axis=2, keepdims=True)
-        return post[:, :, 1].T, pairs
-
-    def posteriors(self, toxic: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """The marginals alone, by the odds of the two states."""
+    def odds(self, toxic: np.ndarray, length: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """toxic: runs x RUN potentials of the toxic state (the clean one has 0), `text` the chain that each run goes on with.
+
+        → by place and run: the odds of the two states from all that stands before a token (itself included), from all behind it, and the
+        token's own. A run's tokens multiply to a 2 x 2 matrix; these carry the odds over the borders of runs, so runs change nothing.
+        """
         (t00, t01), (t10, t11) = np.exp(self.step)
         e = np.exp(np.clip(toxic.T, -30, 30))
-        width = len(e)
-        f, g = np.empty_like(e), np.ones_like(e)
-        f[0] = np.exp(self.start[1] - self.start[0]) * e[0]
+        width, n = e.shape
+        m = np.zeros((2, 2, n))
+        m[0, 0], m[1, 1] = 1.0, e[0]
+        for k in range(1, width):
+            new = np.stack([m[:, 0] * t00 + m[:, 1] * t10, (m[:, 0] * t01 + m[:, 1] * t11) * e[k]], axis=1)
+            m = np.where(length > k, new / new.sum(axis=(0, 1)), m)
+        first = np.append(True, text[1:] != text[:-1])
+        (a, b), (c, d) = m.tolist()
+        begin, enter, f = float(np.exp(self.start[1] - self.start[0])), [0.0] * n, 1.0
+        for k, new_text in enumerate(first.tolist()):
+            u = enter[k] = begin if new_text else (t01 + t11 * f) / (t00 + t10 * f)
+            f = (b[k] + u * d[k]) / (a[k] + u * c[k])
+        leave, g = [1.0] * n, 1.0
+        for k in range(n - 2, -1, -1):
+            if first[k + 1]:
+                g = 1.0
+            else:
+                x = (c[k + 1] + d[k + 1] * g) / (a[k + 1] + b[k + 1] * g)
+                g = (t10 + t11 * x) / (t00 + t01 * x)
+            leave[k] = g
+        f, g = np.empty_like(e), np.empty_like(e)
+        f[0], g[-1] = np.array(enter) * e[0], leave
         for k in range(1, width):
             f[k] = e[k] * (t01 + t11 * f[k - 1]) / (t00 + t10 * f[k - 1])
-        short = length < width
         for k in range(width - 2, -1, -1):
             x = e[k + 1] * g[k + 1]
-            g[k] = (t10 + t11 * x) / (t00 + t01 * x)
-            if k >= length.min() - 1:
-                g[k][short & (length <= k + 1)] = 1.0
-        odds = f * g
-        return (odds / (1 + odds)).T
+            g[k] = np.where(length <= k + 1, g[-1], (t10 + t11 * x) / (t00 + t01 * x))
+        return f, g, e
+
+    def posteriors(self, toxic: np.ndarray, length: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """runs x RUN marginals of the toxic state, by forward-backward over whole chains."""
+        f, g, _ = self.odds(toxic, length, text)
+        return (f * g / (1 + f * g)).T
+
+    def marginals(self, toxic: np.ndarray, length: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The marginals, and by run the expected transitions (n x 2 x 2), those from its last token into the next run included."""
+        f, g, e = self.odds(toxic, length, text)
+        width, n = e.shape
+        last = length - 1
+        goes_on = np.append(text[1:] == text[:-1], False)
+        k, r = np.nonzero((np.arange(width)[:, None] < last) | ((np.arange(width)[:, None] == last) & goes_on))
+        inner = k < last[r]
+        behind = np.where(inner, k + 1, 0), np.where(inner, r, r + 1)
+        x = e[behind] * g[behind]
+        (t00, t01), (t10, t11) = np.exp(self.step)
+        own = np.stack([np.full(len(k), t00), t01 * x, t10 * f[k, r], t11 * f[k, r] * x])
+        own /= own.sum(axis=0)
+        pairs = np.stack([np.bincount(r, w, n) for w in own], axis=1).reshape(n, 2, 2)
+        return (f * g / (1 + f * g)).T, pairs
+
 
+def places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How texts of these many tokens are dealt into runs: (place of each token in runs x RUN, length of each run, its text)."""
+    rows = -(-sizes // RUN)
+    text = np.repeat(np.arange(len(sizes)), rows)
+    first = np.cumsum(rows) - rows
+    place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first * RUN, sizes)
+    length = np.minimum(sizes[text] - (np.arange(len(text)) - first[text]) * RUN, RUN)
+    return place, length, text
 
-def runs(ids: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids cut into rows of RUN, filled up with `none`; the row lengths."""
-    n = max(1, -(-len(ids) // RUN))
-    out = np.full(n * RUN, none, dtype=np.int64)
-    out[: len(ids)] = ids
-    length = np.full(n, RUN)
-    length[-1] = len(ids) - (n - 1) * RUN
-    return out.reshape(n, RUN), length
 
+def dealt(tokens: np.ndarray, place: np.ndarray, runs: int, none: float) -> np.ndarray:
+    out = np.full(runs * RUN, none, dtype=tokens.dtype)
+    out[place] = tokens
+    return out.reshape(runs, RUN)
 
-def _shifted(x: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
-    side = np.full((len(x), 1), none)
-    return np.concatenate([side, x[:, :-1]], axis=1), np.concatenate([x[:, 1:], side], axis=1)
 
+def neighbours(tokens: np.ndarray, sizes: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
+    """The token before and the token after each one of its text."""
+    left, right = np.append(none, tokens[:-1]), np.append(tokens[1:], none)
+    ends = np.cumsum(sizes[sizes > 0])
+    left[ends[:-1]], right[ends - 1] = none, none
+    return left, right
 
-def train_field(rows: np.ndarray, length: np.ndarray, gold: np.ndarray, buckets: np.ndarray, words: np.ndarray, epochs: int = 6, seed: int = 11) -> Field:
-    """rows: n x RUN word types, gold: n x RUN states, buckets: types x features, words: the bucket of each type's word. AdaGrad on the likelihood."""
+
+def train_field(tokens: np.ndarray, sizes: np.ndarray, gold: np.ndarray, buckets: np.ndarray, words: np.ndarray, epochs: int = 6, seed: int = 11) -> Field:
+    """tokens: the word types of all texts (`sizes` each), gold: their states, buckets: types x features, words: the bucket of each type's word. AdaGrad on the likelihood."""
     rng = np.random.default_rng(seed)
     f = Field(np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1), np.zeros((2, 2)), np.zeros(2))
-    f.own[BUCKETS] = 0.0
     seen = {k: np.full(getattr(f, k).shape, 1e-2) for k in ("own", "before", "after", "step", "start")}
     none = len(buckets) - 1
+    place, length, text = places(sizes)
+    runs = len(length)
+    rows = [dealt(t, place, runs, none) for t in (tokens, *neighbours(tokens, sizes, none))]
+    states = [dealt(t, place, runs, -1) for t in (gold, neighbours(gold, sizes, -1)[1])]
+    first = np.searchsorted(text, np.arange(len(sizes) + 1))
     for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for at in range(0, len(order), 512):
-            b = order[at : at + 512]
-            x, n, y = rows[b], length[b], gold[b]
-            left, right = _shifted(x, none)
-            live = np.arange(RUN)[None, :] < n[:, None]
+        order = rng.permutation(np.flatnonzero(sizes))
+        lot = np.cumsum((first[1:] - first[:-1])[order]) // 512
+        for texts in np.split(order, np.flatnonzero(np.diff(lot)) + 1) if len(order) else []:
+            b = np.concatenate([np.arange(first[t], first[t + 1]) for t in texts])
+            x, left, right = (r[b] for r in rows)
+            y, after = (r[b] for r in states)
             score = f.own[buckets].sum(axis=1)[x] + f.before[words][left] + f.after[words][right]
-            p, pairs = f.marginals(score, n)
+            p, pairs = f.marginals(score, length[b], text[b])
+            live = y >= 0
             d = np.where(live, y - p, 0.0) / 8
             g = {k: np.zeros_like(getattr(f, k)) for k in seen}
-            by_type = np.bincount(x.ravel(), d.ravel(), len(buckets))
-            np.add.at(g["own"], buckets, by_type[:, None])
+            np.add.at(g["own"], buckets, np.bincount(x.ravel(), d.ravel(), len(buckets))[:, None])
             np.add.at(g["before"], words, np.bincount(left.ravel(), d.ravel(), len(buckets)))
             np.add.at(g["after"], words, np.bincount(right.ravel(), d.ravel(), len(buckets)))
-            both = live[:, 1:]
             for i in (0, 1):
                 for j in (0, 1):
-                    g["step"][i, j] = ((y[:, :-1] == i) & (y[:, 1:] == j) & both).sum() - pairs[:, i, j].sum()
+                    g["step"][i, j] = ((y == i) & (after == j)).sum() - pairs[:, i, j].sum()
             g["step"] /= 64
-            g["start"] = (np.bincount(y[:, 0], minlength=2) - np.array([(1 - p[:, 0]).sum(), p[:, 0].sum()])) / 64
+            head = np.append(True, text[b][1:] != text[b][:-1])
+            g["start"] = (np.bincount(y[head, 0], minlength=2) - np.array([(1 - p[head, 0]).sum(), p[head, 0].sum()])) / 64
             for k in seen:
                 w = getattr(f, k)
                 grad = g[k] - 1e-4 * w
@@ -210,29 +237,23 @@ class Words:
             out = [rows[w] for w in words]
         return np.array(out, dtype=np.int64)
 
-    def marginals(self, words: list[str]) -> np.ndarray:
-        """Of every word of a text; texts longer than the cache go in parts."""
-        found = []
-        for at in range(0, len(words), CACHE // 2):
-            ids = self.ids(words[at : at + CACHE // 2])
-            x, n = runs(ids, CACHE)
-            left, right = _shifted(x, CACHE)
-            p = self.model.posteriors(self.table[x, 0] + self.table[left, 1] + self.table[right, 2], n)
-            found.append(p.ravel()[: len(ids)])
-        return np.concatenate(found) if found else np.zeros(0)
-
     def of_texts(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """Marginals of several texts at once; every text starts a run of its own."""
-        if not texts or max(map(len, texts)) > CACHE // 2 or sum(map(len, texts)) > CACHE // 2:
-            return [self.marginals(t) for t in texts]
-        ids = self.ids([w for t in texts for w in t])
-        cut = np.cumsum([0, *map(len, texts)])
-        parts = [runs(ids[a:b], CACHE) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        x, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        left, right = _shifted(x, CACHE)
-        p = self.model.posteriors(self.table[x, 0] + self.table[left, 1] + self.table[right, 2], n)
-        rows = np.cumsum([0, *(len(q[0]) for q in parts)])
-        return [p[a:b].ravel()[: len(t)] for a, b, t in zip(rows[:-1], rows[1:], texts, strict=True)]
+        """Marginals of every word of each text, each text one chain."""
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        words = [w for t in texts for w in t]
+        if not words:
+            return [np.zeros(0) for _ in texts]
+        # the table may start afresh between these parts, so potentials are taken at once
+        own = np.concatenate([self.table[self.ids(words[at : at + CACHE // 2])] for at in range(0, len(words), CACHE // 2)])
+        ends = np.cumsum(sizes[sizes > 0])
+        inside = np.ones(len(words), dtype=bool)
+        inside[ends - 1] = False
+        toxic = own[:, 0].copy()
+        toxic[1:] += np.where(inside[:-1], own[:-1, 1], 0.0)
+        toxic[:-1] += np.where(inside[:-1], own[1:, 2], 0.0)
+        place, length, text = places(sizes)
+        p = self.model.posteriors(dealt(toxic, place, len(length), 0.0), length, text).ravel()[place]
+        return np.split(p, np.cumsum(sizes)[:-1])
 
 
 def summary(p: np.ndarray) -> np.ndarray:
@@ -315,10 +336,9 @@ def _field_of(texts: list[list[str]], y: np.ndarray) -> Field:
         buckets[k, : len(own)] = [bucket(x) for x in own]
     words = np.append(buckets[:-1, 0], BUCKETS)
     hit = np.array([any(x in marks for x in own) for own in names] + [False])
-    parts = [runs(np.array([kinds[w] for w in t], dtype=np.int64), len(kinds)) for t in texts]
-    x, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    of = np.repeat(y, [len(p[0]) for p in parts])
-    return train_field(x, n, (hit[x] & (of == 1)[:, None]).astype(np.int64), buckets, words)
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    tokens = np.array([kinds[w] for t in texts for w in t], dtype=np.int64)
+    return train_field(tokens, sizes, (hit[tokens] & (np.repeat(y, sizes) == 1)).astype(np.int64), buckets, words)
 
 
 def _spans(text: str, p: np.ndarray, found: list[re.Match]) -> list[str]:
@@ -339,7 +359,7 @@ def scored(docs: DataFrame, model: Model, folds: int = FOLDS, held: int = HELD,
     """(doc_id, held_out, score, predicted, spans) for every row of `docs`(doc_id, text), over whole texts.
 
     spans: "start:end" of the toxic runs in characters, end exclusive, comma-joined; empty without any. Null and empty texts score as texts
-    without words. Rows that repeat stay; a null id is in no fold, so held_out is null. Other columns are ignored.
+    without words. Rows that repeat stay; a null id is in no fold, so held_out is null. Other columns are ignored. No documents give no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

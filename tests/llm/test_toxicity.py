@@ -11,21 +11,47 @@ SF = "/root/testdata/sf0.01"
 def test_marginals_match_enumeration():
     rng = np.random.default_rng(1)
     f = toxicity.Field(np.zeros(1), np.zeros(1), np.zeros(1), rng.normal(size=(2, 2)), rng.normal(size=2))
-    n = 7
-    e = np.zeros((1, toxicity.RUN))
-    e[0, :n] = rng.normal(size=n)
-    p, pairs = f.marginals(e, np.array([n]))
-    weight = {}
-    for y in itertools.product((0, 1), repeat=n):
-        weight[y] = np.exp(f.start[y[0]] + sum(e[0, k] * y[k] for k in range(n)) + sum(f.step[a, b] for a, b in zip(y[:-1], y[1:], strict=True)))
-    z = sum(weight.values())
-    assert np.allclose(p[0, :n], [sum(w for y, w in weight.items() if y[k]) / z for k in range(n)])
-    assert np.allclose(f.posteriors(e, np.array([n]))[0, :n], p[0, :n])
-    rows, sizes = rng.normal(size=(40, toxicity.RUN)), rng.integers(1, toxicity.RUN + 1, 40)
-    for got, full, size in zip(f.posteriors(rows, sizes), f.marginals(rows, sizes)[0], sizes, strict=True):
-        assert np.allclose(got[:size], full[:size])
-    want = np.array([[sum(w * sum((a, b) == (i, j) for a, b in zip(y[:-1], y[1:], strict=True)) for y, w in weight.items()) / z for j in (0, 1)] for i in (0, 1)])
-    assert np.allclose(pairs[0], want)
+    for n, run in ((7, 64), (9, 4), (8, 4), (5, 1)):
+        toxicity.RUN, before = run, toxicity.RUN
+        try:
+            flat = rng.normal(size=n + 3)
+            place, length, text = toxicity.places(np.array([n, 0, 3]))
+            e = toxicity.dealt(flat, place, len(length), 0.0)
+            p, pairs = f.marginals(e, length, text)
+            assert np.allclose(f.posteriors(e, length, text), p)
+        finally:
+            toxicity.RUN = before
+        for own, t in ((flat[:n], 0), (flat[n:], 2)):
+            weight = {}
+            for y in itertools.product((0, 1), repeat=len(own)):
+                weight[y] = np.exp(f.start[y[0]] + sum(own[k] * y[k] for k in range(len(own))) + sum(f.step[a, b] for a, b in zip(y[:-1], y[1:], strict=True)))
+            z = sum(weight.values())
+            assert np.allclose(p.ravel()[place][slice(0, n) if t == 0 else slice(n, None)], [sum(w for y, w in weight.items() if y[k]) / z for k in range(len(own))])
+            want = np.array([[sum(w * sum((a, b) == (i, j) for a, b in zip(y[:-1], y[1:], strict=True)) for y, w in weight.items()) / z for j in (0, 1)] for i in (0, 1)])
+            assert np.allclose(pairs[text == t].sum(axis=0), want)
+
+
+def test_runs_and_batches_change_nothing(monkeypatch):
+    rng = np.random.default_rng(2)
+    f = toxicity.Field(*(np.append(rng.normal(size=toxicity.BUCKETS), 0) for _ in range(3)), np.array([[1.5, -2.0], [-1.0, 2.5]]), np.array([1.0, -1.0]))
+    texts = [[f"w{rng.integers(300)}" for _ in range(n)] for n in (1, 63, 64, 65, 0, 128, 700, 5)]
+    whole = toxicity.Words(f).of_texts(texts)
+    assert [len(p) for p in whole] == [len(t) for t in texts]
+    for t, p in zip(texts, whole, strict=True):
+        # plain forward-backward over the whole text
+        x = [toxicity.features_of(toxicity.core_of(w)) for w in t]
+        e = [sum(f.own[toxicity.bucket(k)] for k in x[i]) + (f.before[toxicity.bucket(x[i - 1][0])] if i else 0) + (f.after[toxicity.bucket(x[i + 1][0])] if i + 1 < len(t) else 0) for i in range(len(t))]
+        a, b = [], [np.ones(2)]
+        for k, v in enumerate(e):
+            own = (np.exp(f.start) if not k else a[-1] @ np.exp(f.step)) * np.array([1, np.exp(v)])
+            a.append(own / own.sum())
+        for v in reversed(e[1:]):
+            own = np.exp(f.step) @ (b[0] * np.array([1, np.exp(v)]))
+            b.insert(0, own / own.sum())
+        assert np.allclose(p, [(m * n)[1] / (m * n).sum() for m, n in zip(a, b, strict=False)][: len(t)], atol=1e-9)
+    monkeypatch.setattr(toxicity, "CACHE", 350)
+    for t, p in zip(texts, whole, strict=True):
+        assert np.allclose(toxicity.Words(f).of_texts([t])[0], p)
 
 
 def test_held_out_rows(spark):

@@ -1,7 +1,7 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a two-layer network in numpy.
 
-Every word has a sparse random index vector, fixed by a hash. A word's context vector is the sum of the index vectors of
-its neighbours over the fitting texts; words outside that vocabulary keep their own index vector. A word's form (case,
+Words are hashed into BUCKETS; every bucket has a sparse random index vector. A bucket's context vector is the sum of the index
+vectors of the neighbours of its words over all documents: tasks add up their texts, and the sums of tasks are added by bucket. A word's form (case,
 punctuation around it, digits, length) has an index vector as well. A document is pooled to the mean and spread of its
 words' vectors and a few shares. The network's output is divided by a temperature fitted on rows held back from training.
 """
@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,7 +25,8 @@ from .common import bounded_ids, fitted_rows, remainder, remembered, text_slices
 PER_LABEL = 1500
 FIT_CHARS = 30_000_000
 CONTEXT, FORM, NONZERO, REACH = 48, 64, 4, 2
-VOCABULARY = 40_000
+#: Words share a vector if their hashes agree modulo this number, which bounds the table that the executors get (6 MB); buckets are added up in BLOCKS.
+BUCKETS, BLOCKS = 1 << 15, 128
 #: Words at which a document's features count half.
 FEW = 8
 CACHE = 120_000
@@ -64,7 +64,7 @@ def form_of(word: str) -> tuple[str, tuple]:
 class Words:
     """Rows of vectors for words as they are met; it starts afresh when it is full."""
 
-    contexts: dict[str, np.ndarray]
+    contexts: np.ndarray
     rows: dict[str, int] = field(default_factory=dict)
     forms: dict[tuple, np.ndarray] = field(default_factory=dict)
     table: np.ndarray = field(default_factory=lambda: np.zeros((CACHE, CONTEXT + FORM), dtype=np.float32))
@@ -82,13 +82,11 @@ class Words:
         return np.array(out, dtype=np.int64)
 
     def _add(self, words: list[str]) -> None:
-        first, known = len(self.rows), self.contexts.get
+        first = len(self.rows)
         pairs = [form_of(w) for w in words]
         own = self.table[first : first + len(words)]
-        own[:, :CONTEXT] = index_rows([c for c, _ in pairs], CONTEXT) / 2
-        for k, (core, form) in enumerate(pairs):
-            if (vector := known(core)) is not None:
-                own[k, :CONTEXT] = vector
+        own[:, :CONTEXT] = self.contexts[[bucket_of(c) for c, _ in pairs]]
+        for k, (_, form) in enumerate(pairs):
             if (vector := self.forms.get(form)) is None:
                 if len(self.forms) > CACHE:
                     self.forms.clear()
@@ -121,21 +119,77 @@ def pooled(text: str | None, words: Words) -> np.ndarray:
     return out
 
 
-def context_vectors(texts: list[str]) -> dict[str, np.ndarray]:
-    """Random indexing: sums of the index vectors of the words within REACH places, scaled to length one."""
-    docs = [[form_of(w)[0] for w in (t or "").split()] for t in texts]
-    vocabulary = [w for w, _ in sorted(Counter(w for d in docs for w in set(d)).items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY]]
-    place = {w: k for k, w in enumerate(vocabulary)}
-    index = np.concatenate([index_rows(vocabulary, CONTEXT), np.zeros((1, CONTEXT), dtype=np.float32)])
-    total = np.zeros((len(vocabulary) + 1, CONTEXT), dtype=np.float32)
-    for d in docs:
-        ids = np.array([place.get(w, len(vocabulary)) for w in d], dtype=np.int64)
-        for k in range(1, REACH + 1):
-            np.add.at(total, ids[k:], index[ids[:-k]])
-            np.add.at(total, ids[:-k], index[ids[k:]])
-    size = np.sqrt((total**2).sum(axis=1, keepdims=True))
-    total /= np.maximum(size, 1e-9)
-    return {w: total[k] for w, k in place.items()}
+def bucket_of(core: str) -> int:
+    return xxhash.xxh64_intdigest(core if core.isascii() else core.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+def index_vectors() -> np.ndarray:
+    """The index vector of every bucket, and one of zeros for no word."""
+    return np.concatenate([index_rows([f"bucket {k}" for k in range(BUCKETS)], CONTEXT), np.zeros((1, CONTEXT), dtype=np.float32)]).astype(np.int8)
+
+
+def _add_contexts(total: np.ndarray, ids: np.ndarray, index: np.ndarray) -> None:
+    """Adds to each bucket of `ids` (texts apart by REACH places of no word) the index vectors within REACH places."""
+    own = index[ids]
+    near = np.zeros_like(own)
+    for k in range(1, REACH + 1):
+        near[k:] += own[:-k]
+        near[:-k] += own[k:]
+    order = np.argsort(ids, kind="stable")
+    kinds, start = np.unique(ids[order], return_index=True)
+    total[kinds] += np.add.reduceat(near[order], start, axis=0, dtype=np.int32)
+
+
+def context_vectors(docs: DataFrame) -> np.ndarray:
+    """Random indexing over all of `docs`(text): BUCKETS x CONTEXT sums scaled to length one; a bucket without neighbours has half its index vector."""
+    own = BUCKETS // BLOCKS
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, total = index_vectors(), np.zeros((BUCKETS + 1, CONTEXT), dtype=np.int32)
+        known: dict[str, int] = {}
+        for _, texts in text_slices(batches, key="text"):
+            ids: list[int] = []
+            for t in texts:
+                words = t.split() if t else []
+                found = list(map(known.get, words))
+                if None in found:
+                    for k, b in enumerate(found):
+                        if b is None:
+                            found[k] = known[words[k]] = bucket_of(form_of(words[k])[0])
+                ids += found
+                ids += [BUCKETS] * REACH
+                if len(ids) > 100_000:
+                    _add_contexts(total, np.array(ids), index)
+                    ids = []
+            if ids:
+                _add_contexts(total, np.array(ids), index)
+            if len(known) > CACHE:
+                known = {}
+        used = np.flatnonzero(total[:BUCKETS].any(axis=1))
+        for at in np.split(used, np.flatnonzero(np.diff(used // own)) + 1) if len(used) else []:
+            part = total[at]
+            kind = np.int16 if np.abs(part).max() < 2**15 else np.int32
+            yield pa.RecordBatch.from_arrays([pa.array([int(at[0]) // own], pa.int32()), pa.array([(at % own).astype(np.int16).tobytes()], pa.binary()), pa.array([part.astype(kind).T.tobytes()], pa.binary())], ["block", "at", "sums"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                at = np.frombuffer(r["at"], dtype=np.int16).astype(np.int64)
+                kind = np.int16 if len(r["sums"]) == 2 * CONTEXT * len(at) else np.int32
+                blocks.setdefault(r["block"], np.zeros((own, CONTEXT), dtype=np.int64))[at] += np.frombuffer(r["sums"], dtype=kind).reshape(CONTEXT, -1).T
+        for b, total in blocks.items():
+            size = np.sqrt((total.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([(total / np.maximum(size, 1e-9)).astype(np.float32).tobytes()], pa.binary())], ["block", "vectors"])
+
+    parts = docs.select("text").mapInArrow(sums, "block int, at binary, sums binary")
+    n = min(BLOCKS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    out = index_vectors()[:BUCKETS].astype(np.float32) / 2
+    for r in parts.repartition(n, "block").mapInArrow(added, "block int, vectors binary").collect():
+        found = np.frombuffer(r["vectors"], dtype=np.float32).reshape(own, CONTEXT)
+        seen = found.any(axis=1)
+        out[r["block"] * own : (r["block"] + 1) * own][seen] = found[seen]
+    return out
 
 
 def standard(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
@@ -199,7 +253,7 @@ def train(x: np.ndarray, y: np.ndarray, prior: float, hidden: int = 32, steps: i
 
 @dataclass
 class Model:
-    contexts: dict[str, np.ndarray]
+    contexts: np.ndarray | None
     network: Network | None
     constant: float = 0.5
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
@@ -211,7 +265,7 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = FOLDS, held: int = 0, per_label: int = PER_LABEL) -> Model:
-    """Learns from labelled rows outside the held-out fold, from at most `per_label` of each class.
+    """Learns from labelled rows outside the held-out fold, from at most `per_label` of each class; word vectors come from all documents.
 
     Rows with a null id, a null label or a label other than 0 and 1 teach nothing; an id labelled twice counts with the larger label.
     With no or one class, every document scores that class's share (0.5 with none).
@@ -219,12 +273,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
     known = labels.filter(remainder("doc_id", folds) != held).filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias(label))
     shares = {int(r[0]): r[1] for r in known.groupBy(label).count().collect()}
     if len(shares) < 2:
-        return Model({}, None, float(next(iter(shares), 0.5)))
+        return Model(None, None, float(next(iter(shares), 0.5)))
     rows = fitted_rows(docs, bounded_ids(known, label, per_label), label, FIT_CHARS)
     texts, y = [r["text"] for r in rows], np.array([r[label] for r in rows])
     if len(set(y.tolist())) < 2:
-        return Model({}, None, shares.get(1, 0) / sum(shares.values()))
-    contexts = context_vectors(texts)
+        return Model(None, None, shares.get(1, 0) / sum(shares.values()))
+    contexts = context_vectors(docs)
     words = Words(contexts)
     x = np.array([pooled(t, words) for t in texts], dtype=np.float64)
     return Model(contexts, train(x, y, shares[1] / (shares[0] + shares[1])))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_slices, without
+from .common import materialize, text_slices, with_facts, without
 from .components import components
 
 SEED = 42
@@ -202,12 +202,21 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, budget: int = BUDGET) -
     Other columns of `docs` are ignored. No documents give no rows.
     """
     prints = materialize(fingerprints(docs, words))
+    facts = materialize(components_of(prints, budget))
+    total = facts.agg(F.sum("n")).first()[0] or 0
+    named = with_facts(prints, facts, "fp", "n", total)
+    return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies")
+
+
+def components_of(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """prints(doc_id, fp) → (fp, n, component_id, copies) for every fingerprint: its rows, the smallest id and the rows of its component."""
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
-    roots = materialize(components(near_links(distinct.select("fp"), budget)))
-    linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
-    whole = linked.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("copies"))
-    named = linked.select("fp", "root").join(whole, "root").select("fp", "component_id", "copies")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies")
+    roots = components(near_links(distinct.select("fp"), budget))
+    members = materialize(distinct.join(roots.withColumnRenamed("node", "fp"), "fp"))
+    whole = materialize(members.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("copies"), F.count("*").alias("members")))
+    total = whole.agg(F.sum("members")).first()[0] or 0
+    named = with_facts(members.select("fp", "root"), whole, "root", "members", total).select("fp", "component_id", "copies")
+    return distinct.join(named, "fp", "left").select("fp", "n", F.coalesce("component_id", "low").alias("component_id"), F.coalesce("copies", "n").alias("copies"))
 
 
 def _with_print(docs: DataFrame, words: int = WORDS) -> DataFrame:

@@ -1,6 +1,7 @@
 """Nearest neighbours by a block matrix join.
 
-Queries come in blocks of a bounded number of bytes; each block meets all candidates, partition by partition, in tiles.
+Queries and candidates are dealt into blocks of a bounded number of bytes; every block of queries meets every block of candidates in a
+task of its own, in tiles, and sends on the k best of each query. Nothing but two counts reaches the driver.
 A tile's int8 product gives every inner product up to an error bound; only pairs whose upper bound reaches the k-th best
 lower bound are recomputed in double precision and go into the query's heap. The result is exact.
 """
@@ -15,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of query vectors that are sent to the executors at once.
-BLOCK_BYTES = 32_000_000
+#: Bytes of a block of query vectors, and of a block of candidates.
+BLOCK_BYTES, CANDIDATE_BYTES = 32_000_000, 64_000_000
 TILE = 2048
 K = 20
 
@@ -112,16 +113,14 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = K, vector: str = "embe
     spark = vectors.sparkSession
     rows = _usable(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")))
     asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n, widest = asked.agg(F.count("*"), F.max(F.size("v"))).first()
-    schema = "query_id long, vec_id array<long>, score array<double>"
-    if not n:
-        found = [spark.createDataFrame([], schema)]
-    else:
-        blocks = -(-n * widest * 8 // block_bytes)
-        found = [_one_block(rows, asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b), k, schema) for b in range(blocks)]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+    n, widest = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    blocks = max(1, -(-asked.count() * (widest or 1) * 8 // block_bytes))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    others = max(-(-n * (widest or 1) * 8 // CANDIDATE_BYTES), -(-tasks // blocks))
+    # candidates are dealt by their place in the table, so rows that repeat an id spread as others do
+    left = asked.withColumn("q", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))))
+    right = rows.withColumn("c", F.pmod(F.monotonically_increasing_id(), F.lit(others))).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    out = left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInArrow(_met(k), "query_id long, vec_id array<long>, score array<double>")
     out = out.select("query_id", F.explode(F.arrays_zip("vec_id", "score")).alias("x")).select("query_id", "x.vec_id", "x.score")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -139,24 +138,25 @@ def _matrix(table: pa.Table | pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.n
         yield ids[own], flat[start[own][:, None] + np.arange(d)]
 
 
-def _one_block(rows: DataFrame, asked: DataFrame, k: int, schema: str) -> DataFrame:
-    block = asked.sparkSession.sparkContext.broadcast([(i, q) for i, q in _matrix(asked.toArrow())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = {q.shape[1]: (i, q, Quantised(q), Heaps(len(q), k)) for i, q in block.value}
-        for batch in batches:
-            for ids, found in _matrix(batch):
-                if found.shape[1] in state:
-                    i, q, q8, heaps = state[found.shape[1]]
-                    search(q, i, q8, found, ids, heaps)
-        for i, _, _, heaps in state.values():
-            best = [sorted(h, reverse=True) for h in heaps.heaps]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(i), pa.array([[-x for _, x in h] for h in best], pa.list_(pa.int64())), pa.array([[s for s, _ in h] for h in best], pa.list_(pa.float64()))],
-                ["query_id", "vec_id", "score"],
-            )
-
-    return rows.mapInArrow(run, schema)
+def _met(k: int):
+    """The k best candidates of one block for each query of another."""
+
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], []]
+        found = {r.shape[1]: (ids, r) for ids, r in _matrix(rows)} if rows.num_rows else {}
+        for i, q in _matrix(asked) if found else ():
+            if q.shape[1] in found:
+                heaps = Heaps(len(q), k)
+                ids, r = found[q.shape[1]]
+                search(q, i, Quantised(q), r, ids, heaps)
+                best = [sorted(h, reverse=True) for h in heaps.heaps]
+                out[0] += i.tolist()
+                out[1] += [[-x for _, x in h] for h in best]
+                out[2] += [[s for s, _ in h] for h in best]
+        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()))
+        return pa.table([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["query_id", "vec_id", "score"])
+
+    return run
 
 
 ORACLE = """

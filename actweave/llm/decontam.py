@@ -1,9 +1,11 @@
-"""Benchmark decontamination: documents that share enough words with a test item are aligned with it by Smith-Waterman.
-
-The items are a stated query set and go to the executors in blocks of a bounded number of words. One scan of the documents counts
-how many of an item's words each document has. An alignment of score s matches at least s / MATCH words, so no document below
-that bound can hold a copy; the stretches of the others that are dense enough are aligned: exact copies, edits, gaps and
-insertions score by what stays in order. The score alone decides: no run of words must survive.
+"""Benchmark decontamination: rare n-gram seeds join documents to test items, and Smith-Waterman scores what they join.
+
+The items are a stated query set and go to the executors in blocks of a bounded number of words. A first scan counts in how many documents
+each of their words stands. An alignment of score s matches at least s / MATCH of an item's words; so of the words that any document
+has, all but that many less one, the rarest ones, are the item's seeds, and no copy is without one. Seeds are n-grams of one word,
+as edits every few words leave no longer one. A second scan looks the seeds up in the documents; an item that a seed joins is
+tested by all its words, and the stretches that are dense enough are aligned: exact copies, edits, gaps and insertions score
+by what stays in order. The score alone decides: no run of words must survive.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Index:
-    """The words of a block of items, and for each word the items that have it and how often."""
+    """The words of a block of items; how often each item has them, and which of them are its seeds."""
 
     def __init__(self, items: list[tuple[int, str]], least: float = SIMILARITY):
         self.vocabulary: dict[bytes, int] = {}
@@ -44,27 +46,55 @@ class Index:
         size = np.array([len(ids) for _, ids in self.items], dtype=np.int64)
         #: the score that makes a copy, the words it matches at least, and the words of a text it spans at most
         self.need = np.where(size < N, 1.0, least) * MATCH * size
-        self.least = np.maximum(np.ceil(self.need / MATCH - 1e-9), 1)
+        self.least = np.maximum(np.ceil(self.need / MATCH - 1e-9), 1).astype(np.int64)
         self.span = size + np.maximum(0, np.floor((MATCH * size - self.need) / -GAP + 1e-9)).astype(np.int64)
         own = [np.unique(ids, return_counts=True) for _, ids in self.items]
-        word = np.concatenate([w for w, _ in own] or [np.zeros(0, np.int64)])
+        self.word = np.concatenate([w for w, _ in own] or [np.zeros(0, np.int64)])
+        self.times = np.concatenate([n for _, n in own] or [np.zeros(0, np.int64)])
+        self.first = np.cumsum([0, *(len(w) for w, _ in own)])
+        self.count = np.zeros(len(self.vocabulary) + 1, dtype=np.int64)
+        self.mark = np.zeros(len(self.vocabulary) + 1, dtype=bool)
+        self.choose(np.ones(len(self.vocabulary), dtype=np.int64))
+
+    def choose(self, documents: np.ndarray) -> None:
+        """Chooses the seeds, from the number of documents that have each word: per item the rarest places that not every copy can do without."""
+        item, word = [], []
+        for k, (_, ids) in enumerate(self.items):
+            own = ids[documents[ids] > 0]
+            own = own[np.lexsort((own, documents[own]))][: len(own) - self.least[k] + 1] if len(own) >= self.least[k] else own[:0]
+            own = np.unique(own)
+            item.append(np.full(len(own), k))
+            word.append(own)
+        word, item = np.concatenate(word or [np.zeros(0, np.int64)]), np.concatenate(item or [np.zeros(0, np.int64)])
         order = np.argsort(word, kind="stable")
-        self.of = np.repeat(np.arange(len(own)), [len(w) for w, _ in own])[order]
-        self.times = np.concatenate([n for _, n in own] or [np.zeros(0, np.int64)])[order]
+        self.seeded = item[order]
         self.start = np.searchsorted(word[order], np.arange(len(self.vocabulary) + 1))
-        self.mark = np.zeros(len(self.vocabulary) + 1, dtype=bool)
 
-    def passages(self, words: list[bytes]) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(item's place, first word, word ids) of the stretches of one text where an item can reach its score; -1 is a word that no item has."""
+    def words_in(self, words: list[bytes]) -> np.ndarray:
+        """The number of each word of a text; -1 is a word that no item has."""
         get = self.vocabulary.get
-        ids = np.array([get(w, -1) for w in words], dtype=np.int64)
+        return np.array([get(w, -1) for w in words], dtype=np.int64)
+
+    def joined(self, kinds: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Items that a seed joins to a text with these words, and enough of their other words besides."""
+        size = self.start[kinds + 1] - self.start[kinds]
+        item = np.unique(self.seeded[np.repeat(self.start[kinds] - np.cumsum(size) + size, size) + np.arange(size.sum())])
+        if not len(item):
+            return item
+        size = self.first[item + 1] - self.first[item]
+        at = np.repeat(self.first[item] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        self.count[kinds] = count
+        shared = np.add.reduceat(np.minimum(self.times[at], self.count[self.word[at]]), np.cumsum(size) - size)
+        self.count[kinds] = 0
+        return item[shared >= self.least[item]]
+
+    def passages(self, words: list[bytes]) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(item's place, first word, word ids) of the stretches of one text where an item can reach its score."""
+        ids = self.words_in(words)
         kinds, count = np.unique(ids[ids >= 0], return_counts=True)
         if not len(kinds):
             return
-        size = self.start[kinds + 1] - self.start[kinds]
-        at = np.repeat(self.start[kinds] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        shared = np.bincount(self.of[at], np.minimum(self.times[at], np.repeat(count, size)), len(self.items))
-        for item in np.flatnonzero(shared >= self.least).tolist():
+        for item in self.joined(kinds, count).tolist():
             own, span = self.items[item][1], int(self.span[item])
             self.mark[own] = True
             hit = self.mark[ids]  # -1 reads the last mark, which is never set
@@ -105,6 +135,25 @@ def _blocks(benchmark: DataFrame, words: int) -> Iterator[list[tuple[int, str]]]
         yield sorted(map(tuple, items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()))
 
 
+_LEAK = "doc_id long, item_id long, similarity double, start_word long, end_word long"
+
+
+def _counted(docs: DataFrame, shared) -> DataFrame:
+    """(word, n): how many of the documents have each word of the items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        total = np.zeros(len(index.vocabulary), dtype=np.int64)
+        for _, texts in text_slices(batches, key="text"):
+            for text in texts:
+                ids = index.words_in(list(set(words_of(text))))
+                total[ids[ids >= 0]] += 1
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["word", "n"])
+
+    return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
 def _found(docs: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -121,7 +170,7 @@ def _found(docs: DataFrame, shared) -> DataFrame:
                 d, item_id, s, a, b = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(item_id, pa.int64()), pa.array(s, pa.float64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["doc_id", "item_id", "similarity", "start_word", "end_word"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "doc_id long, item_id long, similarity double, start_word long, end_word long")
+    return docs.mapInArrow(run, _LEAK)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -132,15 +181,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     columns are ignored. No documents or no items give no rows.
     """
     spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     out = None
     for items in _blocks(benchmark, block_words):
         index = Index(items, similarity)
         if not index.items:
             continue
-        found = _found(docs, spark.sparkContext.broadcast(index))
+        shared = spark.sparkContext.broadcast(index)
+        documents = np.zeros(len(index.vocabulary), dtype=np.int64)
+        for r in _counted(docs, shared).collect():  # a number for each word of the block at most
+            documents[r["word"]] = r["n"]
+        shared.destroy()
+        index.choose(documents)
+        shared = spark.sparkContext.broadcast(index)
+        found = materialize(_found(docs, shared))
+        shared.destroy()
         out = found if out is None else out.unionByName(found)
     if out is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, similarity double, start_word long, end_word long")
+        return spark.createDataFrame([], _LEAK)
     best = F.max_by(F.struct("similarity", "start_word", "end_word"), F.struct("similarity", (-F.col("start_word")).alias("a"), (-F.col("end_word")).alias("b")))
     return out.groupBy("doc_id", "item_id").agg(best.alias("x")).select("doc_id", "item_id", "x.*")
 

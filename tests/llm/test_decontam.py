@@ -79,3 +79,30 @@ def test_copies_without_long_runs(spark):
     got = {(r.doc_id, r.item_id) for r in d.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     want = {(i, k) for i, t in docs for k, x in items[:12] if slow_sw(d.words_of(x), d.words_of(t)) >= d.SIMILARITY * d.MATCH * len(x.split())}
     assert got == want | {(201, 12), (200, 13), (201, 13)} and len(want) > 60
+
+
+def test_rare_seeds_lose_nothing():
+    rng = random.Random(7)
+    word = lambda: rng.choice("the of and a to in".split()) if rng.random() < 0.5 else "".join(rng.choice("abc") for _ in range(3))
+    items = [(k, " ".join(word() for _ in range(rng.randrange(1, 25)))) for k in range(30)]
+    docs = [" ".join(word() for _ in range(rng.randrange(1, 60))) for _ in range(300)]
+    index = d.Index(items)
+    counts = np.zeros(len(index.vocabulary), dtype=np.int64)
+    for t in docs:
+        ids = index.words_in(list(set(d.words_of(t))))
+        counts[ids[ids >= 0]] += 1
+    index.choose(counts)
+    seeds = sum(np.bincount(index.seeded, minlength=len(items)))
+    assert 0 < seeds < 0.7 * sum(len(set(x.tolist())) for _, x in index.items)
+    for t in docs:
+        got = {k: max(d.align(index.items[k][1], p)[0] for j, _, p in index.passages(d.words_of(t)) if j == k) for k in {j for j, _, _ in index.passages(d.words_of(t))}}
+        for k, (_, text) in enumerate(items):
+            best = slow_sw(d.words_of(text), d.words_of(t))
+            assert (best >= index.need[k]) == (got.get(k, 0) >= index.need[k])
+
+
+def test_an_item_in_very_many_documents(spark):
+    text = "one long benchmark question about rivers and bridges in the old town"
+    docs = spark.range(30_000).selectExpr("id AS doc_id", f"CASE WHEN id % 3 = 0 THEN concat('x', id, ' {text} y', id) ELSE concat('the old bridges ', id) END AS text")
+    got = d.leaks(docs, spark.createDataFrame([(1, text), (2, "another item of the bench with other words")], "item_id long, text string"))
+    assert got.count() == 10_000 and got.filter("similarity < 1").count() == 0

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, text_slices, with_facts, without
@@ -201,48 +201,56 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, budget: int = BUDGET) -
     any other. `copies`: rows in the component. Rows that repeat a doc_id stay, each with its own text's component.
     Other columns of `docs` are ignored. No documents give no rows.
     """
+    named = _named(docs, words, budget)
+    return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies")
+
+
+def _named(docs: DataFrame, words: int = WORDS, budget: int = BUDGET) -> DataFrame:
+    """(fp, doc_id, n, root, component_id, copies) for every row; `root` tells components apart."""
     prints = materialize(fingerprints(docs, words))
     facts = materialize(components_of(prints, budget))
-    total = facts.agg(F.sum("n")).first()[0] or 0
-    named = with_facts(prints, facts, "fp", "n", total)
-    return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies")
+    return with_facts(prints, facts, "fp", "n", facts.agg(F.sum("n")).first()[0] or 0)
 
 
 def components_of(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """prints(doc_id, fp) → (fp, n, component_id, copies) for every fingerprint: its rows, the smallest id and the rows of its component."""
+    """prints(doc_id, fp) → (fp, n, root, component_id, copies) for every fingerprint: its rows, and the smallest fingerprint, the smallest id and the rows of its component."""
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
     roots = components(near_links(distinct.select("fp"), budget))
     members = materialize(distinct.join(roots.withColumnRenamed("node", "fp"), "fp"))
     whole = materialize(members.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("copies"), F.count("*").alias("members")))
     total = whole.agg(F.sum("members")).first()[0] or 0
-    named = with_facts(members.select("fp", "root"), whole, "root", "members", total).select("fp", "component_id", "copies")
-    return distinct.join(named, "fp", "left").select("fp", "n", F.coalesce("component_id", "low").alias("component_id"), F.coalesce("copies", "n").alias("copies"))
+    named = with_facts(members.select("fp", "root"), whole, "root", "members", total).select("fp", "root", "component_id", "copies")
+    return distinct.join(named, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "low").alias("component_id"), F.coalesce("copies", "n").alias("copies"))
 
 
-def _with_print(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """`docs` with the column `_fp`."""
+def _with_print(rows: DataFrame, words: int = WORDS) -> DataFrame:
+    """rows(row, doc_id, text) with `fp` in place of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t.as_py(), words) for t in batch.column(batch.schema.get_field_index("text"))], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp)], [*batch.schema.names, "_fp"])
+            fp = np.array([fingerprint(t.as_py(), words) for t in batch.column(2)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], schema=pa.schema([batch.schema.field(0), batch.schema.field(1), pa.field("fp", pa.int64())]))
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(0).cast("long").alias("_fp")).schema)
+    return rows.mapInArrow(run, rows.select("row", "doc_id", F.lit(0).cast("long").alias("fp")).schema)
 
 
 def kept(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay after near-duplicate removal: of each component, the row with the smallest doc_id.
 
-    Of rows that share their id and stay, one does. Rows without an id stay, as nothing can name them.
+    Of rows of one component that share that id one stays; rows that share an id but lie in different components are judged apart. Rows
+    without an id stay, as nothing can name them. All columns stay, whatever their names.
     """
-    near = materialize(near_duplicates(docs.filter(F.col("doc_id").isNotNull())))
+    named = docs.filter(F.col("doc_id").isNotNull())
+    near = materialize(_named(named).select("doc_id", "fp", "root", "component_id"))
     again = materialize(near.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
     gone = near.filter("doc_id <> component_id").select("doc_id")
-    if not again.count():
+    if again.isEmpty():
         return without(docs, materialize(gone))
     out = without(docs, materialize(gone.unionByName(again).distinct()))
     # rows that share an id are told apart by their fingerprints
-    rows = _with_print(docs.join(again.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left_semi"))
-    low = near.select(F.conv("fingerprint", 16, -10).cast("long").alias("_f"), "component_id").distinct()
-    stay = rows.join(low, (F.col("_fp") == F.col("_f")) & (F.col("doc_id") == F.col("component_id")), "left_semi")
-    return out.unionByName(stay.drop("_fp").dropDuplicates(["doc_id"]))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = _with_print(rows.join(again, "doc_id", "left_semi").select("row", "doc_id", "text"))
+    place = near.filter("doc_id = component_id").select("doc_id", "fp", "root").distinct()
+    one = Window.partitionBy("doc_id", "root").orderBy("fp", F.xxhash64("row.text"))
+    stay = rows.join(place, ["doc_id", "fp"]).withColumn("rank", F.row_number().over(one)).filter("rank = 1")
+    return out.unionByName(stay.select("row.*"))

@@ -99,3 +99,12 @@ def test_matches_brute_force_on_documents(spark):
     want = dict(zip([r.doc_id for r in rows], slow_components(fps, [r.doc_id for r in rows]), strict=True))
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
     assert got == want
+
+
+def test_rows_kept_under_one_id(spark):
+    a, b = "alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight nine ten"
+    rows = [(1, a, 1, 1), (1, b, 2, 2), (1, b, 3, 3), (2, a, 4, 4), (3, b, 5, 5), (None, a, 6, 6), (4, None, 7, 7), (4, "", 8, 8)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, fp int, _id int")
+    got = sorted(map(tuple, simhash.kept(df).collect()), key=str)
+    assert len(got) == 4 and {(r[0], r[1] or "") for r in got} == {(1, a), (1, b), (None, a), (4, "")}
+    assert simhash.kept(df).columns == df.columns and simhash.kept(df.limit(0)).count() == 0

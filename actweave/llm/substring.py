@@ -7,11 +7,13 @@ they lie in the same tree, and about one place in six is an anchor.
 1. Partitioning: a scan sends each anchor's prefix, as 5 bytes, and its place to the partition of the prefix. A prefix that only one
    document has heads a subtree without an internal node between documents and is dropped; one with more than FREQUENT suffixes is
    extended to whole windows, so that its suffixes split into many groups. Prefixes are thus of variable length and groups fit into memory.
+   Prefixes that a good share of all documents have are known from a sample and extended where they are met, without being sent.
 2. The documents, grouped by a hash of theirs, meet the answers and send for each remaining anchor WINDOW words to its right and those
    to its left. Where the same words around an anchor occur again in a group of documents, only the smallest document's are sent.
-3. Subtrees: the suffixes of each prefix grow word by word to the right, and their reversed beginnings to the left; a node is numbered by
-   its parent and the next word. A node at depth WINDOW - o to the right and o to the left is a repeated window; it is an internal
-   node if several suffixes meet there, and all its documents but the smallest have a duplicate.
+3. Subtrees: the suffixes of a partition are sorted; neighbours' longest common prefixes give the tree, whose internal nodes are the
+   intervals that share so many words. The same goes for what stands before the anchors, read backwards. How deep the deepest internal
+   nodes above a suffix lie on both sides is its maximal repeat; where that is WINDOW words or more, every window in it is a pair
+   of nodes, and all the documents of the pair but the smallest have a duplicate.
 4. The documents meet the windows found in them and drop the words that these cover.
 """
 
@@ -32,6 +34,8 @@ from .common import remembered, text_slices
 WINDOW = 13
 PREFIX = 4
 FREQUENT = 10_000
+#: Prefixes that at least COMMON of a sample of documents (one in SAMPLE, at least LEAST of them) have are never gathered. This only steers the work.
+SAMPLE, COMMON, LEAST = 50, 0.02, 20
 #: Characters of text for each partition of prefixes, and groups of documents for each partition.
 PART_CHARS, GROUPS = 16_000_000, 4
 REACH = WINDOW - PREFIX
@@ -145,7 +149,22 @@ def _read_hits(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {int(rid[a]): (at[a:b], value[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)}
 
 
-def _send_prefixes(n: int):
+def common_prefixes(docs: DataFrame) -> np.ndarray:
+    """Hashes of the prefixes that many documents of a sample have, sorted: at most the anchors of a document over COMMON."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in text_slices(batches, key="text", chars=SLICE):
+            found = [np.unique(anchors(word_hashes(t.encode("utf-8").split()))[1]) for t in texts if t]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h"])
+
+    some = docs.select("text").sample(1 / SAMPLE, seed=3)
+    least = max(LEAST, COMMON * some.count())
+    rows = some.mapInArrow(run, "h long").groupBy("h").count().filter(F.col("count") >= least).select("h").collect()
+    return np.sort(np.array([r["h"] for r in rows], dtype=np.int64).view(np.uint64))
+
+
+def _send_prefixes(n: int, common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in text_slices(batches, chars=SLICE):
             rid, at, g = [], [], []
@@ -159,7 +178,10 @@ def _send_prefixes(n: int):
             if not rid:
                 continue
             rid, at, g = np.concatenate(rid), np.concatenate(at), np.concatenate(g)
-            rows = [(p, *_counted(rid[k]), planes(g[k] >> np.uint64(24), 5), planes(at[k].astype(np.uint32))) for p, k in _pieces((g % np.uint64(n)).astype(np.int64))]
+            place = np.minimum(np.searchsorted(common, g), max(len(common) - 1, 0))
+            known = common[place] == g if len(common) else np.zeros(len(g), dtype=bool)
+            part = np.where(known, n + rid % n, (g % np.uint64(n)).astype(np.int64))
+            rows = [(p % n, *_counted(rid[k]), b"" if p >= n else planes(g[k] >> np.uint64(24), 5), planes(at[k].astype(np.uint32))) for p, k in _pieces(part)]
             yield _batch(rows, _PREFIXES)
 
     return run
@@ -170,8 +192,12 @@ def _repeated_prefixes(groups: int, frequent: int):
         parts: dict[int, list[list]] = {}
         for batch in batches:
             for r in batch.to_pylist():
+                rid = np.repeat(from_planes(r["rid"], "<i8"), from_planes(r["n"], "<u4"))
+                if not r["h"]:  # known to be common
+                    yield _batch(_hits(rid, from_planes(r["at"], "<u4"), np.ones(len(rid), np.int64), groups), _HITS)
+                    continue
                 own = parts.setdefault(r["p"], [[], [], []])
-                own[0].append(np.repeat(from_planes(r["rid"], "<i8"), from_planes(r["n"], "<u4")))
+                own[0].append(rid)
                 own[1].append(from_planes(r["h"], "<u8", 5))
                 own[2].append(from_planes(r["at"], "<u4"))
         while parts:
@@ -272,33 +298,48 @@ def _send_suffixes(n: int):
     return run
 
 
-def _grown(node: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """The children of nodes along edges, numbered."""
-    return np.unique(node.astype(np.uint64) << np.uint64(32) | edge.astype(np.uint64), return_inverse=True)[1]
+class Subtrees:
+    """Sorted sequences of words below their roots, and the longest common prefix of each with the one before it."""
+
+    def __init__(self, root: np.ndarray, words: np.ndarray):
+        n, depth = words.shape
+        even = words[:, : depth // 2 * 2].astype(np.uint64).reshape(n, -1, 2)
+        keys = [(even[:, k, 0] << np.uint64(32)) | even[:, k, 1] for k in range(depth // 2)] + ([words[:, -1]] if depth % 2 else [])
+        self.order = np.lexsort([*keys[::-1], root])
+        own = words[self.order]
+        same = np.logical_and.accumulate(own[1:] == own[:-1], axis=1).sum(axis=1)
+        same[np.diff(root[self.order]) != 0] = -1
+        self.common = np.concatenate([[-1], same])
+
+    def deepest(self) -> np.ndarray:
+        """For each sequence the depth of the deepest internal node above it; -1 if it shares its root with none."""
+        out = np.empty(len(self.order), dtype=np.int64)
+        out[self.order] = np.maximum(self.common, np.append(self.common[1:], -1))
+        return out
+
+    def nodes(self, depth: int) -> np.ndarray:
+        """For each sequence the node at this depth: an interval of sequences that share so many words."""
+        out = np.empty(len(self.order), dtype=np.uint64)
+        out[self.order] = np.cumsum(self.common < depth)
+        return out
 
 
 def repeated_windows(key: np.ndarray, doc: np.ndarray, whole: np.ndarray, around: np.ndarray) -> np.ndarray:
     """For each suffix the offsets (bits) at which its window also stands in a smaller document."""
     out = np.zeros(len(key), dtype=np.int64)
-    root = np.unique(key, return_inverse=True)[1]
-    live = np.flatnonzero(np.bincount(root)[root] > 1)
-    if not len(live):
+    if not len(key):
         return out
-    root, doc, whole, around = root[live], doc[live], whole[live], around[live]
-    to_right = {PREFIX: root}
-    for d in range(PREFIX, WINDOW):
-        to_right[d + 1] = _grown(to_right[d], around[:, d])
-    left, bits = root, np.zeros(len(live), dtype=np.int64)
+    right, left = Subtrees(key, around[:, :WINDOW]), Subtrees(key, around[:, WINDOW:])
+    live = np.flatnonzero(right.deepest() + left.deepest() >= WINDOW)  # maximal repeats that hold a window
+    bits = np.zeros(len(live), dtype=np.int64)
     for o in range(REACH + 1):
-        if o:
-            left = _grown(left, around[:, WINDOW + o - 1])
-        own = np.flatnonzero(whole >> o & 1)
-        if not len(own):
-            continue
-        node = _grown(to_right[WINDOW - o][own], left[own])
-        low = np.full(node.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(low, node, doc[own])
-        bits[own] |= (doc[own] > low[node]).astype(np.int64) << o
+        own = np.flatnonzero(whole[live] >> o & 1)
+        if len(own):
+            at = live[own]
+            node = np.unique(right.nodes(WINDOW - o)[at] << np.uint64(32) | left.nodes(o)[at], return_inverse=True)[1]
+            low = np.full(node.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(low, node, doc[at])
+            bits[own] |= (doc[at] > low[node]).astype(np.int64) << o
     out[live] = bits
     return out
 
@@ -363,7 +404,7 @@ def deduplicated(docs: DataFrame, frequent: int = FREQUENT, texts: bool = True)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // PART_CHARS))
     groups = GROUPS * n
     packed = docs.mapInArrow(_pack_docs(groups), _DDL[id(_DOCS)])
-    prefixes = docs.mapInArrow(_send_prefixes(n), _DDL[id(_PREFIXES)]).repartitionById(n, F.col("p"))
+    prefixes = docs.mapInArrow(_send_prefixes(n, common_prefixes(docs)), _DDL[id(_PREFIXES)]).repartitionById(n, F.col("p"))
     answers = prefixes.mapInArrow(_repeated_prefixes(groups, frequent), _DDL[id(_HITS)])
     suffixes = packed.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_send_suffixes(n), _DDL[id(_SUFFIXES)])
     windows = suffixes.repartitionById(n, F.col("p")).mapInArrow(_build_subtrees(groups), _DDL[id(_HITS)])

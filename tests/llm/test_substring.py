@@ -81,3 +81,23 @@ def test_oracle(spark):
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
     got = s.deduplicated(spark.read.parquet(path), texts=False).drop("kept").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, db.execute(s.ORACLE).fetchall()))
+
+
+def test_common_prefixes_only_steer(spark, monkeypatch):
+    for name, value in (("SAMPLE", 1), ("COMMON", 0.04), ("LEAST", 2)):
+        monkeypatch.setattr(s, name, value)
+    rows = texts(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(s.common_prefixes(df)) > 3
+    assert sorted(map(tuple, s.deduplicated(df).collect()), key=str) == brute(rows)
+
+
+def test_subtrees():
+    rng = np.random.default_rng(4)
+    root, words = rng.integers(0, 3, 200).astype(np.uint64), rng.integers(0, 2, (200, 7)).astype(np.uint32)
+    tree = s.Subtrees(root, words)
+    share = lambda i, j: -1 if root[i] != root[j] else int(np.append(words[i] != words[j], True).argmax())
+    assert tree.deepest().tolist() == [max(share(i, j) for j in range(200) if j != i) for i in range(200)]
+    for depth in range(8):
+        node = tree.nodes(depth)
+        assert all((node[i] == node[j]) == (share(i, j) >= depth) for i in range(0, 200, 7) for j in range(200) if i != j)

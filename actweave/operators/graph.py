@@ -13,16 +13,23 @@ from pyspark.sql import functions as F
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Writes `df` to spark.checkpoint.dir and reads it back: the lineage ends there and no executor's loss reaches behind it."""
+    """Writes `df` to spark.checkpoint.dir and reads it back: the lineage ends there and no executor's loss reaches behind it.
+
+    Where the setting is unset, a local session (tests) gets a folder of its own; a cluster is refused. The table goes when the application ends.
+    """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="actweave-")
         atexit.register(shutil.rmtree, own, True)
         base = "file://" + own
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/graph/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 

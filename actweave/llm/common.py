@@ -116,19 +116,14 @@ def text_slices(batches: Iterator[pa.RecordBatch], key: str = "doc_id", text: st
 
 
 #: Groups that a label's rows are dealt into before its sample is drawn, so that a label with most of the rows is not ranked in one task.
-SHARES = 64
+SHARES = 32
 
 
 def bounded_ids(labels: DataFrame, label: str, bound: int, seed: int = 7) -> DataFrame:
-    """(doc_id, label) of at most `bound` rows of each label value, picked by a hash of the id.
-
-    The rows of a label are ranked within SHARES groups first; what can still be among the `bound` lowest is ranked again. Nothing is collected.
-    """
+    """(doc_id, label) of at most `bound` rows of each label value: of SHARES groups, dealt by a hash of the id, the same number each, lowest by another hash."""
     rows = labels.select("doc_id", label, F.xxhash64("doc_id", F.lit(seed)).alias("_h")).withColumn("_g", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(SHARES)))
-    own = F.row_number().over(Window.partitionBy(label, "_g").orderBy("_h", "doc_id"))
-    few = rows.withColumn("_r", own).filter(F.col("_r") <= bound)
-    rank = F.row_number().over(Window.partitionBy(label).orderBy("_h", "doc_id"))
-    return few.withColumn("_r", rank).filter(F.col("_r") <= bound).select("doc_id", label)
+    rank = F.row_number().over(Window.partitionBy(label, "_g").orderBy("_h", "doc_id"))
+    return rows.withColumn("_r", rank).filter(F.col("_r") <= max(1, bound // SHARES)).select("doc_id", label)
 
 
 def fitted_rows(docs: DataFrame, ids: DataFrame, label: str, chars: int, on: tuple[str, ...] = ("doc_id",)) -> list:

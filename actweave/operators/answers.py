@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from actweave.functions import citations, ids
@@ -55,19 +55,19 @@ def cites_expected(text: Column, act: Column) -> Column:
 def sources_of(results: DataFrame, key: str = "answer_id") -> DataFrame:
     """Results of any tool flattened to (key, n, act_id, article, par): each source once, numbered by first sight (`seen`)."""
     first = results.groupBy(key, "act_id", "article", "par").agg(F.min("seen").alias("seen"))
-    from pyspark.sql import Window
-
     return first.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("seen", "act_id", F.asc_nulls_first("article"), F.asc_nulls_first("par")))).select(key, "n", "act_id", "article", "par")
 
 
 def accuracy(outcomes: DataFrame) -> DataFrame:
     """outcomes(category, correct, source_ok, seconds, cost) → by category: counts, the upper median and maximum of seconds, mean cost."""
-    ordered = F.array_sort(F.collect_list("seconds"))
-    return outcomes.groupBy("category").agg(
+    turn = F.row_number().over(Window.partitionBy("category").orderBy("seconds"))
+    counted = outcomes.withColumn("_at", turn).withColumn("_of", F.count("seconds").over(Window.partitionBy("category")))
+    middle = F.col("_at") == F.count_if(F.col("seconds").isNull()).over(Window.partitionBy("category")) + F.floor(F.col("_of") / 2) + 1
+    return counted.withColumn("_middle", F.when(middle, F.col("seconds"))).groupBy("category").agg(
         F.count("*").alias("n"),
         F.sum(F.col("correct").cast("int")).alias("correct"),
         F.sum(F.col("source_ok").cast("int")).alias("source_ok"),
-        F.element_at(ordered, (F.floor(F.size(ordered) / 2) + 1).cast("int")).alias("median_seconds"),
+        F.max("_middle").alias("median_seconds"),
         F.max("seconds").alias("max_seconds"),
         F.round(F.avg("cost"), 6).alias("mean_cost"),
     )

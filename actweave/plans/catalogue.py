@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from actweave.functions import text as tx
-from actweave.operators import graph, ranking
+from actweave.operators import graph, ranking, sequences
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -89,13 +89,14 @@ def distinct_structure_counts(spark, sf_dir):
     )
 
 
-@query("""SELECT 'customer' AS kind, c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)
-    UNION ALL SELECT 'part', p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)""")
+@query("""SELECT 'customer' AS kind, c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')
+    UNION ALL SELECT 'part', p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity > 45)""")
 def orphans(spark, sf_dir):
     """Nodes without the relation they should have."""
     customer, orders, part, lineitem = _t(spark, sf_dir, "customer", "orders", "part", "lineitem")
-    a = customer.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id"))
-    b = part.join(lineitem, F.col("p_partkey") == F.col("l_partkey"), "left_anti").select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"))
+    open_, large = orders.filter("o_orderstatus = 'P'"), lineitem.filter("l_returnflag = 'R' AND l_quantity > 45")
+    a = customer.join(open_, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id"))
+    b = part.join(large, F.col("p_partkey") == F.col("l_partkey"), "left_anti").select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"))
     return a.unionByName(b)
 
 
@@ -165,13 +166,14 @@ def later_same_key(spark, sf_dir):
     return rows.filter("later IS NOT NULL").select("o_orderkey", "later", F.datediff("d", "o_orderdate").alias("days"), (F.col("d") == F.col("newest")).alias("is_newest"))
 
 
-@query("""WITH one AS (SELECT c_nationkey, c_mktsegment, min(c_custkey) AS c FROM customer GROUP BY ALL HAVING count(*) = 1)
-    SELECT s_suppkey, c_mktsegment, c AS c_custkey FROM supplier JOIN one ON s_nationkey = c_nationkey""")
+@query("""WITH one AS (SELECT c_nationkey, floor(c_acctbal / 250) AS band, min(c_custkey) AS c FROM customer GROUP BY ALL HAVING count(*) = 1)
+    SELECT s_suppkey, CAST(band AS BIGINT) AS band, c AS c_custkey FROM supplier JOIN one ON s_nationkey = c_nationkey AND floor(s_acctbal / 250) = band""")
 def unique_match(spark, sf_dir):
     """A join that accepts a key only if exactly one candidate has it."""
     customer, supplier = _t(spark, sf_dir, "customer", "supplier")
-    one = graph.unique(customer.select("c_nationkey", "c_mktsegment", "c_custkey"), ["c_nationkey", "c_mktsegment"], "c_custkey")
-    return supplier.join(one, F.col("s_nationkey") == F.col("c_nationkey")).select("s_suppkey", "c_mktsegment", "c_custkey")
+    one = graph.unique(customer.select("c_nationkey", F.floor(F.col("c_acctbal") / 250).alias("band"), "c_custkey"), ["c_nationkey", "band"], "c_custkey")
+    rows = supplier.select("s_suppkey", "s_nationkey", F.floor(F.col("s_acctbal") / 250).alias("s_band"))
+    return rows.join(one, (F.col("s_nationkey") == F.col("c_nationkey")) & (F.col("s_band") == F.col("band"))).select("s_suppkey", "band", "c_custkey")
 
 
 @query("""SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT l_linenumber))[1:6], ',') AS numbers, string_agg(l_returnflag, ' ' ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS flags,
@@ -591,3 +593,90 @@ def counter_resets(spark, sf_dir):
     events = _t(spark, sf_dir, "events")
     day, month = usage.next_resets(F.col("ts"))
     return events.select("event_id", day.cast("timestamp_ntz").alias("next_day"), month.cast("timestamp_ntz").alias("next_month"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_returnflag || CASE WHEN n > 1 THEN '.rip' || n ELSE '' END AS mark
+    FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) AS n FROM lineitem)""")
+def repeat_marks(spark, sf_dir):
+    """Numbers that occur again under one key are told apart."""
+    lines = _t(spark, sf_dir, "lineitem")
+    return sequences.repeats_marked(lines.select("l_orderkey", "l_linenumber", "l_returnflag"), ["l_orderkey"], "l_returnflag", ["l_linenumber"]).drop("l_returnflag")
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN l_quantity <= lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) THEN 1 ELSE 0 END AS new FROM lineitem)
+    SELECT l_orderkey, l_linenumber, CAST(1 + sum(new) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity ROWS UNBOUNDED PRECEDING) AS BIGINT) AS section FROM r""")
+def number_sections(spark, sf_dir):
+    """A section begins where the numbers stop rising."""
+    lines = _t(spark, sf_dir, "lineitem")
+    return sequences.sections(lines.select("l_orderkey", "l_linenumber", "l_quantity"), ["l_orderkey"], "l_quantity", ["l_linenumber", "l_quantity"]).select("l_orderkey", "l_linenumber", F.col("section").cast("long").alias("section"))
+
+
+@query("""WITH g AS (SELECT *, coalesce(sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn, role ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS turn_group FROM conversations)
+    SELECT conv_id, CAST(turn_group AS BIGINT) AS turn_group, array_to_string(list_sort(list(DISTINCT md5(text)) FILTER (role <> 'assistant')), ',') AS sources FROM g GROUP BY conv_id, turn_group HAVING bool_or(role = 'assistant')""")
+def turn_sources(spark, sf_dir):
+    """The sources that were gathered before each answer of a conversation."""
+    turns = _t(spark, sf_dir, "conversations")
+    found = sequences.gathered_turns(turns, F.col("role") == "assistant", F.md5("text"), ["conv_id"], ["turn", "role"])
+    return found.select("conv_id", F.col("turn_group").cast("long").alias("turn_group"), F.when(F.size("sources") > 0, F.array_join("sources", ",")).alias("sources"))
+
+
+@query("""SELECT c_nationkey, CAST(count(*) AS BIGINT) AS common FROM (SELECT DISTINCT c_nationkey, o_orderpriority, year(o_orderdate) AS y FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F')
+    JOIN (SELECT DISTINCT c_nationkey, o_orderpriority, year(o_orderdate) AS y FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O') USING (c_nationkey, o_orderpriority, y) GROUP BY c_nationkey""")
+def set_overlap(spark, sf_dir):
+    """How many values two sets share, by key."""
+    orders, customer = _t(spark, sf_dir, "orders", "customer")
+    rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select("c_nationkey", "o_orderstatus", F.struct("o_orderpriority", F.year("o_orderdate").alias("y")).alias("value"))
+    return sequences.common(rows.filter("o_orderstatus = 'F'"), rows.filter("o_orderstatus = 'O'"), ["c_nationkey"], "value")
+
+
+@query("""SELECT c_custkey, c_name FROM customer ORDER BY md5('7:' || c_custkey), c_custkey LIMIT 25""")
+def seeded_sample(spark, sf_dir):
+    """A sample that is the same at every run."""
+    return sequences.sampled(_t(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", 25, 7)
+
+
+@query("""SELECT c_custkey, '{' || array_to_string(list_filter(['"id":' || c_custkey, CASE WHEN c_mktsegment <> 'BUILDING' THEN '"segment":"' || c_mktsegment || '"' END, CASE WHEN c_acctbal > 0 THEN '"nation":' || c_nationkey END], lambda x: x IS NOT NULL), ',') || '}' AS record FROM customer""")
+def compact_records(spark, sf_dir):
+    """Records without the fields that are null or empty."""
+    customer = _t(spark, sf_dir, "customer")
+    fields = {"id": F.col("c_custkey"), "segment": F.when(F.col("c_mktsegment") == "BUILDING", F.lit("")).otherwise(F.col("c_mktsegment")), "nation": F.when(F.col("c_acctbal") > 0, F.col("c_nationkey"))}
+    return customer.select("c_custkey", sequences.compacted(fields).alias("record"))
+
+
+@query("""SELECT o_orderkey, concat_ws(chr(10), c_name, CASE WHEN o_orderpriority <> '1-URGENT' THEN trim(o_orderpriority) END, o_orderstatus) AS text FROM orders JOIN customer ON o_custkey = c_custkey""")
+def embedding_texts(spark, sf_dir):
+    """The texts to embed: headings and text without what is missing."""
+    orders, customer = _t(spark, sf_dir, "orders", "customer")
+    rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    heading = F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("  ")).otherwise(F.col("o_orderpriority"))
+    return rows.select("o_orderkey", sequences.embedding_text(F.col("c_name"), heading, F.col("o_orderstatus")).alias("text"))
+
+
+@query("""WITH l AS (SELECT l_partkey, l_orderkey, l_linenumber, l_quantity > 40 AS hit FROM lineitem)
+    SELECT l_partkey, l_orderkey, l_linenumber FROM l QUALIFY hit OR NOT bool_or(hit) OVER (PARTITION BY l_partkey)""")
+def novel_edges(spark, sf_dir):
+    """Edges from the places that name their target, or from all where none does."""
+    lines = _t(spark, sf_dir, "lineitem")
+    return sequences.novel_attached(lines.select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity"), F.col("l_quantity") > 40, ["l_partkey"]).drop("l_quantity")
+
+
+@query("""SELECT c_custkey AS id, s_suppkey AS double, EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_returnflag = 'R' AND l_quantity = 50) AS has_edges
+    FROM customer JOIN supplier ON right(c_name, 9) = right(s_name, 9)""")
+def statute_doubles(spark, sf_dir):
+    """Doubles by the number at the end of their names, and whether they carry edges."""
+    customer, supplier, lineitem = _t(spark, sf_dir, "customer", "supplier", "lineitem")
+    a = customer.select(F.col("c_custkey").alias("id"), F.right("c_name", F.lit(9)).alias("number"))
+    b = supplier.select(F.col("s_suppkey").alias("id"), F.right("s_name", F.lit(9)).alias("number"))
+    return sequences.doubles(a, b, "number", lineitem.filter("l_returnflag = 'R' AND l_quantity = 50").select(F.col("l_suppkey").alias("node")))
+
+
+@query("""SELECT 'orders have lines' AS name, (SELECT count(*) FROM orders) AS expected, (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS counted, (SELECT count(*) FROM orders) = (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS ok
+    UNION ALL SELECT 'regions have nations', (SELECT count(*) FROM region), (SELECT count(DISTINCT n_regionkey) FROM nation), (SELECT count(*) FROM region) = (SELECT count(DISTINCT n_regionkey) FROM nation)""")
+def golden_counts(spark, sf_dir):
+    """Counts of the loaded graph against those they should be."""
+    orders, lineitem, region, nation = _t(spark, sf_dir, "orders", "lineitem", "region", "nation")
+    one = lambda df, c: df.agg(F.count(c).alias("n"))
+    return sequences.golden([
+        ("orders have lines", one(orders, "*"), lineitem.agg(F.count_distinct("l_orderkey").alias("n"))),
+        ("regions have nations", one(region, "*"), nation.agg(F.count_distinct("n_regionkey").alias("n"))),
+    ])

@@ -301,7 +301,7 @@ class Corpus:
         """Which acts cite an act or its twins; by year where a first year is given, else by how often."""
         twins = enrich.twin_acts(self.t["acts"], self.t["twins"]).filter(F.col("act_id") == act_id).select(F.col("twin").alias("dst_act_id"))
         wanted = twins.unionByName(self.spark.createDataFrame([(act_id,)], "dst_act_id string")).distinct()
-        rows = self.t["cites"].join(F.broadcast(wanted), "dst_act_id", "left_semi").filter("src_act_id <> '" + act_id.replace("'", "") + "'")
+        rows = self.t["cites"].join(F.broadcast(wanted), "dst_act_id", "left_semi").filter(F.col("src_act_id") != F.lit(act_id))
         art = self.t["paragraphs"].select(F.col("id").alias("src_id"), "article_id").join(self.t["articles"].select(F.col("id").alias("article_id"), F.col("number").alias("article")), "article_id").select("src_id", "article")
         per = rows.join(art, "src_id", "left").groupBy("src_act_id").agg(F.count("*").alias("times"), tx.capped(F.collect_set("article"), POINTS).alias("articles"))
         acts = self.t["acts"].select(F.col("id").alias("src_act_id"), "title", "year", "repealed")

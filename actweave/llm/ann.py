@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of a block of query vectors, and of a block of candidates.
 BLOCK_BYTES, CANDIDATE_BYTES = 32_000_000, 64_000_000
+#: Blocks that small tables are dealt into nevertheless, to use several cores; every block sends k rows for each query, so more are not made.
+LEAST_BLOCKS = 8
 TILE = 2048
 K = 20
 
@@ -110,13 +112,11 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = K, vector: str = "embe
     number of dimensions. A query id that occurs on several rows is asked once, with the smallest of its vectors; candidates that repeat an
     id each count. Other columns are ignored. No vectors, or none that is usable, give no rows.
     """
-    spark = vectors.sparkSession
     rows = _usable(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")))
     asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     n, widest = rows.agg(F.count("*"), F.max(F.size("v"))).first()
     blocks = max(1, -(-asked.count() * (widest or 1) * 8 // block_bytes))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    others = max(-(-n * (widest or 1) * 8 // CANDIDATE_BYTES), -(-tasks // blocks))
+    others = max(-(-n * (widest or 1) * 8 // CANDIDATE_BYTES), -(-LEAST_BLOCKS // blocks))
     # candidates are dealt by their place in the table, so rows that repeat an id spread as others do
     left = asked.withColumn("q", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))))
     right = rows.withColumn("c", F.pmod(F.monotonically_increasing_id(), F.lit(others))).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))

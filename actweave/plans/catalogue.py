@@ -217,8 +217,8 @@ def running_budget(spark, sf_dir):
 def last_nonnull_carry(spark, sf_dir):
     """An entry without its own value inherits the last one named."""
     events = _t(spark, sf_dir, "events")
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return events.select("event_id", "user_id", F.last(F.when(F.col("event_type") == "purchase", F.col("value")), ignorenulls=True).over(order).alias("last_purchase"))
+    rows = events.withColumn("own", F.when(F.col("event_type") == "purchase", F.col("value")))
+    return sequences.carried(rows, "own", ["user_id"], ["ts", "event_id"], "last_purchase").select("event_id", "user_id", "last_purchase")
 
 
 @query("""SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 5 AND a.n_regionkey = b.n_regionkey

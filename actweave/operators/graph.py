@@ -33,6 +33,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Deals rows that lie in fewer partitions than there are cores over all cores; larger tables, which have more partitions, stay as they lie."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def stubs(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(target, citations): targets of edges(dst) that are no node(id), the most cited first. Counted before the join."""
     cited = edges.filter("dst IS NOT NULL").groupBy(F.col("dst").alias("target")).agg(F.count("*").alias("citations"))

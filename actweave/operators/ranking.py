@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from actweave.operators import graph
+
 K1, B = 1.2, 0.75
 #: Fusion: score = sum of weight / (RRF_K + rank).
 RRF_K = 20
@@ -37,31 +39,37 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
-def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, term, tf): the postings of docs."""
-    return docs.select(key, F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: DataFrame | None = None) -> DataFrame:
+    """(key, dl, term, tf): the postings of docs, of all terms or of those in vocabulary(term); `dl` is the text's length in terms."""
+    # the length is taken before the explosion, or every token would carry its text's whole array; the outer form keeps Spark from
+    # testing for empty arrays at the scan, where it would split every text once more
+    split = graph.spread(docs.select(key, text)).select(key, terms(F.col(text)).alias("_terms"))
+    split = split.withColumn("dl", F.size("_terms")).select(key, "dl", F.explode_outer("_terms").alias("term")).filter("term IS NOT NULL")
+    if vocabulary is not None:
+        split = split.join(_small(vocabulary), "term", "left_semi")
+    return split.groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, query_id: str, k: int, key: str = "doc_id", postings: DataFrame | None = None, lengths: DataFrame | None = None) -> DataFrame:
-    """(query_id, key, score, rank): the k best documents for each query(query_id, text).
+    """(query_id, key, score, dl, rank): the k best documents for each query(query_id, text); `dl` is the document's length in terms.
 
-    Lengths are counted in place, without exploding; only tokens of the queries' vocabulary leave the scan. With `postings`
-    (key, term, tf) and `lengths` (key, dl) of a stored index, neither is computed.
+    Texts are read twice: once to count terms, once for the postings of the queries' vocabulary, which carry their document's length
+    and are written to the shared folder. With `postings` (key, dl, term, tf) and `lengths` (key, dl) of a stored index, no text is read.
     """
     asked = queries.select(query_id, F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     vocabulary = asked.select("term").distinct()
     if lengths is None:
-        lengths = docs.select(key, F.size(terms(F.col("text"))).alias("dl")).filter("dl > 0")
+        lengths = docs.select(F.size(terms(F.col("text"))).alias("dl")).filter("dl > 0")
     if postings is None:
-        postings = docs.select(key, F.explode(terms(F.col("text"))).alias("term")).join(_small(vocabulary), "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"))
+        postings = graph.written(tokens(docs, key, vocabulary=vocabulary))
     else:
         postings = postings.join(_small(vocabulary), "term", "left_semi")
     n, average = lengths.agg(F.count("*"), F.avg("dl")).first()
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     weighted = asked.join(df, "term").withColumn("idf", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(average or 1.0)))
-    scored = postings.join(lengths, key).select(key, "term", part.alias("p")).join(_small(weighted.select(query_id, "term", "idf")), "term")
-    score = scored.groupBy(query_id, key).agg(F.round(F.sum(F.col("idf") * (K1 + 1) * F.col("p")), 6).alias("score"))
+    scored = postings.select(key, "dl", "term", part.alias("p")).join(_small(weighted.select(query_id, "term", "idf")), "term")
+    score = scored.groupBy(query_id, key).agg(F.round(F.sum(F.col("idf") * (K1 + 1) * F.col("p")), 6).alias("score"), F.max("dl").alias("dl"))
     return top(score, k, [query_id], [F.desc("score"), F.asc(key)])
 
 

@@ -312,7 +312,7 @@ _BM25 = r"""
 def bm25_topk(spark, sf_dir):
     """BM25 of every benchmark text against all documents, the ten best of each."""
     docs, bench = _t(spark, sf_dir, "documents", "benchmark")
-    return ranking.bm25(docs, bench.select("item_id", "text"), query_id="item_id", k=10)
+    return ranking.bm25(docs, bench.select("item_id", "text"), query_id="item_id", k=10).drop("dl")
 
 
 @query("""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS score
@@ -347,9 +347,8 @@ def filtered_cosine_topk(spark, sf_dir):
 def rrf_fusion(spark, sf_dir):
     """Two rankings fused by reciprocal ranks (k = 20, weights 1 and 0.75); ties in order of first sight."""
     docs, bench = _t(spark, sf_dir, "documents", "benchmark")
-    lexical = ranking.bm25(docs, bench.select("item_id", "text"), query_id="item_id", k=30)
-    size = ranking.tokens(docs).groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    second = ranking.top(lexical.drop("rank").join(size, "doc_id"), 30, ["item_id"], [F.asc("dl"), F.asc("doc_id")])
+    lexical = graph.written(ranking.bm25(docs, bench.select("item_id", "text"), query_id="item_id", k=30))
+    second = ranking.top(lexical.drop("rank"), 30, ["item_id"], [F.asc("dl"), F.asc("doc_id")])
     return ranking.fused([(second, 1.0), (lexical, 0.75)], ["item_id"], "doc_id", k=10)
 
 

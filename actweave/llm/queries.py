@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import ann, chat, decontam, langid, pii, quality, simhash, spm, substring, toxicity
-from .common import table
+from .common import spread, table
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,33 +21,33 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.deduplicated(table(spark, sf_dir, "documents"), texts=False).drop("kept")
+    return substring.deduplicated(documents(spark, sf_dir), texts=False).drop("kept")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = documents(spark, sf_dir), table(spark, sf_dir, "labels")
     return quality.scored(docs, quality.fit(docs, labels))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(documents(spark, sf_dir))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return langid.predicted(docs, langid.fit(docs))
 
 
 def op7_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.found(table(spark, sf_dir, "documents"))
+    return pii.found(documents(spark, sf_dir))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spm.digests(table(spark, sf_dir, "documents"), spm.Vocabulary.read())
+    return spm.digests(documents(spark, sf_dir), spm.Vocabulary.read())
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = documents(spark, sf_dir), table(spark, sf_dir, "labels")
     return toxicity.scored(docs, toxicity.fit(docs, labels))
 
 

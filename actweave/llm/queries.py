@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, langid, pii, quality, simhash, spm, substring, toxicity
+from . import ann, chat, decontam, langid, lines, periodic, pii, quality, repair, simhash, spm, substring, toxicity
 from .common import spread, table
 
 
@@ -55,6 +56,19 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.collapsed(periodic.looped(documents(spark, sf_dir))))
+
+
+def op12_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.deduplicated(documents(spark, sf_dir))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audited(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_chat": op2_chat,
@@ -66,6 +80,9 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_nearest": op9_nearest,
     "op10_toxicity": op10_toxicity,
+    "op11_periodic": op11_periodic,
+    "op12_lines": op12_lines,
+    "op13_repair": op13_repair,
 }
 
-ORACLE_SQL = {"op2_chat": chat.ORACLE, "op3_substrings": substring.ORACLE, "op9_nearest": ann.ORACLE}
+ORACLE_SQL = {"op2_chat": chat.ORACLE, "op3_substrings": substring.ORACLE, "op9_nearest": ann.ORACLE, "op11_periodic": periodic.ORACLE, "op12_lines": lines.ORACLE, "op13_repair": repair.ORACLE}

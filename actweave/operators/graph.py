@@ -8,35 +8,67 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Writes `df` to spark.checkpoint.dir and reads it back: the lineage ends there and no executor's loss reaches behind it.
-
-    Where the setting is unset, a local session (tests) gets a folder of its own; a cluster is refused. The table goes when the application ends.
-    """
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session (tests) gets a folder of its own; a cluster is refused."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="actweave-")
         atexit.register(shutil.rmtree, own, True)
-        base = "file://" + own
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/graph/{uuid.uuid4().hex}"
+        found = "file://" + own
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def _place(spark: SparkSession, path: str) -> tuple:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cuts the lineage: writes `df` as a table in the shared folder and reads it back, so a lost executor costs only a read.
+
+    `discarded` deletes the table; one that a result still reads when its maker returns goes when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/actweave/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    files, p = _place(spark, path)
+    files.deleteOnExit(p)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discarded(*tables: DataFrame | None) -> None:
+    """Deletes tables of `written`, once nothing reads them any more."""
+    for df in tables:
+        path = getattr(df, "_written_at", None)
+        if path:
+            files, p = _place(df.sparkSession, path)
+            files.delete(p, True)
+            files.cancelDeleteOnExit(p)
+
+
+#: Tables of more bytes than this for each core stay as they lie: dealing them anew would cost more than an uneven scan.
+SPREAD_BYTES = 256_000_000
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Deals rows that lie in fewer partitions than there are cores over all cores; larger tables, which have more partitions, stay as they lie."""
+    """Deals the rows of a small table over all cores if fewer of its partitions than there are cores hold any.
+
+    A file of one row group is planned as several partitions, of which one has all the rows; so rows are counted, from the footers alone.
+    """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > cores * SPREAD_BYTES or rows.groupBy(F.spark_partition_id()).count().filter("count > 0").count() >= cores:
+        return rows
+    return rows.repartition(cores)
 
 
 def stubs(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from actweave.functions import text as tx
-from actweave.operators import graph, ranking, sequences
+from actweave.operators import graph, ranking, renumber, sequences
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -679,3 +679,90 @@ def golden_counts(spark, sf_dir):
         ("orders have lines", one(orders, "*"), lineitem.agg(F.count_distinct("l_orderkey").alias("n"))),
         ("regions have nations", one(region, "*"), nation.agg(F.count_distinct("n_regionkey").alias("n"))),
     ])
+
+
+# --- articles put in order: customers are articles, the lines of their orders paragraphs with numbers that start anew in each order
+
+_LINES = """SELECT 'A-' || o_custkey AS article_id, 'P-' || o_custkey || '-' || row_number() OVER w AS id, row_number() OVER w AS ord,
+    CASE WHEN l_linenumber = 5 AND l_discount > 0.08 THEN '0' WHEN l_linenumber = 4 AND l_discount < 0.02 THEN '3-bis' ELSE CAST(l_linenumber AS VARCHAR(9)) END AS number,
+    CASE WHEN l_linenumber = 1 AND l_returnflag = 'R' THEN 'Il comma è così sostituito: “' || CAST(l_partkey AS VARCHAR(9)) WHEN l_linenumber = 1 AND l_tax = 0.03 THEN '“Art. ' || CAST(l_partkey AS VARCHAR(9)) WHEN l_linenumber IN (2, 3) AND l_linestatus = 'F' THEN 'fine ' || CAST(l_partkey AS VARCHAR(9)) || '”'
+      WHEN l_linenumber = 1 AND l_tax = 0.05 THEN 'Definizioni ' || CAST(l_suppkey AS VARCHAR(9)) WHEN l_quantity < 12 THEN 'nei modi di cui appresso:' WHEN l_quantity = 30 THEN CAST(l_partkey % 1000 AS VARCHAR(9)) WHEN l_quantity > 40 THEN 'voce ' || CAST(l_suppkey AS VARCHAR(9)) || '.'
+      WHEN l_quantity = 40 AND l_tax = 0.08 THEN 'Dato dalla Nostra Residenza' ELSE 'voce ' || CAST(l_suppkey AS VARCHAR(9)) || ';' END AS text,
+    l_linenumber = 1 AND l_tax = 0.05 AS implicit FROM lineitem JOIN orders ON l_orderkey = o_orderkey WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)"""
+
+
+def _article_lines(spark, sf_dir):
+    """(paragraphs, articles) derived from the orders: text and flags by the values of each line."""
+    lineitem, orders = _t(spark, sf_dir, "lineitem", "orders")
+    line, q, tax, f = F.col("l_linenumber"), F.col("l_quantity"), F.col("l_tax"), lambda c: F.col(c).cast("string")
+    number = F.when((line == 5) & (F.col("l_discount") > 0.08), "0").when((line == 4) & (F.col("l_discount") < 0.02), "3-bis").otherwise(line.cast("string"))
+    text = (
+        F.when((line == 1) & (F.col("l_returnflag") == "R"), F.concat(F.lit("Il comma è così sostituito: “"), f("l_partkey")))
+        .when((line == 1) & (tax == 0.03), F.concat(F.lit("“Art. "), f("l_partkey")))
+        .when(line.isin(2, 3) & (F.col("l_linestatus") == "F"), F.concat(F.lit("fine "), f("l_partkey"), F.lit("”")))
+        .when((line == 1) & (tax == 0.05), F.concat(F.lit("Definizioni "), f("l_suppkey")))
+        .when(q < 12, "nei modi di cui appresso:")
+        .when(q == 30, (F.col("l_partkey") % 1000).cast("string"))
+        .when(q > 40, F.concat(F.lit("voce "), f("l_suppkey"), F.lit(".")))
+        .when((q == 40) & (tax == 0.08), "Dato dalla Nostra Residenza")
+        .otherwise(F.concat(F.lit("voce "), f("l_suppkey"), F.lit(";")))
+    )
+    rows = lineitem.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    pars = rows.select(F.concat(F.lit("P-"), f("o_custkey"), F.lit("-"), place.cast("string")).alias("id"), F.concat(F.lit("A-"), f("o_custkey")).alias("article_id"), F.lit("T-1-2000").alias("act_id"), number.alias("number"), text.alias("text"), place.alias("ord"), ((line == 1) & (tax == 0.05)).alias("implicit"), F.lit(None).cast("string").alias("part"), F.lit(None).cast("string").alias("number_original"))
+    return pars, orders.select(F.concat(F.lit("A-"), f("o_custkey")).alias("id")).distinct().withColumn("rubric", F.lit(None).cast("string"))
+
+
+_RENUMBERED = f"""WITH RECURSIVE raw AS ({_LINES}), g0 AS (
+      SELECT *, sum(CASE WHEN implicit OR number <> '0' OR ord = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY article_id ORDER BY ord) AS g FROM raw
+    ), j AS (
+      SELECT article_id, g, arg_min(id, ord) AS id, min(ord) AS ord, arg_min(number, ord) AS number, arg_min(implicit, ord) AS implicit, string_agg(text, ' ' ORDER BY ord) AS text, count(*) - 1 AS absorbed FROM g0 GROUP BY article_id, g
+    ), b AS (
+      SELECT *, regexp_full_match(text, '[0-9]{{1,4}}') AS bare, count(*) FILTER (NOT regexp_full_match(text, '[0-9]{{1,4}}')) OVER (PARTITION BY article_id) AS real FROM j
+    ), k0 AS (
+      SELECT *, row_number() OVER w AS q, lead(implicit) OVER w AS ni, lead(number) OVER w AS nn FROM b WHERE real = 0 OR NOT bare WINDOW w AS (PARTITION BY article_id ORDER BY ord)
+    ), k AS (
+      SELECT * EXCLUDE (q), row_number() OVER (PARTITION BY article_id ORDER BY ord) AS p FROM k0 WHERE NOT (q = 1 AND implicit AND text LIKE 'Definizioni %' AND nn = '1' AND NOT ni)
+    ), z AS (
+      SELECT *, count(*) OVER (PARTITION BY article_id) AS whole FROM k
+    ), c AS (
+      SELECT *, min(CASE WHEN text LIKE '%Dato dalla Nostra Residenza%' AND p < whole THEN p END) OVER (PARTITION BY article_id) AS cut FROM z
+    ), body AS (
+      SELECT *, TRY_CAST(regexp_extract(number, '^[0-9]+') AS BIGINT) AS n, len(text) - len(replace(text, '“', '')) - len(text) + len(replace(text, '”', '')) AS d, NOT implicit AND regexp_full_match(number, '[0-9]+') AS plain FROM c WHERE cut IS NULL OR p <= cut
+    ), s AS (
+      SELECT *, sum(d) OVER w AS depth, lead(n) OVER w AS next_n, lead(plain) OVER w AS next_plain, lag(n) OVER w AS last_n FROM body WINDOW w AS (PARTITION BY article_id ORDER BY p)
+    ), stop AS (
+      SELECT article_id, p, n FROM s WHERE implicit OR NOT coalesce((plain AND n = last_n + 1) OR (number = '3-bis' AND last_n = 3), false)
+    ), cand AS (
+      SELECT s.article_id, s.p, s.n, s.next_plain, (SELECT min(t.p) FROM s t WHERE t.article_id = s.article_id AND t.p BETWEEN s.p + 1 AND s.p + 60 AND t.depth = s.depth - s.d) AS e1,
+        (SELECT min(t.p) FROM stop t WHERE t.article_id = s.article_id AND t.p > s.p + 1) AS e2, (SELECT max(p) FROM s t WHERE t.article_id = s.article_id) AS last FROM s WHERE d > 0 AND (text LIKE '“%' OR text LIKE '%così sostituito%') AND next_n <= n
+    ), spans AS (
+      SELECT article_id, p, coalesce(e1, CASE WHEN next_plain AND (e2 IS NULL OR (SELECT s.n FROM s WHERE s.article_id = cand.article_id AND s.p = e2) = cand.n + 1) THEN coalesce(e2 - 1, last) END) AS e FROM cand
+    ), walk AS (
+      SELECT article_id, CAST(0 AS BIGINT) AS p, CAST(0 AS BIGINT) AS bs, CAST(0 AS BIGINT) AS be, CAST(NULL AS BIGINT) AS root, CAST(NULL AS BIGINT) AS root_n, false AS item, false AS done, CAST(NULL AS BIGINT) AS n, false AS colon, false AS blk FROM (SELECT DISTINCT article_id FROM s)
+      UNION ALL
+      SELECT article_id, p, bs, be, root, root_n, item, coalesce(item AND text LIKE '%.' AND next_n = root_n + 1, false), n, NOT used AND text LIKE '%:', blk FROM (
+        SELECT *, CASE WHEN first THEN root_n IS NOT NULL ELSE NOT used AND plain AND was_item AND NOT was_done AND n = was_n + 1 END AS item FROM (
+          SELECT *, CASE WHEN first AND NOT was_item THEN p - 1 ELSE was_root END AS root, CASE WHEN first AND NOT was_item THEN was_n ELSE was_root_n END AS root_n FROM (
+            SELECT s.article_id, s.p, s.text, s.n, s.plain, s.next_n, CASE WHEN s.p <= walk.be THEN walk.bs WHEN e IS NOT NULL THEN s.p ELSE 0 END AS bs, CASE WHEN s.p <= walk.be THEN walk.be WHEN e IS NOT NULL THEN e ELSE 0 END AS be, s.p <= walk.be AS blk,
+              s.p <= walk.be OR e IS NOT NULL AS used, s.plain AND s.n = 1 AND walk.colon AND NOT (s.p <= walk.be OR e IS NOT NULL) AS first, walk.item AS was_item, walk.done AS was_done, walk.n AS was_n, walk.root AS was_root, walk.root_n AS was_root_n
+            FROM walk JOIN s ON s.article_id = walk.article_id AND s.p = walk.p + 1 LEFT JOIN spans ON spans.article_id = s.article_id AND spans.p = s.p) x) y) u
+    ), m AS (
+      SELECT c.*, coalesce(blk, false) AS blk, coalesce(item AND NOT blk, false) AS item, CASE WHEN blk THEN bs WHEN item THEN root END AS up, cut IS NOT NULL AND c.p > cut AS tail FROM c LEFT JOIN walk USING (article_id, p)
+    ), o AS (
+      SELECT *, NOT (blk OR item OR tail) AS own, CASE WHEN implicit AND NOT (blk OR item OR tail) THEN CAST(sum(CASE WHEN blk OR item OR tail THEN 0 ELSE 1 END) OVER (PARTITION BY article_id ORDER BY p) AS VARCHAR) ELSE number END AS said FROM m
+    ), r AS (
+      SELECT *, CASE WHEN own THEN row_number() OVER (PARTITION BY article_id, own, said ORDER BY p) END AS nth, row_number() OVER (PARTITION BY article_id, tail, up, blk, item ORDER BY p) AS k FROM o
+    ), names AS (
+      SELECT article_id, p, said || CASE WHEN nth > 1 THEN '.rip' || nth ELSE '' END AS name FROM r WHERE own
+    )
+    SELECT r.article_id, r.id, CASE WHEN tail THEN 'all' || k WHEN blk THEN h.name || '.cap' || k WHEN item THEN h.name || '.p' || k ELSE o.name END AS number,
+      CASE WHEN tail THEN 'allegato' WHEN blk THEN 'capoverso' WHEN item THEN 'punto' WHEN nth > 1 THEN 'ripetizione' END AS part, CASE WHEN own AND nth = 1 THEN NULL WHEN own THEN said ELSE r.number END AS number_original, text, CAST(absorbed AS BIGINT) AS n_absorbed
+    FROM r LEFT JOIN names o ON o.article_id = r.article_id AND o.p = r.p LEFT JOIN names h ON h.article_id = r.article_id AND h.p = r.up"""
+
+
+@query(_RENUMBERED)
+def paragraph_order(spark, sf_dir):
+    """Paragraphs in order: quoted text, lists, annexes, repeated numbers, headings and page numbers told from what is numbered."""
+    plan = renumber.planned(*_article_lines(spark, sf_dir)).filter("what = 'kept'")
+    return plan.select("article_id", "id", "number", "part", "number_original", "text", F.size("absorbed").cast("long").alias("n_absorbed"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from actweave.llm import decontam, pii, quality, simhash, spm
-from actweave.llm.common import discard, materialize, table
+from actweave.llm.common import discard, materialize, spread, table
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,10 +47,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole of `documents`; each stage's rows are written to the shared folder before the next one reads them."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for k, (_, stage) in enumerate(STAGES):
         before, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = materialize(docs)
+            docs = spread(materialize(docs))
             discard(before)
     return docs

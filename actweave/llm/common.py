@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from typing import TypeVar
 
@@ -15,6 +11,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from actweave.operators.graph import discarded as discard
+from actweave.operators.graph import shared_dir, spread
+from actweave.operators.graph import written as materialize
+
+__all__ = ["discard", "materialize", "shared_dir", "spread"]
 T = TypeVar("T")
 #: A batch of texts is worked on in slices of about this many characters, which bounds a worker's memory.
 SLICE_CHARS = 2_000_000
@@ -24,54 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Deals rows that lie in fewer partitions than there are cores over all cores; larger tables, which have more partitions, stay as they lie."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session (tests) gets a folder of its own; a cluster is refused."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        own = tempfile.mkdtemp(prefix="actweave-")
-        atexit.register(shutil.rmtree, own, True)
-        found = "file://" + own
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def _place(spark: SparkSession, path: str) -> tuple:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: writes `df` as a table in the shared folder and reads it back, so a lost executor costs only a read.
-
-    `discard` deletes the table; one that a result still reads when its maker returns goes when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/actweave/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    files, p = _place(spark, path)
-    files.deleteOnExit(p)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_at = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes the table of `materialize`, once nothing reads it any more."""
-    path = getattr(df, "_written_at", None)
-    if path:
-        files, p = _place(df.sparkSession, path)
-        files.delete(p, True)
-        files.cancelDeleteOnExit(p)
-
-
 #: A key with more than one in HOT of all rows is looked up in a broadcast table: there are fewer than HOT such keys.
 HOT = 10_000
 
@@ -126,19 +79,38 @@ SHARES = 32
 
 
 def bounded_ids(labels: DataFrame, label: str, bound: int, seed: int = 7) -> DataFrame:
-    """(doc_id, label) of at most `bound` rows of each label value: of SHARES groups, dealt by a hash of the id, the same number each, lowest by another hash."""
+    """(doc_id, label) of at most `bound` rows of each label value, all where there are no more: the lowest by a hash of the id.
+
+    SHARES groups, dealt by another hash, rank theirs first, so that a label with most of the rows is not ranked in one task; what each group keeps,
+    at most `bound`, is then ranked together.
+    """
     rows = labels.select("doc_id", label, F.xxhash64("doc_id", F.lit(seed)).alias("_h")).withColumn("_g", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(SHARES)))
-    rank = F.row_number().over(Window.partitionBy(label, "_g").orderBy("_h", "doc_id"))
-    return rows.withColumn("_r", rank).filter(F.col("_r") <= max(1, bound // SHARES)).select("doc_id", label)
+    rank = lambda *by: F.row_number().over(Window.partitionBy(label, *by).orderBy("_h", "doc_id"))
+    few = rows.withColumn("_r", rank("_g")).filter(F.col("_r") <= bound)
+    return few.withColumn("_r", rank()).filter(F.col("_r") <= bound).select("doc_id", label)
 
 
-def fitted_rows(docs: DataFrame, ids: DataFrame, label: str, chars: int, on: tuple[str, ...] = ("doc_id",)) -> list:
-    """Brings a bounded sample to the driver: whole rows of `docs` that `ids` (see bounded_ids) names, by a hash of the id until those of a label have `chars` characters."""
+#: So many rows of a label at most are brought to the driver, whatever their texts.
+FIT_ROWS = 4_000
+
+
+def fitted_rows(docs: DataFrame, ids: DataFrame, label: str, chars: int, on: tuple[str, ...] = ("doc_id",), rows: int = FIT_ROWS) -> list:
+    """Brings a bounded sample to the driver: whole rows of `docs` that `ids` (see bounded_ids) names, by a hash, until those of a label have `chars` characters.
+
+    At most `rows` of a label; rows that repeat id and text count once; a text of more than `chars` characters is left out, none is cut.
+    """
     keys = [c for c in on if c != "doc_id"]
-    pick = materialize(docs.select("doc_id", *keys, "text").join(F.broadcast(ids), list(on)).select("doc_id", "text", label))
-    before = Window.partitionBy(label).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
-    some = pick.withColumn("_n", F.sum(F.coalesce(F.length("text"), F.lit(0))).over(before)).filter(F.coalesce("_n", F.lit(0)) < chars)
-    return sorted(some.select("doc_id", "text", label).collect(), key=lambda r: (r["doc_id"], r["text"] or "", str(r[label])))
+    named = docs.select("doc_id", *keys, "text").join(F.broadcast(ids), list(on)).select("doc_id", "text", label)
+    pick = materialize(named.filter(F.coalesce(F.length("text"), F.lit(0)) <= chars).distinct())
+    order = (F.xxhash64("doc_id", F.lit(7)), "doc_id", "text")
+    group = F.pmod(F.xxhash64("doc_id", "text", F.lit(8)), F.lit(SHARES))
+    some = pick.withColumn("_r", F.row_number().over(Window.partitionBy(label, group).orderBy(*order))).filter(F.col("_r") <= rows)
+    own = Window.partitionBy(label).orderBy(*order)
+    before = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    some = some.withColumn("_r", F.row_number().over(own)).withColumn("_n", F.coalesce(before, F.lit(0))).filter((F.col("_r") <= rows) & (F.col("_n") < chars))
+    found = sorted(some.select("doc_id", "text", label).collect(), key=lambda r: (r["doc_id"], r["text"] or "", str(r[label])))
+    discard(pick)
+    return found
 
 
 #: Up to so many ids (8 bytes each) are broadcast to filter a table; more are joined by a shuffle.

@@ -24,6 +24,8 @@ FILTERS = 12
 EMBEDDING = 8
 #: The fit uses at most so many rows of each language, whole texts up to so many characters in all. Predictions read whole texts.
 PER_LANGUAGE, FIT_CHARS = 400, 8_000_000
+#: So many languages are learned at most, those with the most documents; what reaches the driver is bounded by all three.
+LANGUAGES = 128
 FOLDS, HELD = 3, 1
 UNKNOWN = "und"
 STEP = WINDOW - max(WIDTHS) + 1
@@ -127,9 +129,11 @@ def train(texts: list[np.ndarray], y: np.ndarray, classes: list[str], steps: int
 def fit(docs: DataFrame, folds: int = FOLDS, held: int = HELD, per_language: int = PER_LANGUAGE, seed: int = 3) -> Network | list[str]:
     """Learns from text and non-null lang of rows outside the held-out fold; with fewer than two languages it returns those there are.
 
-    A language of empty texts only is not learned. Rows with a null id, text or lang teach nothing; other columns are ignored; no documents give no language.
+    A language of empty texts only is not learned, nor are those beyond the LANGUAGES most frequent ones. Rows with a null id, text or lang teach nothing; other columns are ignored; no documents give no language.
     """
     known = docs.filter((remainder("doc_id", folds) != held) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang").distinct()
+    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
+    known = known.join(F.broadcast(most), "lang", "left_semi").select("doc_id", "lang")
     rows = fitted_rows(docs, bounded_ids(known, "lang", per_language), "lang", FIT_CHARS, on=("doc_id", "lang"))
     rows = [r for r in rows if r["text"]]
     classes = sorted({r["lang"] for r in rows})

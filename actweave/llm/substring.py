@@ -116,8 +116,9 @@ _DDL = {id(s): ", ".join(f"{f.name} " + {_INT: "int", _LONG: "long", _BYTES: "bi
 
 
 def _rid(doc_id: int | None, text: bytes) -> int:
-    """Names a row: its id and text. Rows that share both have the same result."""
-    return xxhash.xxh64_intdigest(text, 0 if doc_id is None else doc_id & (2**63 - 1)) >> 1
+    """Names a row by its id and text; rows that share both have the same result. Rows without an id have names below zero, which no other row has."""
+    name = xxhash.xxh64_intdigest(text, 0 if doc_id is None else doc_id & (2**64 - 1)) >> 1
+    return -1 - name if doc_id is None else name
 
 
 def _counted(rid: np.ndarray) -> tuple[bytes, bytes]:

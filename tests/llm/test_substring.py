@@ -101,3 +101,10 @@ def test_subtrees():
     for depth in range(8):
         node = tree.nodes(depth)
         assert all((node[i] == node[j]) == (share(i, j) >= depth) for i in range(0, 200, 7) for j in range(200) if i != j)
+
+
+def test_rows_of_one_text_and_no_or_strange_ids(spark):
+    text = " ".join(f"w{k}" for k in range(20))
+    for ids, gone in (((-1, 0, None), {-1: 0, 0: 20, None: 0}), ((-(2**63), 0), {-(2**63): 0, 0: 20}), ((None, None, 5), {None: 0, 5: 0})):
+        got = s.deduplicated(spark.createDataFrame([(d, text) for d in ids], "doc_id long, text string")).collect()
+        assert len(got) == len(ids) and all(r.n_removed == gone[r.doc_id] for r in got)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from actweave.functions import text as tx
-from actweave.operators import graph, ranking, renumber, sequences
+from actweave.operators import graph, ranking, renumber, restructure, sequences
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -766,3 +766,83 @@ def paragraph_order(spark, sf_dir):
     """Paragraphs in order: quoted text, lists, annexes, repeated numbers, headings and page numbers told from what is numbered."""
     plan = renumber.planned(*_article_lines(spark, sf_dir)).filter("what = 'kept'")
     return plan.select("article_id", "id", "number", "part", "number_original", "text", F.size("absorbed").cast("long").alias("n_absorbed"))
+
+
+_ACTS = """SELECT o_custkey AS act_id, o_custkey || '/o-' || o_orderkey AS id, CASE WHEN o_orderpriority = '5-LOW' AND o_orderkey % 4 = 0 THEN 'Unico' ELSE CAST(o_orderkey % 7 + 1 AS VARCHAR(9)) END AS number, o_orderkey AS ord FROM orders"""
+_PARAGRAPHS = """SELECT o_custkey AS act_id, o_custkey || '/o-' || o_orderkey AS article_id, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ord, o_orderkey,
+    CASE WHEN l_linenumber IN (3, 5) THEN '1' ELSE CAST(l_linenumber AS VARCHAR(9)) END AS number,
+    CASE WHEN l_linenumber IN (2, 4) AND l_tax < 0.06 THEN 'voce ' || CAST(l_suppkey AS VARCHAR(9)) || '. Art. ' || CAST((o_orderkey + CAST(l_quantity AS INT) % 2) % 7 + 1 AS VARCHAR(9)) || CASE WHEN l_returnflag = 'R' THEN '-bis' ELSE '' END || ' (Norme ' || CAST(l_partkey AS VARCHAR(9)) || ')'
+      WHEN l_linenumber = 1 AND l_tax = 0.07 THEN 'apre “' || CAST(l_partkey AS VARCHAR(9)) WHEN l_linenumber = 3 AND l_tax > 0.05 THEN 'chiude ” ' || CAST(l_partkey AS VARCHAR(9))
+      WHEN l_quantity = 50 AND l_tax = 0.08 THEN 'Dato dalla Nostra Residenza, I CAPITANI REGGENTI' WHEN l_quantity = 50 THEN 'Dato dalla Nostra Residenza' WHEN l_quantity = 1 THEN 'È ratificato' WHEN l_quantity = 2 THEN 'Il Trattato' ELSE 'voce ' || CAST(l_suppkey AS VARCHAR(9)) || ';' END AS text
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
+
+
+@query(f"""WITH RECURSIVE a AS ({_ACTS}), p AS ({_PARAGRAPHS}), q AS (
+      SELECT p.*, row_number() OVER (PARTITION BY p.act_id ORDER BY a.ord, p.ord) AS i, CAST(TRY_CAST(regexp_extract(a.number, '^[0-9]+') AS BIGINT) AS BIGINT) AS mine,
+        lead(p.number) OVER (PARTITION BY p.article_id ORDER BY p.ord) = '1' AND p.text LIKE '%. Art. %(%)' AS maybe, regexp_extract(p.text, 'Art. ([0-9]+)', 1) AS base, regexp_extract(p.text, 'Art. ([0-9]+(-bis)?)', 1) AS head, split_part(p.text, ' Art. ', 1) AS rest, regexp_extract(p.text, '[(](.*)[)]', 1) AS rubric
+      FROM p JOIN a ON p.article_id = a.id
+    ), walk AS (
+      SELECT act_id, CAST(0 AS BIGINT) AS i, '' AS article_id, CAST(NULL AS BIGINT) AS n, 0 AS open, CAST(0 AS BIGINT) AS k, list_distinct(list(replace(lower(number), '-', ''))) AS taken, false AS yes FROM a GROUP BY act_id
+      UNION ALL
+      SELECT act_id, i, article_id, CASE WHEN yes THEN TRY_CAST(base AS BIGINT) ELSE n END, CASE WHEN yes THEN 0 WHEN text LIKE 'apre%' THEN open + 1 WHEN text LIKE 'chiude%' THEN greatest(open - 1, 0) ELSE open END, CASE WHEN yes THEN k + 1 ELSE k END, CASE WHEN yes THEN list_append(taken, replace(head, '-', '')) ELSE taken END, yes FROM (
+        SELECT *, maybe AND open = 0 AND NOT list_contains(taken, replace(head, '-', '')) AND (n IS NULL OR TRY_CAST(base AS BIGINT) BETWEEN n AND n + 1) AS yes FROM (
+          SELECT q.*, CASE WHEN q.article_id = w.article_id THEN w.n ELSE mine END AS n, CASE WHEN q.article_id = w.article_id THEN w.open ELSE 0 END AS open, CASE WHEN q.article_id = w.article_id THEN w.k ELSE 0 END AS k, w.taken FROM walk w JOIN q ON q.act_id = w.act_id AND q.i = w.i + 1) x) y
+    ), split AS (
+      SELECT q.*, w.yes, CASE WHEN w.yes THEN w.k - 1 ELSE w.k END AS k FROM q JOIN walk w ON q.act_id = w.act_id AND q.i = w.i
+    ), arts AS (
+      SELECT act_id, id AS origin, id, number, ord, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS rubric FROM a UNION ALL SELECT act_id, NULL, article_id, head, o_orderkey, k + 1, rubric FROM split WHERE yes
+    ), said AS (
+      SELECT article_id AS id, k, bool_or(text LIKE '%Nostra Residenza%') AS signed, bool_or(text LIKE '%REGGENTI%') AS full_, bool_or(text LIKE '%ratificato%') AS rat, bool_or(text LIKE '%Trattato%') AS tre FROM split GROUP BY article_id, k
+    ), b AS (
+      SELECT arts.*, row_number() OVER w AS i, count(*) OVER (PARTITION BY act_id) AS whole, TRY_CAST(regexp_extract(number, '^[0-9]+') AS BIGINT) AS n, replace(lower(number), '-', '') AS key, coalesce(signed, false) AS signed, coalesce(full_, false) AS full_, coalesce(rat, false) AS rat, coalesce(tre, false) AS tre
+      FROM arts LEFT JOIN said ON arts.id = said.id AND arts.k = said.k WINDOW w AS (PARTITION BY act_id ORDER BY ord, arts.id, arts.k)
+    ), f AS (
+      SELECT act_id, min(i) FILTER (signed AND i < whole) AS f, max(whole) AS whole, arg_min(full_, i) FILTER (signed AND i < whole) AS full_ FROM b GROUP BY act_id
+    ), t AS (
+      SELECT f.act_id, min(i) AS t FROM f JOIN b USING (act_id) WHERE n = 1 AND i > 1 AND i <= coalesce(f, f.whole) AND coalesce(f, f.whole) >= 5 GROUP BY f.act_id
+    ), sure AS (
+      SELECT f.act_id, CASE WHEN (SELECT bool_or(rat) AND bool_or(tre) FROM b WHERE b.act_id = f.act_id AND b.i < t) THEN t WHEN full_ THEN f + 1 END AS sure, f FROM f LEFT JOIN t ON f.act_id = t.act_id
+    ), d AS (
+      SELECT b.*, sure, coalesce(sure, f + 1) AS start FROM b JOIN sure USING (act_id)
+    ), sec AS (
+      SELECT act_id, start - 1 AS i, CAST(0 AS BIGINT) AS s, CAST([] AS VARCHAR[]) AS seen, CAST(NULL AS BIGINT) AS last FROM d WHERE start IS NOT NULL GROUP BY act_id, start
+      UNION ALL
+      SELECT act_id, i, CASE WHEN fresh THEN s + 1 ELSE s END, CASE WHEN fresh THEN [key] ELSE list_append(seen, key) END, coalesce(n, last) FROM (SELECT d.act_id, d.i, d.n, d.key, s, seen, last, s = 0 OR list_contains(seen, d.key) OR coalesce(d.n <= last, false) AS fresh FROM sec JOIN d ON d.act_id = sec.act_id AND d.i = sec.i + 1) x
+    ), inside AS (
+      SELECT d.*, CASE WHEN d.i >= d.start THEN s END AS s FROM d LEFT JOIN sec ON sec.act_id = d.act_id AND sec.i = d.i
+    ), meant AS (
+      SELECT act_id, max(sure) IS NOT NULL OR count(DISTINCT CASE WHEN s IS NOT NULL THEN s || '/' || key END) <> count(DISTINCT CASE WHEN s IS NOT NULL THEN key END)
+        OR len(list_intersect(coalesce(list(key) FILTER (s IS NOT NULL), []), coalesce(list(key) FILTER (i < start), []))) > 0 AS yes FROM inside GROUP BY act_id
+    ), named AS (
+      SELECT inside.*, CASE WHEN meant.yes AND s IS NOT NULL THEN s END AS annex_no, CASE WHEN meant.yes AND s = 1 THEN 'all-' || number WHEN meant.yes AND s > 1 THEN 'all' || s || '-' || number ELSE number END AS called FROM inside JOIN meant USING (act_id)
+    ), nth AS (
+      SELECT *, row_number() OVER (PARTITION BY act_id, replace(lower(called), '-', '') ORDER BY i) AS nth FROM named
+    )
+    SELECT act_id || '/art-' || called || CASE WHEN nth > 1 THEN '-rip' || nth ELSE '' END AS id, origin, rubric, CASE WHEN annex_no IS NOT NULL OR nth > 1 THEN number END AS number_original, CASE WHEN annex_no = 1 THEN 'Allegato' WHEN annex_no > 1 THEN 'Allegato ' || annex_no END AS annex, CAST(i - 1 AS BIGINT) AS ord,
+      (SELECT string_agg(CASE WHEN yes THEN rest ELSE text END, '|' ORDER BY s.ord) FROM split s WHERE s.article_id = nth.id AND s.k = nth.k) AS texts FROM nth""")
+def article_order(spark, sf_dir):
+    """Articles with ids of their own: customers are acts, orders articles; glued headings, annexes behind promulgations and treaties, and repeated numbers."""
+    lineitem, orders = _t(spark, sf_dir, "lineitem", "orders")
+    f, line, q, tax = (lambda c: F.col(c).cast("string")), F.col("l_linenumber"), F.col("l_quantity"), F.col("l_tax")
+    held = F.concat(f("o_custkey"), F.lit("/o-"), f("o_orderkey"))
+    number = F.when((F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderkey") % 4 == 0), "Unico").otherwise((F.col("o_orderkey") % 7 + 1).cast("string"))
+    blank = F.lit(None).cast("string")
+    arts = orders.select(held.alias("id"), f("o_custkey").alias("act_id"), number.alias("number"), blank.alias("rubric"), F.col("o_orderkey").cast("double").alias("ord"), blank.alias("number_original"), blank.alias("annex"), *[blank.alias(c) for c in restructure.PLACED])
+    rows = lineitem.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    head = F.concat(F.lit("voce "), f("l_suppkey"), F.lit(". Art. "), ((F.col("o_orderkey") + q.cast("int") % 2) % 7 + 1).cast("string"), F.when(F.col("l_returnflag") == "R", "-bis").otherwise(""), F.lit(" (Norme "), f("l_partkey"), F.lit(")"))
+    text = (
+        F.when(line.isin(2, 4) & (tax < 0.06), head)
+        .when((line == 1) & (tax == 0.07), F.concat(F.lit("apre “"), f("l_partkey")))
+        .when((line == 3) & (tax > 0.05), F.concat(F.lit("chiude ” "), f("l_partkey")))
+        .when((q == 50) & (tax == 0.08), "Dato dalla Nostra Residenza, I CAPITANI REGGENTI")
+        .when(q == 50, "Dato dalla Nostra Residenza")
+        .when(q == 1, "È ratificato")
+        .when(q == 2, "Il Trattato")
+        .otherwise(F.concat(F.lit("voce "), f("l_suppkey"), F.lit(";")))
+    )
+    place = F.row_number().over(Window.partitionBy("o_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    pars = rows.select(held.alias("article_id"), f("o_custkey").alias("act_id"), place.alias("ord"), F.when(line.isin(3, 5), "1").otherwise(line.cast("string")).alias("number"), text.alias("text"), F.lit(False).alias("implicit"))
+    new, own = restructure.restructured(arts, pars.withColumn("id", F.concat("article_id", F.lit("/"), f("ord"))))
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "|")
+    own = own.groupBy(F.col("article_id").alias("id")).agg(texts.alias("texts"))
+    return new.join(own, "id", "left").select("id", "origin", "rubric", "number_original", "annex", F.col("ord").cast("long").alias("ord"), "texts")

@@ -74,22 +74,21 @@ def text_slices(batches: Iterator[pa.RecordBatch], key: str = "doc_id", text: st
             at = to
 
 
-#: Groups that a label's rows are dealt into before its sample is drawn, so that a label with most of the rows is not ranked in one task.
-SHARES = 32
-
-
 def bounded_ids(labels: DataFrame, label: str, bound: int, seed: int = 7) -> DataFrame:
     """(doc_id, label) of at most `bound` rows of each label value, all where there are no more: the lowest by a hash of the id.
 
-    SHARES groups, dealt by another hash, rank theirs first, so that a label with most of the rows is not ranked in one task; what each group keeps,
-    at most `bound`, is then ranked together.
+    Only rows below a hash that the label's count gives are ranked: six deviations more than `bound` are expected there, so fewer come with a chance of
+    about one in a thousand million, and no task ranks all rows of a label.
     """
-    rows = labels.select("doc_id", label, F.xxhash64("doc_id", F.lit(seed)).alias("_h")).withColumn("_g", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(SHARES)))
-    rank = lambda *by: F.row_number().over(Window.partitionBy(label, *by).orderBy("_h", "doc_id"))
-    few = rows.withColumn("_r", rank("_g")).filter(F.col("_r") <= bound)
-    return few.withColumn("_r", rank()).filter(F.col("_r") <= bound).select("doc_id", label)
+    counts = labels.groupBy(label).agg(F.count("*").alias("_n"))
+    rows = labels.select("doc_id", label, F.xxhash64("doc_id", F.lit(seed)).alias("_h")).join(F.broadcast(counts), label)
+    low = (F.col("_h") / F.lit(2.0**64) + 0.5) * F.col("_n") <= bound + 6 * bound**0.5 + 30
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("_h", "doc_id"))
+    return rows.filter(low).withColumn("_r", rank).filter(F.col("_r") <= bound).select("doc_id", label)
 
 
+#: Groups that a sample's rows are dealt into before they are ranked together.
+SHARES = 32
 #: So many rows of a label at most are brought to the driver, whatever their texts.
 FIT_ROWS = 4_000
 

@@ -88,6 +88,24 @@ def leading_int(text: Column) -> Column:
     return F.regexp_extract(text, r"^\s*([0-9]{1,9})", 1).try_cast("int")
 
 
+MARK = "\x02"
+
+
+def occurrences(text: Column, pattern: str) -> Column:
+    """array<struct<s, e, t>>: all matches of a pattern with where they start and end (exclusive, in characters): matches are put between marks, and the text is split there."""
+    clean = F.translate(text, MARK, " ")
+    parts = F.when(clean.rlike(pattern), F.split(F.regexp_replace(clean, pattern, f"{MARK}$0{MARK}"), MARK, -1))
+    none = F.array().cast("array<struct<s:int,e:int,t:string>>")
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), none.alias("x"))
+
+    def step(a: Column, x: Column) -> Column:
+        end = a["at"] + F.length(x)
+        found = F.when(a["odd"], F.array_append(a["x"], F.struct(a["at"].alias("s"), end.alias("e"), x.alias("t")))).otherwise(a["x"])
+        return F.struct(end.alias("at"), (~a["odd"]).alias("odd"), found.alias("x"))
+
+    return F.coalesce(F.aggregate(parts, start, step, lambda a: a["x"]), none)
+
+
 def title_words(text: Column) -> Column:
     """A title for comparison: lower case, letters and digits, single spaces."""
     return collapsed(F.regexp_replace(F.lower(plain_marks(text)), r"[^\p{L}\p{N}]+", " "))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from actweave.functions import text as tx
 from actweave.operators import graph, ranking, renumber, restructure, sequences
+from actweave.sources import consolidated
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -846,3 +847,38 @@ def article_order(spark, sf_dir):
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "|")
     own = own.groupBy(F.col("article_id").alias("id")).agg(texts.alias("texts"))
     return new.join(own, "id", "left").select("id", "origin", "rubric", "number_original", "annex", F.col("ord").cast("long").alias("ord"), "texts")
+
+
+@query("""WITH w AS (
+      SELECT doc_id, 'a' AS kind, unnest(string_split(text, ' and ')) AS part, generate_subscripts(string_split(text, ' and '), 1) AS k, 5 AS size FROM documents
+      UNION ALL SELECT doc_id, 'b', unnest(string_split(text, ', the ')), generate_subscripts(string_split(text, ', the '), 1), 6 FROM documents
+    ), p AS (
+      SELECT doc_id, kind, size, k, sum(length(part) + size) OVER (PARTITION BY doc_id, kind ORDER BY k) - size AS s, max(k) OVER (PARTITION BY doc_id, kind) AS last FROM w
+    ), o AS (SELECT doc_id, kind, s, s + size AS e FROM p WHERE k < last)
+    SELECT a.doc_id, CAST(a.s AS BIGINT) AS reference, CAST(b.s AS BIGINT) AS modifier, CAST(CASE WHEN b.s > a.e THEN b.s - a.e ELSE a.s - b.e END AS BIGINT) AS gap
+    FROM o a JOIN o b ON a.doc_id = b.doc_id AND a.kind = 'a' AND b.kind = 'b' AND ((b.s > a.e AND b.s - a.e <= 160) OR (b.e < a.s AND a.s - b.e <= 160))
+    QUALIFY row_number() OVER (PARTITION BY a.doc_id, a.s ORDER BY gap, b.s) = 1""")
+def nearest_spans(spark, sf_dir):
+    """To each place of one phrase the nearest place of another within 160 characters: a band join over stretches of the text."""
+    docs = graph.spread(_t(spark, sf_dir, "documents"))
+    found = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), tx.occurrences(F.col("text"), p).alias("x")) for k, p in (("a", " and "), ("b", ", the "))])).alias("y")).select("doc_id", "y.kind", F.explode("y.x").alias("x"))
+    spans = found.select("doc_id", "kind", "x.s", "x.e")
+    pairs = consolidated.near(spans.filter("kind = 'a'").drop("kind"), spans.filter("kind = 'b'").drop("kind"), ["doc_id"])
+    best = pairs.groupBy("doc_id", "s").agg(F.min(F.struct((F.col("gap_e") - F.col("gap_s")).alias("gap"), "b_s")).alias("m"))
+    return best.select("doc_id", F.col("s").cast("long").alias("reference"), F.col("m.b_s").cast("long").alias("modifier"), F.col("m.gap").cast("long").alias("gap"))
+
+
+@query("""SELECT c_custkey AS act_id, o_orderkey AS article, s_suppkey AS source, CAST(1 AS BIGINT) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE o_orderstatus = 'F' AND s_acctbal > 0 AND c_acctbal > 0
+      GROUP BY c_custkey, o_orderkey, s_suppkey
+    UNION ALL SELECT c_custkey, o_orderkey, NULL, 1 FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' AND c_acctbal > 0 AND NOT EXISTS (SELECT 1 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_orderkey = o_orderkey AND s_acctbal > 0)""")
+def evidenced_repeals(spark, sf_dir):
+    """Repeals from nested evidence: each customer's file lists its finished orders with the suppliers behind them; those of customers that are known are taken, with nobody where none is named."""
+    orders, customer, lineitem, supplier = _t(spark, sf_dir, "orders", "customer", "lineitem", "supplier")
+    by = lineitem.join(supplier.filter("s_acctbal > 0"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy("l_orderkey").agg(F.collect_set(F.col("s_suppkey").cast("string")).alias("fonti"))
+    gone = orders.filter("o_orderstatus = 'F'").join(by, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    item = F.struct(F.col("o_orderkey").cast("string").alias("articolo"), F.coalesce("fonti", F.array().cast("array<string>")).alias("fonti"), F.concat(F.lit("o-"), F.col("o_orderkey").cast("string")).alias("articoloId"), F.lit(None).cast("string").alias("partizione"))
+    files = gone.groupBy(F.col("o_custkey").cast("string").alias("norma")).agg(F.collect_list(item).alias("articoli")).withColumns({"fonte": F.lit("f"), "aggiornatoAl": F.lit("d")})
+    text = files.select(F.to_json(F.struct("norma", "fonte", "aggiornatoAl", "articoli")).alias("j")).select(F.from_json("j", consolidated.EVIDENCE).alias("x")).select("x.*")
+    known = orders.join(customer.filter("c_acctbal > 0"), F.col("o_custkey") == F.col("c_custkey")).select(F.concat(F.lit("o-"), F.col("o_orderkey").cast("string")).alias("id"))
+    rows, _ = consolidated.evidenced_repeals(text, known)
+    return rows.groupBy(F.col("dst_act").cast("long").alias("act_id"), F.col("article").cast("long").alias("article"), F.col("src_act").cast("long").alias("source")).agg(F.count("*").alias("n"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from actweave.functions import text as tx
 from actweave.operators import graph, ranking, renumber, restructure, sequences
-from actweave.sources import consolidated
+from actweave.sources import composite, consolidated
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -882,3 +882,39 @@ def evidenced_repeals(spark, sf_dir):
     known = orders.join(customer.filter("c_acctbal > 0"), F.col("o_custkey") == F.col("c_custkey")).select(F.concat(F.lit("o-"), F.col("o_orderkey").cast("string")).alias("id"))
     rows, _ = consolidated.evidenced_repeals(text, known)
     return rows.groupBy(F.col("dst_act").cast("long").alias("act_id"), F.col("article").cast("long").alias("article"), F.col("src_act").cast("long").alias("source")).agg(F.count("*").alias("n"))
+
+
+@query(r"""WITH l AS (
+      SELECT o_custkey AS act_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS line,
+        CASE WHEN l_quantity = 50 THEN CAST(1900 + l_linenumber AS VARCHAR(9)) WHEN l_quantity > 48 THEN '' ELSE l_returnflag || l_linestatus || ' ' || CAST(l_suppkey AS VARCHAR(9)) END AS text FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+    ), y AS (
+      SELECT *, regexp_full_match(text, '[0-9]{4}') AND coalesce(trim(lag(text) OVER (PARTITION BY act_id ORDER BY line)) <> '', false) AS joins FROM l
+    ), g AS (
+      SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY act_id ORDER BY line) AS g FROM y
+    ), m AS (
+      SELECT act_id, min(line) AS line, string_agg(text, ' ' ORDER BY line) AS text FROM g GROUP BY act_id, g
+    ), s0 AS (
+      SELECT act_id, min(line) AS line FROM m WHERE text LIKE 'NO %' GROUP BY act_id
+    ), s AS (
+      SELECT act_id, 1 AS section, line FROM s0 UNION ALL SELECT m.act_id, 2, min(m.line) FROM m JOIN s0 USING (act_id) WHERE text LIKE 'RF %1%' AND m.line > s0.line GROUP BY m.act_id
+    ), ok AS (
+      SELECT act_id FROM s GROUP BY act_id HAVING count(*) = 2 AND min(CASE WHEN section = 2 THEN line END) = (SELECT min(line) FROM m WHERE m.act_id = s.act_id AND text LIKE 'RF %1%')
+    ), i AS (
+      SELECT s.act_id, s.section, s.line AS a, coalesce(lead(s.line) OVER (PARTITION BY s.act_id ORDER BY s.line), 1000000000) AS b FROM s JOIN ok USING (act_id)
+      UNION ALL SELECT act_id, NULL, 0, min(s.line) FROM s JOIN ok USING (act_id) GROUP BY act_id
+    ), e AS (
+      SELECT i.*, (SELECT min(m.line) FROM m WHERE m.act_id = i.act_id AND m.line >= i.a AND m.line < i.b AND (m.line > i.a OR i.section IS NULL) AND text LIKE 'AF %') AS stop FROM i
+    )
+    SELECT e.act_id, e.section, CAST(count(*) AS BIGINT) AS n_lines, CAST(min(m.line) AS BIGINT) AS first_line, md5(string_agg(text, '|' ORDER BY m.line)) AS texts FROM e JOIN m ON m.act_id = e.act_id AND m.line >= e.a AND m.line < coalesce(e.stop, e.b) GROUP BY e.act_id, e.section""")
+def composite_sections(spark, sf_dir):
+    """Lines split by configured openings: customers are acts, each with two sections that two patterns open and a pattern that ends them."""
+    lineitem, orders = _t(spark, sf_dir, "lineitem", "orders")
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    text = F.when(F.col("l_quantity") == 50, (1900 + F.col("l_linenumber")).cast("string")).when(F.col("l_quantity") > 48, "").otherwise(F.concat("l_returnflag", "l_linestatus", F.lit(" "), F.col("l_suppkey").cast("string")))
+    lines = lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("act_id"), place.alias("line"), text.alias("text"))
+    config = orders.select(F.col("o_custkey").alias("act_id")).distinct().withColumn("x", F.explode(F.array(F.struct(F.lit(1).alias("section"), F.lit("^NO ").alias("opens")), F.struct(F.lit(2).alias("section"), F.lit("^RF .*1").alias("opens"))))).select("act_id", "x.*", F.lit("^AF ").alias("ends"))
+    # customers whose lines don't bear the configuration out are left aside first
+    fits = config.join(composite.faults(composite.opened(composite.mended(lines), config)).select("act_id"), "act_id", "left_anti")
+    parts = composite.divided(lines, fits)
+    texts = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "|"))
+    return parts.groupBy("act_id", "section").agg(F.count("*").alias("n_lines"), F.min("line").cast("long").alias("first_line"), texts.alias("texts"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from actweave import schema
 from actweave.functions import ids
 from actweave.functions import text as tx
+from actweave.operators import graph
 
 # Forms of headings, marks and notes of consolidated texts, and the distances that tell paragraphs, titles and repeals.
 ORDINALS = "bis|ter|quater|quinquies|sexies|septies|octies|nonies|decies|undecies|duodecies|terdecies|quaterdecies"
@@ -177,12 +178,12 @@ def repealers(arts: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def read(body: DataFrame, lines: DataFrame) -> dict[str, DataFrame]:
-    """Tables `articles`, `notes`, `changes`, `origins`, `repealers` and `as_of`(doc, as_of) of consolidated documents."""
-    arts = articles(body)
+    """Tables `articles`, `notes`, `changes`, `origins`, `repealers` and `as_of`(doc, as_of) of consolidated documents. What several of them need is written once."""
+    arts = graph.written(articles(body))
     each = arts.select("doc", "ord", F.explode("notes").alias("note"))
-    found = notes(lines, each.groupBy("doc").agg(F.max("note").alias("n")))
+    found = graph.written(notes(lines, each.groupBy("doc").agg(F.max("note").alias("n"))))
     noted = each.join(found, ["doc", "note"])
-    changed = changes(noted)
+    changed = graph.written(changes(noted))
     place = F.row_number().over(Window.partitionBy("doc").orderBy("line"))
     day = F.regexp_extract("text", AS_OF, 1)
     first = body.withColumn("_n", place).filter((F.col("_n") <= HEAD_LINES) & (day != "")).groupBy("doc").agg(F.min_by(F.trim(day), "line").alias("as_of"))

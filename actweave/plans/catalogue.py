@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from actweave.functions import text as tx
 from actweave.operators import graph, ranking, renumber, restructure, sequences
-from actweave.sources import composite, consolidated
+from actweave.sources import collected, composite, consolidated
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -918,3 +918,32 @@ def composite_sections(spark, sf_dir):
     parts = composite.divided(lines, fits)
     texts = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "|"))
     return parts.groupBy("act_id", "section").agg(F.count("*").alias("n_lines"), F.min("line").cast("long").alias("first_line"), texts.alias("texts"))
+
+
+@query("""WITH c AS (
+      SELECT o_custkey AS doc, CAST(o_orderkey % 30 AS INT) AS note, CAST(row_number() OVER (PARTITION BY o_custkey, o_orderkey % 30 ORDER BY o_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS INT) AS k, 'L-' || (l_suppkey % 5) || '-2000' AS act,
+        CASE WHEN l_tax < 0.02 THEN NULL ELSE CAST(l_partkey % 2 + 1 AS VARCHAR(9)) END AS article, CASE WHEN l_quantity < 12 THEN 'vedere nota n. ' || CAST(l_partkey % 30 AS VARCHAR(9)) || '.' WHEN l_quantity < 18 THEN 'comma 1: vedere nota precedente' ELSE 'testo ' || CAST(l_partkey AS VARCHAR(9)) END AS text
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+    ), v AS (
+      SELECT o_custkey AS doc, 1 AS seg, CAST(o_orderkey % 7 AS INT) AS ord, o_orderkey % 7 = 0 AS is_title, CAST(o_orderkey % 30 AS INT) AS note FROM orders GROUP BY ALL
+    ), r AS (
+      SELECT *, text LIKE '%vedere nota%' AS refers, CASE WHEN text LIKE '%precedente' THEN note - 1 ELSE TRY_CAST(regexp_extract(text, 'n. ([0-9]+)', 1) AS INT) END AS target FROM c
+    ), e AS (
+      SELECT v.doc, seg, ord, is_title, v.note, k, act, article, text, refers, target FROM v JOIN r ON v.doc = r.doc AND v.note = r.note
+    ), w AS (
+      SELECT doc, act, coalesce(article, '') AS article, arg_min(text, seg * 1e15 + CAST(is_title AS INT) * 1e12 + ord * 1e9 + note * 1e6 + k) AS text FROM e WHERE NOT refers GROUP BY ALL
+    ), d AS (
+      SELECT a.doc, a.note, a.k, arg_min(b.text, b.k) AS text FROM r a JOIN r b ON a.refers AND NOT b.refers AND a.doc = b.doc AND b.note = a.target AND a.act = b.act AND (a.article IS NULL OR b.article IS NULL OR a.article = b.article) GROUP BY ALL
+    )
+    SELECT e.doc, e.ord, e.is_title, e.note, e.k, e.act, e.article, CASE WHEN e.refers THEN coalesce(d.text, w.text, e.text) ELSE e.text END AS text
+    FROM e LEFT JOIN d ON e.doc = d.doc AND e.note = d.note AND e.k = d.k LEFT JOIN w ON e.doc = w.doc AND e.act = w.act AND coalesce(e.article, '') = w.article""")
+def note_references(spark, sf_dir):
+    """Notes that refer to notes: customers are documents, their orders the articles and titles with notes, lines the changes that a note lists."""
+    lineitem, orders = _t(spark, sf_dir, "lineitem", "orders")
+    f, q, note = (lambda c: F.col(c).cast("string")), F.col("l_quantity"), (F.col("o_orderkey") % 30).cast("int")
+    place = F.row_number().over(Window.partitionBy("o_custkey", note).orderBy("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")) - 1
+    text = F.when(q < 12, F.concat(F.lit("vedere nota n. "), (F.col("l_partkey") % 30).cast("string"), F.lit("."))).when(q < 18, "comma 1: vedere nota precedente").otherwise(F.concat(F.lit("testo "), f("l_partkey")))
+    changed = lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("doc"), note.alias("note"), place.alias("k"), F.concat(F.lit("L-"), (F.col("l_suppkey") % 5).cast("string"), F.lit("-2000")).alias("act"), F.when(F.col("l_tax") >= 0.02, (F.col("l_partkey") % 2 + 1).cast("string")).alias("article"), F.lit(None).cast("string").alias("paragraph"), text.alias("text"))
+    seven = (F.col("o_orderkey") % 7).cast("int")
+    voices = orders.select(F.col("o_custkey").alias("doc"), F.lit(1).alias("seg"), seven.alias("ord"), (seven == 0).alias("is_title"), note.alias("note")).distinct()
+    return collected.resolved_references(voices, changed).drop("seg")

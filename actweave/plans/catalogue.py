@@ -6,13 +6,14 @@ documents are paragraphs, embeddings their vectors, events usage records, conver
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from actweave.functions import text as tx
-from actweave.operators import graph, ranking, renumber, restructure, sequences
+from actweave.operators import graph, lexicon, ranking, renumber, restructure, sequences
 from actweave.sources import collected, composite, consolidated
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -947,3 +948,19 @@ def note_references(spark, sf_dir):
     seven = (F.col("o_orderkey") % 7).cast("int")
     voices = orders.select(F.col("o_custkey").alias("doc"), F.lit(1).alias("seg"), seven.alias("ord"), (seven == 0).alias("is_title"), note.alias("note")).distinct()
     return collected.resolved_references(voices, changed).drop("seg")
+
+
+_STEMS = rf"list_transform(list_filter(regexp_extract_all(lower({{0}}), '[\p{{{{L}}}}\p{{{{N}}}}]+'), lambda t: t NOT IN ({', '.join(repr(w) for w in (*lexicon.ELIDED, *lexicon.EMPTY))})), lambda t: CASE WHEN length(t) < 6 THEN t ELSE regexp_replace(translate(t, '{lexicon.ACCENTS}', '{lexicon.PLAIN}'), '{lexicon.ENDING}', '') END)"
+
+
+@query(f"""WITH tok AS (SELECT doc_id, unnest({_STEMS.format("text")}) AS term FROM documents),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL), dl AS (SELECT doc_id, count(*) AS dl FROM tok GROUP BY doc_id),
+    av AS (SELECT avg(dl) AS av, count(*) AS n FROM dl), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    q AS (SELECT DISTINCT item_id, unnest({_STEMS.format("text")}) AS term FROM benchmark),
+    sc AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))) AS score FROM q JOIN df USING (term) JOIN tf USING (term) JOIN dl USING (doc_id), av GROUP BY ALL)
+    SELECT item_id, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS INTEGER) AS rank FROM sc QUALIFY rank <= 10""")
+def indexed_bm25(spark, sf_dir):
+    """A stored index of stems built over all documents, and BM25 of every benchmark text from its postings alone."""
+    docs, bench = _t(spark, sf_dir, "documents", "benchmark")
+    index = lexicon.Lexicon.build(docs, f"{graph.shared_dir(spark)}/actweave/lexicon-{uuid.uuid4().hex}")
+    return index.search(bench.select("item_id", "text"), "item_id", 10)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from actweave import schema
 from actweave.functions import ids
 from actweave.functions import text as tx
-from actweave.operators import enrich, graph, ranking
+from actweave.operators import enrich, graph, lexicon, ranking
 from actweave.sources import tables as store
 
 # Weights of the lists in the fusion, over-fetching, limits of what is shown and read.
@@ -63,13 +63,23 @@ def _representative(a: dict, b: dict) -> dict:
 class Corpus:
     """A corpus of acts as tables (see schema.TABLES); every method returns a lazy DataFrame."""
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame]):
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], index: str | None = None):
         self.spark = spark
         self.t = {n: tables[n] if n in tables else schema.empty(spark, n) for n in schema.TABLES}
+        self.lexicons = {n: lexicon.Lexicon(spark, f"{index}/{n}") for n in ("paragraphs", "chunks")} if index else None
 
     @classmethod
-    def read(cls, spark: SparkSession, path: str) -> Corpus:
-        return cls(spark, store.read(spark, path))
+    def read(cls, spark: SparkSession, path: str, index: str | None = None) -> Corpus:
+        """The corpus of a folder, and the full-text index of another one, if there is one."""
+        return cls(spark, store.read(spark, path), index)
+
+    def indexed(self, path: str) -> Corpus:
+        """Builds the full-text index of paragraphs with their rubrics and of chunks in a new folder; searches of the corpus returned read it instead of the texts."""
+        rubrics = self.t["articles"].select(F.col("id").alias("article_id"), "rubric")
+        pars = self.t["paragraphs"].filter("text IS NOT NULL AND trim(text) <> ''").join(rubrics, "article_id", "left")
+        lexicon.Lexicon.build(pars.select("id", F.concat_ws(" ", "rubric", "text").alias("text")), f"{path}/paragraphs", key="id")
+        lexicon.Lexicon.build(self.t["chunks"], f"{path}/chunks", key="id")
+        return Corpus(self.spark, self.t, path)
 
     def register_views(self, prefix: str = "") -> None:
         """Temporary views of all tables, for SQL."""
@@ -100,7 +110,12 @@ class Corpus:
         return rows.withColumns({"repealed": F.when(F.coalesce("_pr", no) | F.coalesce("_ar", no), F.lit(True)), "repealed_by": F.coalesce("_prb", "_arb"), "url_doc": F.coalesce("_aurl", "_url")}).drop("_pr", "_ar", "_prb", "_arb", "_aurl", "_url")
 
     def _lexical(self, units: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-        """(query_id, par_id, start, score): BM25 over paragraphs with their rubrics, and over chunks, each shown as its paragraph."""
+        """(query_id, par_id, start, score): BM25 over paragraphs with their rubrics, and over chunks, each shown as its paragraph; from the stored index, if there is one."""
+        if self.lexicons:
+            allowed = units.select(F.col("par_id").alias("id"))
+            whole = self.lexicons["paragraphs"].search(queries, "query_id", k, key="id", allowed=allowed).select("query_id", F.col("id").alias("par_id"), F.lit(None).cast("int").alias("start"), "score")
+            own = self.t["chunks"].select("id", F.col("paragraph_id").alias("par_id"), "start").join(units.select("par_id"), "par_id", "left_semi")
+            return whole.unionByName(self.lexicons["chunks"].search(queries, "query_id", k, key="id", allowed=own).join(own, "id").select("query_id", "par_id", "start", "score"))
         docs = units.select("par_id", F.concat_ws(" ", "rubric", "text").alias("text"))
         whole = ranking.bm25(docs, queries, "query_id", k, key="par_id").select("query_id", "par_id", F.lit(None).cast("int").alias("start"), "score")
         parts = self.t["chunks"].join(units.select(F.col("par_id").alias("paragraph_id")), "paragraph_id", "left_semi").select("id", "text")

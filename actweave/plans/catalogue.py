@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from actweave.functions import text as tx
-from actweave.operators import graph, lexicon, ranking, renumber, restructure, sequences
+from actweave.operators import graph, lexicon, ranking, renumber, restructure, sequences, twins
 from actweave.sources import collected, composite, consolidated
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -964,3 +964,29 @@ def indexed_bm25(spark, sf_dir):
     docs, bench = _t(spark, sf_dir, "documents", "benchmark")
     index = lexicon.Lexicon.build(docs, f"{graph.shared_dir(spark)}/actweave/lexicon-{uuid.uuid4().hex}")
     return index.search(bench.select("item_id", "text"), "item_id", 10)
+
+
+@query("""WITH a AS (
+      SELECT 'C-' || c_custkey AS id, CAST(1990 + c_custkey % 30 AS INT) AS year FROM customer
+    ), r AS (
+      SELECT 'o-' || o_orderkey AS id, 'C-' || o_custkey AS act_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, repeat(md5(CAST(o_orderkey % 40 AS VARCHAR)), 2) AS text, o_orderstatus = 'F' AS gone, 'C-' || (o_orderkey % 150) AS source FROM orders
+    ), p0 AS (
+      SELECT CASE WHEN c_custkey % 4 = 0 THEN 'coordinato' ELSE 'ratifica' END AS kind, 'C-' || c_custkey AS a, 'C-' || (c_custkey + 1) AS b FROM customer WHERE c_custkey % 2 = 0
+    ), p AS (SELECT kind, a, b FROM p0 UNION ALL SELECT kind, b, a FROM p0), f AS (
+      SELECT p.kind, r.id, r.text, r.n, p.a, p.b, r.source FROM r JOIN p ON r.act_id = p.a JOIN a s ON s.id = r.source JOIN a x ON x.id = p.a JOIN a y ON y.id = p.b WHERE gone AND s.year > x.year AND s.year > y.year
+    ), h AS (
+      SELECT f.*, t.id AS twin, row_number() OVER (PARTITION BY f.kind, f.id, f.b ORDER BY t.n <> f.n, t.n) AS k FROM f JOIN r t ON t.act_id = f.b AND t.text = f.text AND (f.kind = 'ratifica' OR t.n = f.n)
+    )
+    SELECT kind, id AS article_id, twin AS twin_article_id, source FROM h WHERE k = 1""")
+def twin_repeals(spark, sf_dir):
+    """Repeals passed on between twins: customers are acts, every second one the twin of the next, orders their articles with texts that recur."""
+    customer, orders = _t(spark, sf_dir, "customer", "orders")
+    name, f = (lambda c: F.concat(F.lit("C-"), c.cast("string"))), F.lit(None).cast("string")
+    acts = customer.select(name(F.col("c_custkey")).alias("id"), (1990 + F.col("c_custkey") % 30).cast("int").alias("year"), F.lit(None).cast("date").alias("act_date"))
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    rows = orders.select(F.concat(F.lit("o-"), F.col("o_orderkey").cast("string")).alias("id"), name(F.col("o_custkey")).alias("act_id"), n.alias("n"), F.repeat(F.md5((F.col("o_orderkey") % 40).cast("string")), 2).alias("text"), (F.col("o_orderstatus") == "F").alias("repealed"), F.array(name(F.col("o_orderkey") % 150)).alias("repealed_by"))
+    arts = rows.select("id", "act_id", F.col("n").cast("string").alias("number"), f.alias("rubric"), F.col("n").cast("double").alias("ord"), "repealed", "repealed_by")
+    pars = rows.select(F.concat("id", F.lit("/c-1")).alias("id"), F.col("id").alias("article_id"), "act_id", F.lit("1").alias("number"), "text", F.lit(0).alias("ord"), F.lit(False).alias("repealed"), F.lit(None).cast("array<string>").alias("repealed_by"))
+    even = customer.filter("c_custkey % 2 = 0").select(F.when(F.col("c_custkey") % 4 == 0, "coordinato").otherwise("ratifica").alias("kind"), name(F.col("c_custkey")).alias("a"), name(F.col("c_custkey") + 1).alias("b"))
+    passed, _ = twins.repeals({"acts": acts, "articles": arts, "paragraphs": pars}, even)
+    return passed.select("kind", "article_id", F.col("id").alias("twin_article_id"), F.explode("sources").alias("source"))

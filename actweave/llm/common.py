@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from typing import TypeVar
 
@@ -43,14 +46,23 @@ def with_facts(rows: DataFrame, facts: DataFrame, key: str, count: str, total: i
     return few.unionByName(rest)
 
 
+def give_back() -> None:
+    """Returns the memory that a worker has free to the system, where the C library can; else it would keep the most it ever used."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 #: What a worker remembers from one task to the next: one thing, that of the operator it runs.
 _REMEMBERED: dict = {}
 
 
 def remembered(key: str, make: Callable[[], T]) -> T:
-    """What `make` gave for this key last time; whatever another key had is forgotten, so that a worker's memory doesn't add up over operators."""
+    """What `make` gave for this key last time; whatever another key had is forgotten and given back, so that a worker's memory doesn't add up over operators."""
     if key not in _REMEMBERED:
         _REMEMBERED.clear()
+        gc.collect()
+        give_back()
         _REMEMBERED[key] = make()
     return _REMEMBERED[key]
 
@@ -71,6 +83,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], key: str = "doc_id", text: st
             base = sizes[at - 1] if at else 0.0
             to = max(at + 1, int(np.searchsorted(sizes, base + chars, side="right")))
             yield keys.slice(at, to - at), column.slice(at, to - at).to_pylist()
+            give_back()
             at = to
 
 

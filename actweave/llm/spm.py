@@ -30,11 +30,13 @@ from .common import remembered, text_slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words that a worker remembers; when full, it forgets those not met since it was last full.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 #: Characters of new words that go through the automaton at once, and slots for what is known of pairs of pieces (a power of two).
-AT_ONCE, PAIRS = 200_000, 1 << 22
+AT_ONCE, PAIRS = 200_000, 1 << 21
 #: Segments of more characters than this go through the pass one by one, with the same result.
 LONG = 128
+#: Characters of text whose words are looked up at once.
+SLICE = 500_000
 
 
 @dataclass
@@ -429,7 +431,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             at = 0
             texts = batch.column(batch.schema.get_field_index("text"))
             rows = pa.RecordBatch.from_arrays([texts, texts], ["doc_id", "text"])
-            for _, part in text_slices([rows]):
+            for _, part in text_slices([rows], chars=SLICE):
                 ids = v.encode_texts(part)
                 sizes = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
                 flat = np.frombuffer(b"".join(ids), dtype="<i4")
@@ -467,7 +469,7 @@ def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         v = remembered(shared.value.key, lambda: shared.value)
         own = np.zeros(len(v.pieces), dtype=bool)
         own[v.byte_ids] = True
-        for keys, texts in text_slices(batches):
+        for keys, texts in text_slices(batches, chars=SLICE):
             codes = v.encode_texts(texts)
             n = np.array([len(c) // 4 for c in codes], dtype=np.int64)
             ids = np.frombuffer(b"".join(codes), dtype="<u4").astype(np.int64)

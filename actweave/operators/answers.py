@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from actweave.functions import citations, ids
+from actweave.functions import text as tx
 
 # A marker names an act, its article and paragraph: [L-44-2015 art.3 c.1].
 MARKER = r"\[([A-Z]{1,3}-[0-9A-Z]+-[0-9]{4}(?:~[0-9]+)?)(?:\s+art\.\s*([0-9]+(?:[ -][a-z]+)?))?(?:\s+c\.\s*([0-9A-Za-z.-]+))?\]"
@@ -71,3 +72,34 @@ def accuracy(outcomes: DataFrame) -> DataFrame:
         F.max("seconds").alias("max_seconds"),
         F.round(F.avg("cost"), 6).alias("mean_cost"),
     )
+
+
+# The marker of a stored answer.
+STORED = r"\{\{cita:([^:{}]+):([^:{}]*):([^:{}]*)\}\}"
+
+
+def repaired(answers: DataFrame, sources: DataFrame, acts: DataFrame, key: str = "answer_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(answers, added): texts whose markers `{{cita:act:article:paragraph}}` name what the answer's sources(key, act_id, article, par) hold.
+
+    A marker that is no source becomes its article's, if that is one, else its act's, which is added(key, act_id) to the sources if the act is loaded; a marker of an act that
+    is neither is taken out. Pieces of text meet their sources by joins and are put together again in their order.
+    """
+    found = answers.select(key, tx.occurrences(F.col(text), STORED).alias("x"), F.col(text).alias("_t"))
+    marks = found.select(key, F.posexplode("x").alias("k", "x")).select(key, "k", *[F.regexp_extract("x.t", STORED, g).alias(n) for g, n in ((1, "act_id"), (2, "article"), (3, "par"))], "x.s", "x.e")
+    none = lambda c: F.when(F.coalesce(c, F.lit("")) == "", "-").otherwise(c)
+    rank = lambda c: F.when(c == "-", "-").otherwise(ids.article_key(c))
+    have = sources.select(key, "act_id", rank(none(F.col("article"))).alias("_a"), none(F.col("par")).alias("_p")).distinct()
+    rows = marks.withColumns({"_a": F.when(none(F.col("article")) == "-", F.col("article")).otherwise(ids.article_key(F.col("article"))), "_p": none(F.col("par"))}).withColumn("_a", none(F.col("_a")))
+    rows = rows.join(have.withColumn("_own", F.lit(True)), [key, "act_id", "_a", "_p"], "left")
+    rows = rows.join(have.filter("_p = '-'").select(key, "act_id", "_a", F.lit(True).alias("_art")), [key, "act_id", "_a"], "left")
+    rows = rows.join(have.filter("_a = '-' AND _p = '-'").select(key, "act_id", F.lit(True).alias("_act")), [key, "act_id"], "left")
+    rows = rows.join(acts.filter("loaded").select(F.col("id").alias("act_id"), F.lit(True).alias("_known")), "act_id", "left")
+    as_act = F.concat(F.lit("{{cita:"), "act_id", F.lit(":-:-}}"))
+    new = F.when(F.col("_own"), F.concat(F.lit("{{cita:"), "act_id", F.lit(":"), "article", F.lit(":"), "par", F.lit("}}"))).when(F.col("_art") & (F.col("_a") != "-"), F.concat(F.lit("{{cita:"), "act_id", F.lit(":"), "article", F.lit(":-}}"))).when(F.col("_act") | F.col("_known"), as_act).otherwise("")
+    rows = rows.withColumn("_new", new)
+    added = rows.filter("_own IS NULL AND (_art IS NULL OR _a = '-') AND _act IS NULL AND _known").select(key, "act_id").distinct()
+    put = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("s", "e", "_new"))).alias("_m"))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    step = lambda a, m: F.struct(m["e"].alias("at"), F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, m["s"] - a["at"]), m["_new"]).alias("out"))
+    whole = F.aggregate("_m", start, step, lambda a: F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, F.length(text))))
+    return answers.join(put, key, "left").withColumn(text, F.when(F.col("_m").isNull(), F.col(text)).otherwise(whole)).select(answers.columns), added

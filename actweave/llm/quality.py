@@ -29,7 +29,10 @@ CONTEXT, FORM, NONZERO, REACH = 48, 64, 4, 2
 BUCKETS, BLOCKS = 1 << 15, 128
 #: Words at which a document's features count half.
 FEW = 8
-CACHE = 120_000
+#: Words whose vectors a worker keeps, and words of a text that are looked up at once (no more than it keeps).
+CACHE = STEP = 60_000
+#: Forms of words whose vectors it keeps.
+FORMS = 30_000
 FOLDS, THRESHOLD = 5, 0.3
 
 _EDGES = re.compile(r"^([^\w]*)(.*?)([^\w]*)$", re.S)
@@ -88,7 +91,7 @@ class Words:
         own[:, :CONTEXT] = self.contexts[[bucket_of(c) for c, _ in pairs]]
         for k, (_, form) in enumerate(pairs):
             if (vector := self.forms.get(form)) is None:
-                if len(self.forms) > CACHE:
+                if len(self.forms) > FORMS:
                     self.forms.clear()
                 vector = self.forms[form] = index_rows([f"{i}{x}" for i, x in enumerate(form)], FORM).sum(axis=0) / 2
             own[k, CONTEXT:] = vector
@@ -103,9 +106,8 @@ def pooled(text: str | None, words: Words) -> np.ndarray:
     if not n:
         return out
     mean, square, distinct, repeats, last = np.zeros(width), np.zeros(width), 0, 0, -1
-    step = CACHE // 2
-    for at in range(0, n, step):
-        ids = words.ids(found[at : at + step])
+    for at in range(0, n, STEP):
+        ids = words.ids(found[at : at + STEP])
         kinds, count = np.unique(ids, return_counts=True)
         rows = words.table[kinds].astype(np.float64)
         mean += count @ rows

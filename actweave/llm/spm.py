@@ -30,9 +30,9 @@ from .common import remembered, text_slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words that a worker remembers; when full, it forgets those not met since it was last full.
-REMEMBERED = 120_000
+REMEMBERED = 80_000
 #: Characters of new words that go through the automaton at once, and slots for what is known of pairs of pieces (a power of two).
-AT_ONCE, PAIRS = 200_000, 1 << 21
+AT_ONCE, PAIRS = 100_000, 1 << 21
 #: Segments of more characters than this go through the pass one by one, with the same result.
 LONG = 128
 #: Characters of text whose words are looked up at once.

@@ -152,7 +152,7 @@ def _quoted(rows: DataFrame) -> DataFrame:
     return rows.withColumn("block", block).withColumn("used", used).drop("_m", "_ahead", "_stop", "_last", "_break", "_next_plain", "_starts", "_end", "_spans", "open")
 
 
-def _listed(rows: DataFrame) -> DataFrame:
+def _listed(rows: DataFrame, colon_at_end: str) -> DataFrame:
     """`entry`: the place of the paragraph whose list a paragraph is an entry of.
 
     A list starts with number 1 behind a colon and goes on by ones. An entry that ends in a colon opens a further list of the same paragraph. An entry
@@ -160,7 +160,7 @@ def _listed(rows: DataFrame) -> DataFrame:
     """
     lag = lambda c: F.lag(c).over(_places())
     free = F.col("plain") & ~F.col("used")
-    colon = F.col("text").rlike(COLON_AT_END) & ~F.col("used")
+    colon = F.col("text").rlike(colon_at_end) & ~F.col("used")
     rows = rows.withColumn("_free", free).withColumn("_colon", colon).withColumn("_stop", F.rtrim("text").endswith("."))
     rows = rows.withColumn("_first", F.coalesce(F.col("_free") & (F.col("n") == 1) & lag("_colon"), F.lit(False)))
     rows = rows.withColumn("_link", F.coalesce(F.col("_free") & lag("_free") & (F.col("n") > 1) & (F.col("n") == lag("n") + 1), F.lit(False)))
@@ -226,19 +226,20 @@ def _named(rows: DataFrame) -> DataFrame:
     )
 
 
-def planned(paragraphs: DataFrame, articles: DataFrame) -> DataFrame:
+def planned(paragraphs: DataFrame, articles: DataFrame, colon_at_end: str = COLON_AT_END) -> DataFrame:
     """(article_id, act_id, id, what, new_id, number, part, number_original, implicit, anomalous, text, absorbed, ord): what becomes of each paragraph.
 
     what: `kept`, `absorbed` (a fragment that went to the end of the paragraph which lists it in `absorbed`), `page number` or `heading`; only kept rows
     have a new id. part: `capoverso` for quoted text (number "1.cap2"), `punto` for entries of a list ("1.p2"), `allegato` behind the
     promulgation ("all3"), `ripetizione` for a number that came before ("1.rip2"); number_original is what such a paragraph was called in
     the text. Applied to its own outcome it changes nothing. Paragraphs need id and article_id; a null number or text is empty. Articles are (id, rubric).
+    `colon_at_end` tells the texts behind which a list can start; by default a page number may stand behind the colon.
     """
     rubric = articles.select(F.col("id").alias("article_id"), F.col("rubric").alias("_rubric"))
     number = F.when(F.col("part").isNotNull(), F.coalesce("number_original", "number")).otherwise(F.col("number"))
     rows = paragraphs.select("article_id", "act_id", "id", "ord", F.coalesce(number, F.lit("")).alias("number"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("implicit", F.lit(False)).alias("implicit"))
     rows = rows.join(rubric, "article_id", "left")
-    return _named(_listed(_quoted(_annexed(_sifted(_joined(rows))))))
+    return _named(_listed(_quoted(_annexed(_sifted(_joined(rows)))), colon_at_end))
 
 
 def renumbered(paragraphs: DataFrame, articles: DataFrame) -> tuple[DataFrame, DataFrame]:

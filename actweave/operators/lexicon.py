@@ -21,6 +21,8 @@ EMPTY = (
 )
 
 BUCKETS, SPLITS = 64, 4
+#: Postings that a task sorts at once, more or less.
+POSTINGS = 500_000
 #: Questions of up to so many different terms name them in the scan's filters; more are joined.
 NAMED_TERMS = 2_000
 
@@ -37,10 +39,12 @@ def analysed(text: Column) -> Column:
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, dl, term, tf) of docs by their analysed terms; a document without any has none."""
-    split = graph.spread(docs.select(F.col(key).alias("key"), F.col(text).alias("text"))).select("key", analysed(F.col("text")).alias("_terms"))
-    # the outer form keeps Spark from testing for empty arrays at the scan, where it would analyse every text once more
-    each = split.withColumn("dl", F.size("_terms")).select("key", "dl", F.explode_outer("_terms").alias("term")).filter("term IS NOT NULL")
-    return each.groupBy("key", "dl", "term").agg(F.count("*").alias("tf"))
+    return ranking.counted(graph.spread(docs.select(F.col(key).alias("key"), F.col(text).alias("text"))).select("key", analysed(F.col("text")).alias("_terms")), "key")
+
+
+def _about(docs: DataFrame, text: str) -> int:
+    """How many postings texts have at most, more or less: words have some six letters and a space."""
+    return (docs.agg(F.sum(F.length(text))).first()[0] or 0) // 7
 
 
 def _bucket(buckets: int) -> Column:
@@ -57,8 +61,10 @@ class Lexicon:
         self.terms = spark.read.schema("term string, df long, bucket int").parquet(f"{path}/terms")
 
     @classmethod
-    def _written(cls, spark: SparkSession, rows: DataFrame, path: str, buckets: int) -> Lexicon:
-        dealt = rows.withColumn("bucket", _bucket(buckets)).repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(SPLITS)))
+    def _written(cls, spark: SparkSession, rows: DataFrame, path: str, buckets: int, about: int) -> Lexicon:
+        """Writes rows(key, dl, term, tf), of which there are `about` so many: a bucket has as many files as keep POSTINGS rows in each."""
+        splits = max(SPLITS, -(-about // (buckets * POSTINGS)))
+        dealt = rows.withColumn("bucket", _bucket(buckets)).repartition(buckets * splits, "bucket", F.pmod(F.xxhash64("key"), F.lit(splits)))
         dealt.sortWithinPartitions("bucket", "term", "key").write.partitionBy("bucket").parquet(f"{path}/postings")
         kind = rows.schema["key"].dataType.simpleString()
         own = spark.read.schema(f"key {kind}, dl int, term string, tf long, bucket int").parquet(f"{path}/postings")
@@ -70,7 +76,7 @@ class Lexicon:
     @classmethod
     def build(cls, docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> Lexicon:
         """Builds the index of docs(key, text) in a folder that is not there yet; keys are unique."""
-        return cls._written(docs.sparkSession, postings(docs, key, text), path, buckets)
+        return cls._written(docs.sparkSession, postings(docs, key, text), path, buckets, _about(docs, text))
 
     def updated(self, path: str, changed: DataFrame, gone: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> Lexicon:
         """The index with changed(key, text) in place of what it had of them and without gone(key), in a new folder; texts that stay are not read."""
@@ -78,7 +84,7 @@ class Lexicon:
         if gone is not None:
             drop = drop.unionByName(gone.select(F.col(key).alias("key")))
         stay = self.postings.join(drop.distinct(), "key", "left_anti").select("key", "dl", "term", "tf")
-        return self._written(changed.sparkSession, stay.unionByName(postings(changed, key, text)), path, self.buckets)
+        return self._written(changed.sparkSession, stay.unionByName(postings(changed, key, text)), path, self.buckets, self.postings.count() + _about(changed, text))
 
     def search(self, queries: DataFrame, query_id: str, k: int, key: str = "doc_id", allowed: DataFrame | None = None) -> DataFrame:
         """(query_id, key, score, rank): the k best documents by BM25 for each query(query_id, text), of those in allowed(key) if given.
@@ -96,6 +102,6 @@ class Lexicon:
         idf = F.log(1 + (F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         weighted = asked.join(terms, ["bucket", "term"]).select(query_id, "bucket", "term", idf.alias("idf"))
         part = F.col("tf") / (F.col("tf") + ranking.K1 * (1 - ranking.B + ranking.B * F.col("dl") / F.lit(self.average)))
-        scored = rows.select("bucket", "term", F.col("key").alias(key), part.alias("p")).join(ranking._small(weighted), ["bucket", "term"])
-        score = scored.groupBy(query_id, key).agg(F.round(F.sum(F.col("idf") * (ranking.K1 + 1) * F.col("p")), 6).alias("score"))
+        rows = rows.select("bucket", "term", F.col("key").alias(key), "dl", part.alias("p")).join(ranking._small(weighted.select("bucket", "term").distinct()), ["bucket", "term"], "left_semi")
+        score = ranking.summed(rows, weighted, query_id, key, ["bucket", "term"], self.n).drop("dl")
         return ranking.top(score, k, [query_id], [F.desc("score"), F.asc(key)])

@@ -2,6 +2,7 @@
 
 import duckdb
 
+from actweave.operators import lexicon, ranking
 from actweave.plans import catalogue
 
 
@@ -17,3 +18,36 @@ def test_page_number_behind_a_colon_opens_no_list_in_the_query(spark, tmp_path):
     got = sorted(tuple(r) for r in catalogue.paragraph_order(spark, str(tmp_path)).collect())
     assert got == sorted(con.execute(catalogue.ORACLE_SQL["paragraph_order"]).fetchall())
     assert ("A-9", "P-9-1", "4", None, None, "nei modi di cui appresso: 554", 1) in got and len(got) == 2
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bm25_sums_are_made_where_a_document_lies(spark, monkeypatch):
+    words = "uno due tre quattro cinque sei sette otto nove dieci".split()
+    docs = spark.createDataFrame([(d, " ".join(words[(d * j) % 10] for j in range(1, 2 + d % 7))) for d in range(200)], "doc_id long, text string")
+    asked = spark.createDataFrame([(q, " ".join(words[q : q + 4])) for q in range(6)], "q long, text string")
+    want = sorted(map(tuple, ranking.bm25(docs, asked, "q", 5).collect()))
+    monkeypatch.setattr(ranking, "PAIRS", 50, raising=False)
+    found = ranking.bm25(docs, asked, "q", 5)
+    # 200 documents and 6 queries are 1,200 sums, so 24 tasks; nothing is dealt by pairs
+    plan = planned(found)
+    assert "REPARTITION_BY_NUM" in plan and ", 24)" in plan
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(q#" in x and "doc_id#" in x.split("ENSURE")[0].split("hashpartitioning")[1]]
+    assert sorted(map(tuple, found.collect())) == want
+
+
+def test_terms_are_counted_in_place(spark):
+    docs = spark.createDataFrame([(1, "b a b c, B"), (2, ""), (3, None), (4, "x")], "doc_id long, text string")
+    found = ranking.tokens(docs)
+    assert sorted(map(tuple, found.collect())) == [(1, 5, "a", 1), (1, 5, "b", 3), (1, 5, "c", 1), (4, 1, "x", 1)]
+    assert "HashAggregate" not in planned(found)
+
+
+def test_index_has_more_files_with_more_postings(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lexicon, "POSTINGS", 20, raising=False)
+    docs = spark.createDataFrame([(d, "mutuo casa tassa") for d in range(400)], "doc_id long, text string")
+    lexicon.Lexicon.build(docs, str(tmp_path / "i"), buckets=2)
+    for bucket in (tmp_path / "i" / "postings").glob("bucket=*"):
+        assert len(list(bucket.glob("*.parquet"))) > lexicon.SPLITS

@@ -5,7 +5,8 @@ import random
 
 import duckdb
 
-from actweave.operators import lexicon, ranking
+from actweave.functions import text as tx
+from actweave.operators import graph, lexicon, ranking
 from actweave.plans import catalogue
 
 
@@ -83,3 +84,23 @@ def test_cosine_meets_in_blocks(spark, monkeypatch):
         ranked = sorted((-cos(v, w), i) for i, w, g in rows[:300] if i > q and g != f and cos(v, w) >= 0.1)[:3]
         want += [(q, i, -s, r) for r, (s, i) in enumerate(ranked, 1)]
     assert sorted((r.anchor, r.vec_id, r.score, r["rank"]) for r in later.collect()) == sorted(want)
+
+
+def test_many_representatives_take_few_rounds(spark, monkeypatch):
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    rows = [(i, "k", letters[i % 62] * 5 + letters[(i // 2) % 13] * (3 if i % 4 else 5)) for i in range(150)] + [(200, "k", None), (201, "k", ""), (202, "l", "abc")]
+    reps, want = [], []
+    for i, k, s in rows[:-1]:
+        for j, t in reps:
+            if s is not None and t is not None:
+                ratio = 1.0 if not s + t else round(2 * sum(min(s.count(c), t.count(c)) for c in set(s)) / len(s + t), 6)
+                if ratio >= 0.8:
+                    want.append((i, j, ratio))
+                    break
+        else:
+            reps.append((i, s))
+    writes, plain = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df: writes.append(1) or plain(df))
+    found = graph.represented(spark.createDataFrame(rows, "doc_id long, k string, s string"), ["k"], tx.quick_ratio, 0.8)
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(reps) > 40
+    assert len(writes) < 12

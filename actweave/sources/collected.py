@@ -174,18 +174,19 @@ def resolved_references(voices: DataFrame, changed: DataFrame) -> DataFrame:
     short = F.coalesce((F.length("text") < SHORT_NOTE) & F.col("text").rlike(REFERS), F.lit(False))
     rows = changed.withColumn("refers", short).withColumn("_to", F.coalesce(m, F.when(F.regexp_extract("text", REFERS, 2) != "", F.col("note") - 1)))
     own = F.regexp_extract("act", r"(\d+-\d+)$", 1)
-    rows = rows.withColumn("_act", own)
+    # read several times; of the voices' changes only those that refer to others are dealt again to meet them
+    rows = graph.written(rows.withColumn("_act", own))
     full = rows.filter("NOT refers")
     asks = rows.filter("refers").alias("a")
     told = full.select("doc", F.col("note").alias("_to"), "_act", F.col("article").alias("_article"), F.col("k").alias("_k"), F.col("text").alias("_text"))
     direct = asks.join(told, ["doc", "_to", "_act"]).filter(F.col("_article").isNull() | F.col("article").isNull() | (F.col("_article") == F.col("article")))
     direct = direct.groupBy("doc", "note", "k").agg(F.min_by("_text", "_k").alias("_direct"))
-    each = voices.join(rows, ["doc", "note"])
+    each = graph.written(voices.join(rows, ["doc", "note"]))
     order = F.struct("seg", "is_title", "ord", "note", "k")
     anywhere = each.filter("NOT refers").groupBy("doc", "_act", F.coalesce("article", F.lit("")).alias("_a")).agg(F.min_by("text", order).alias("_any"))
-    out = each.withColumn("_a", F.coalesce("article", F.lit(""))).join(direct, ["doc", "note", "k"], "left").join(anywhere, ["doc", "_act", "_a"], "left")
-    text = F.when(F.col("refers"), F.coalesce("_direct", "_any", "text")).otherwise(F.col("text"))
-    return out.select("doc", "seg", "ord", "is_title", "note", "k", "act", "article", text.alias("text"))
+    plain = ["doc", "seg", "ord", "is_title", "note", "k", "act", "article", "text"]
+    asked = each.filter("refers").withColumn("_a", F.coalesce("article", F.lit(""))).join(direct, ["doc", "note", "k"], "left").join(anywhere, ["doc", "_act", "_a"], "left")
+    return each.filter("NOT refers").select(plain).unionByName(asked.withColumn("text", F.coalesce("_direct", "_any", "text")).select(plain))
 
 
 def title_repealers(tits: DataFrame, changed: DataFrame) -> DataFrame:

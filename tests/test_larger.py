@@ -8,6 +8,7 @@ import duckdb
 from actweave.functions import text as tx
 from actweave.operators import graph, lexicon, ranking
 from actweave.plans import catalogue
+from actweave.sources import collected
 
 
 def test_page_number_behind_a_colon_opens_no_list_in_the_query(spark, tmp_path):
@@ -104,3 +105,12 @@ def test_many_representatives_take_few_rounds(spark, monkeypatch):
     found = graph.represented(spark.createDataFrame(rows, "doc_id long, k string, s string"), ["k"], tx.quick_ratio, 0.8)
     assert sorted(map(tuple, found.collect())) == sorted(want) and len(reps) > 40
     assert len(writes) < 12
+
+
+def test_only_notes_that_refer_are_dealt_again(spark):
+    voices = spark.createDataFrame([("d", 1, n, False, n) for n in range(1, 6)], "doc string, seg int, ord int, is_title boolean, note int")
+    changed = spark.createDataFrame([("d", n, 0, "L-1-2000", "3", None, "vedi nota precedente" if n == 2 else f"testo {n}") for n in range(1, 6)], "doc string, note int, k int, act string, article string, paragraph string, text string")
+    found = collected.resolved_references(voices, changed)
+    assert sorted((r.note, r.text) for r in found.collect()) == [(1, "testo 1"), (2, "testo 1"), (3, "testo 3"), (4, "testo 4"), (5, "testo 5")]
+    # the scan of what refers to nothing comes to the result without a shuffle
+    assert planned(found).count("Exchange hashpartitioning") <= 7 and "Union" in planned(found)

@@ -35,15 +35,17 @@ def article_id(act: Column, number: Column) -> Column:
 
 
 def headings(paragraphs: DataFrame, articles: DataFrame) -> DataFrame:
-    """(id, number, rubric, rest): paragraphs at whose end the heading of a further article stands, and what is left of them.
+    """(id, number, rubric, rest, article_id, ord): paragraphs at whose end the heading of a further article stands, and what is left of them.
 
     The paragraph after it is numbered 1, no quotation is open where the heading begins, the act has no article of that number, and it is the
     number of the article at hand or the next one. Only these paragraphs of an act are looked at in their order.
     """
     order = Window.partitionBy("article_id").orderBy("ord", "id")
-    rows = paragraphs.select("id", "article_id", "act_id", "ord", F.coalesce("text", F.lit("")).alias("text"), F.lead(F.trim("number")).over(order).alias("_n"), F.lead(F.coalesce("implicit", F.lit(False))).over(order).alias("_i"))
-    glued = F.when((F.col("_n") == "1") & ~F.col("_i") & F.col("text").rlike(r"(?U)\)\s*$"), F.col("text").rlike(GLUED))
-    rows = rows.withColumn("_m", marks(F.col("text"))).withColumn("_c", F.coalesce(glued, F.lit(False)))
+    said = F.coalesce("text", F.lit(""))
+    # only texts that can hold a heading are dealt by article, of the others their quotation marks
+    rows = paragraphs.select("id", "article_id", "act_id", "ord", "number", F.coalesce("implicit", F.lit(False)).alias("implicit"), F.when(said.rlike(r"(?U)\)\s*$"), F.when(said.rlike(GLUED), said)).alias("text"), marks(said).alias("_m"))
+    rows = rows.withColumn("_n", F.lead(F.trim("number")).over(order)).withColumn("_i", F.lead("implicit").over(order))
+    rows = rows.withColumn("_c", F.coalesce((F.col("_n") == "1") & ~F.col("_i") & F.col("text").isNotNull(), F.lit(False)))
     rows = rows.withColumn("_g", F.coalesce(F.sum(F.col("_c").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     since = F.array_join(F.collect_list("_m").over(Window.partitionBy("article_id", "_g").orderBy("ord", "id").rowsBetween(Window.unboundedPreceding, -1)), "")
     part = lambda k: F.regexp_extract("text", GLUED, k)
@@ -70,16 +72,21 @@ def headings(paragraphs: DataFrame, articles: DataFrame) -> DataFrame:
         )
 
     accepted = acts.join(taken, "act_id").withColumn("yes", F.aggregate("x", start, step, lambda a: a["out"]))
-    return accepted.select(F.explode(F.filter("x", lambda x: F.array_contains("yes", x["id"]))).alias("x")).select("x.id", "x.number", "x.rubric", "x.rest")
+    return accepted.select(F.explode(F.filter("x", lambda x: F.array_contains("yes", x["id"]))).alias("x")).select("x.id", "x.number", "x.rubric", "x.rest", "x.article_id", "x.ord")
 
 
 def divided(articles: DataFrame, paragraphs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(articles, paragraphs) with an article of its own for each glued heading: articles have `origin` (null for new ones) and `_at`, their place; paragraphs `_at` of theirs."""
-    found = graph.written(headings(paragraphs, articles))
-    order = Window.partitionBy("article_id").orderBy("ord", "id")
-    marked = paragraphs.join(found.select("id", F.col("number").alias("_number"), F.col("rubric").alias("_rubric"), "rest"), "id", "left")
-    marked = marked.withColumn("_k", F.coalesce(F.sum(F.col("rest").isNotNull().cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    new = marked.filter("rest IS NOT NULL").select(F.col("article_id").alias("id"), (F.col("_k") + 1).alias("_k"), "_number", "_rubric")
+    paragraphs = graph.written(paragraphs)
+    found = headings(paragraphs, articles).groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("ord", "id", "number", "rubric", "rest"))).alias("_found"))
+    found = graph.written(found)
+    # an article's few headings come to its paragraphs as one array, so these are dealt once, by article
+    marked = paragraphs.join(found, "article_id", "left")
+    own = F.get(F.filter("_found", lambda x: x["id"] == F.col("id")), 0)
+    before = F.filter("_found", lambda x: F.struct(x["ord"], x["id"]) < F.struct(F.col("ord"), F.col("id")))
+    marked = marked.withColumn("_own", own).withColumn("_k", F.when(F.col("_found").isNull(), 0).otherwise(F.size(before)).cast("long"))
+    marked = marked.select(*paragraphs.columns, "_k", "_own.rest")
+    new = found.select(F.col("article_id").alias("id"), F.posexplode("_found").alias("_at", "x")).select("id", (F.col("_at") + 1).cast("long").alias("_k"), F.col("x.number").alias("_number"), F.col("x.rubric").alias("_rubric"))
     base = articles.withColumn("_k", F.lit(0).cast("long")).withColumn("origin", F.col("id"))
     own = base.drop("_k").join(new, "id").withColumns({"number": F.col("_number"), "rubric": F.col("_rubric"), "origin": F.lit(None).cast("string")})
     keep = {"id", "act_id", "number", "rubric", "ord", "origin", "_k", *PLACED, *(c for c in ("inferred", "tabular") if c in articles.columns)}

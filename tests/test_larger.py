@@ -6,7 +6,7 @@ import random
 import duckdb
 
 from actweave.functions import text as tx
-from actweave.operators import graph, lexicon, ranking
+from actweave.operators import graph, lexicon, ranking, restructure
 from actweave.plans import catalogue
 from actweave.sources import collected
 
@@ -114,3 +114,17 @@ def test_only_notes_that_refer_are_dealt_again(spark):
     assert sorted((r.note, r.text) for r in found.collect()) == [(1, "testo 1"), (2, "testo 1"), (3, "testo 3"), (4, "testo 4"), (5, "testo 5")]
     # the scan of what refers to nothing comes to the result without a shuffle
     assert planned(found).count("Exchange hashpartitioning") <= 7 and "Union" in planned(found)
+
+
+def test_paragraphs_of_divided_articles_are_dealt_by_article_only(spark):
+    blank = ", ".join(f"{c} string" for c in restructure.PLACED)
+    arts = spark.createDataFrame([("T/art-1", "T", "1", None, 1.0, *[None] * 4)], f"id string, act_id string, number string, rubric string, ord double, {blank}")
+    pars = spark.createDataFrame([("a", "T/art-1", "T", "1", "Primo. Art. 2 (Norme)", 0, False), ("b", "T/art-1", "T", "1", "Secondo", 1, False)], "id string, article_id string, act_id string, number string, text string, ord int, implicit boolean")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        articles, paragraphs = restructure.divided(arts, pars)
+        assert "hashpartitioning(id#" not in planned(paragraphs)
+        assert sorted((r.id, r._k, r.text) for r in paragraphs.collect()) == [("a", 0, "Primo."), ("b", 1, "Secondo")]
+        assert sorted((r._k, r.number, r.rubric) for r in articles.collect()) == [(0, "1", None), (1, "2", "Norme")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -1,6 +1,7 @@
 """Composite acts: a law with tables and regulations behind it that have articles of their own, split by configured openings.
 
-Which section a line belongs to is the last opening at or before it, carried along by a window, so lines and intervals never meet as pairs.
+Which section a line belongs to is the last opening at or before it; an act's few openings meet its lines as one array, so lines and intervals never meet as pairs,
+and lines that lie by act stay where they are.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from actweave.functions import citations, ids
+from actweave.operators import graph
 
 # A year alone on its line, a heading with a reference mark.
 YEAR_ALONE = r"(?U)^\s*\d{4}\.?\s*$"
@@ -26,18 +28,45 @@ def mended(lines: DataFrame) -> DataFrame:
     return rows.withColumn("text", whole).filter("_own").select("act_id", "line", F.regexp_replace("text", STARRED, "$1").alias("text"))
 
 
-def opened(lines: DataFrame, sections: DataFrame) -> DataFrame:
-    """(act_id, section, line): the first line that each of sections(act_id, section, opens) opens with its pattern; null where there is none."""
-    found = lines.join(sections.select("act_id", "section", "opens"), "act_id").filter(F.expr("text rlike opens"))
+def marked(lines: DataFrame, sections: DataFrame) -> DataFrame:
+    """(act_id, line, text, _opens, _ends): mended lines of the acts with sections(act_id, section, opens, ends), with the sections whose pattern the line bears and whether it bears the act's end."""
+    conf = sections.groupBy("act_id").agg(F.collect_list(F.struct("section", "opens")).alias("_conf"), F.first("ends").alias("_end"))
+    rows = mended(lines).join(conf, "act_id")
+    return rows.select("act_id", "line", "text", F.expr("transform(filter(_conf, s -> text rlike s.opens), s -> s.section)").alias("_opens"), F.expr("text rlike _end").alias("_ends"))
+
+
+def opened(marked_: DataFrame, sections: DataFrame) -> DataFrame:
+    """(act_id, section, line): the first of the lines of `marked` that bears the pattern of each of sections(act_id, section); null where there is none."""
+    found = marked_.filter(F.size("_opens") > 0).select("act_id", "line", F.explode("_opens").alias("section"))
     return sections.select("act_id", "section").join(found.groupBy("act_id", "section").agg(F.min("line").alias("line")), ["act_id", "section"], "left")
 
 
-def faults(starts: DataFrame) -> DataFrame:
-    """(act_id, section, fault): sections that no line opens, and sections that open before an earlier one of the configuration."""
+def _judged(starts: DataFrame) -> DataFrame:
     order = Window.partitionBy("act_id").orderBy("section").rowsBetween(Window.unboundedPreceding, -1)
     rows = starts.withColumn("_before", F.max("line").over(order))
     fault = F.when(F.col("line").isNull(), "not found").when(F.col("line") < F.col("_before"), "out of order")
-    return rows.select("act_id", "section", fault.alias("fault")).filter("fault IS NOT NULL")
+    return rows.select("act_id", "section", "line", fault.alias("fault"))
+
+
+def faults(starts: DataFrame) -> DataFrame:
+    """(act_id, section, fault): sections that no line opens, and sections that open before an earlier one of the configuration."""
+    return _judged(starts).filter("fault IS NOT NULL").drop("line")
+
+
+def fitting(starts: DataFrame) -> DataFrame:
+    """The openings of acts without a fault."""
+    wrong = F.bool_or(F.col("fault").isNotNull()).over(Window.partitionBy("act_id"))
+    return _judged(starts).withColumn("_wrong", wrong).filter(~F.col("_wrong")).select("act_id", "section", "line")
+
+
+def parted(marked_: DataFrame, starts: DataFrame) -> DataFrame:
+    """(act_id, section, line, text): the lines of `marked` under their sections, for the acts with `starts`, which have no faults (see `divided`)."""
+    rows = marked_.join(starts.groupBy("act_id").agg(F.collect_list(F.struct("line", "section")).alias("_starts")), "act_id")
+    last = F.expr("array_max(filter(_starts, x -> x.line <= line))")
+    rows = rows.withColumn("_last", last).withColumns({"section": F.col("_last.section"), "_end": F.col("_ends") & ~F.coalesce(F.col("_last.line") == F.col("line"), F.lit(False))})
+    ended = F.max(F.when(F.col("_end"), F.col("line"))).over(Window.partitionBy("act_id").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    over = F.when(F.col("_last").isNull(), F.col("_ended").isNotNull()).otherwise(F.coalesce(F.col("_ended") > F.col("_last.line"), F.lit(False)))
+    return rows.withColumn("_ended", ended).filter(~over).select("act_id", "section", "line", "text")
 
 
 def divided(lines: DataFrame, sections: DataFrame) -> DataFrame:
@@ -47,16 +76,12 @@ def divided(lines: DataFrame, sections: DataFrame) -> DataFrame:
     promulgation, which ends the law before the first section, and a section if it comes again. Lines between an end and the next opening belong to nothing and are left
     out. A configuration that the text does not bear out is an error that names the sections. Acts without a configuration are left out.
     """
-    lines = mended(lines)
-    starts = opened(lines, sections)
+    rows = graph.written(marked(lines, sections))
+    starts = graph.written(opened(rows, sections))
     if wrong := [f"{r.act_id} {r.section}: {r.fault}" for r in faults(starts).orderBy("act_id", "section").limit(20).collect()]:
+        graph.discarded(rows, starts)
         raise ValueError("sections " + ", ".join(wrong))
-    ends = sections.groupBy("act_id").agg(F.first("ends").alias("_ends"))
-    rows = lines.join(ends, "act_id").join(starts.select("act_id", "line", F.col("section").alias("_s")), ["act_id", "line"], "left")
-    by = Window.partitionBy("act_id").orderBy("line")
-    rows = rows.withColumn("section", F.last("_s", ignorenulls=True).over(by)).withColumn("_end", F.expr("text rlike _ends") & F.col("_s").isNull())
-    own = Window.partitionBy("act_id", "section").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("_over", F.bool_or("_end").over(own)).filter(~F.col("_over")).select("act_id", "section", "line", "text")
+    return parted(rows, starts)
 
 
 def excluded(divided_: DataFrame, sections: DataFrame) -> DataFrame:

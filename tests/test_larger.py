@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from actweave.functions import text as tx
 from actweave.operators import graph, lexicon, ranking, restructure, twins
 from actweave.plans import catalogue
-from actweave.sources import collected
+from actweave.sources import collected, composite
 
 
 def test_page_number_behind_a_colon_opens_no_list_in_the_query(spark, tmp_path):
@@ -149,3 +149,30 @@ def test_texts_of_twins_are_dealt_by_their_pairs(spark, monkeypatch):
     # some 400 pairs of articles are dealt in tasks of 40, however few bytes they have
     found = twins.homologues(t, pairs)
     assert found.count() == 20 and "REPARTITION_BY_NUM" in planned(found) and ", 10)" in planned(found)
+
+
+def test_lines_of_composite_acts_are_dealt_by_act_only(spark, tmp_path):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = spark.createDataFrame([("L", i, t) for i, t in enumerate(["voce", "fine", "resto", "A", "1982", "fine", "x", "B", "y"])], "act_id string, line int, text string")
+        config = spark.createDataFrame([("L", 1, "^A", "^fine"), ("L", 2, "^B", "^fine")], "act_id string, section int, opens string, ends string")
+        found = composite.divided(lines, config)
+        assert [(r.section, r.text) for r in found.orderBy("line").collect()] == [(None, "voce"), (1, "A 1982"), (2, "B"), (2, "y")]
+        assert "hashpartitioning(act_id" in planned(found) and ", line#" not in "".join(x.split("ENSURE")[0] for x in planned(found).splitlines() if "Exchange" in x)
+        rng = random.Random(15)
+        # an order that is there twice, lines alike in all that orders them but their texts' columns, and acts that don't fit
+        orders = [(o, o % 5) for o in range(60)] + [(7, 2), (11, 3)]
+        items = [(rng.randrange(62), rng.randrange(3), rng.randrange(1, 4), rng.randrange(1, 60), float(rng.choice([10, 49, 50])), 1.0, rng.choice("NRA"), rng.choice("OF")) for _ in range(900)]
+        items = list({x[:4]: x for x in items}.values())
+        spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+        spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string").repartition(4).write.parquet(f"{tmp_path}/lineitem.parquet")
+        con = duckdb.connect()
+        for t in ("orders", "lineitem"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+        query = catalogue.composite_sections(spark, str(tmp_path))
+        got = {tuple(r) for r in query.collect()}
+        assert got == set(con.execute(catalogue.ORACLE_SQL["composite_sections"]).fetchall()) and len(got) > 5
+        # lines meet orders, orders their customers: what is dealt by customer are orders, and nothing is dealt by line
+        assert "posexplode" in planned(query) and ", line#" not in "".join(x.split("ENSURE")[0] for x in planned(query).splitlines() if "Exchange" in x)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

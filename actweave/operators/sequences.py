@@ -12,10 +12,10 @@ def repeats_marked(rows: DataFrame, keys: list[str], number: str, order: list[st
     return rows.withColumn("mark", F.concat(F.col(number).cast("string"), F.when(n > 1, F.concat(F.lit(".rip"), n)).otherwise(F.lit(""))))
 
 
-def sections(rows: DataFrame, keys: list[str], number: str, order: list[str]) -> DataFrame:
-    """`rows` with `section`, from 1: a new one begins where the number does not rise. Nulls begin none and end none."""
-    turn = Window.partitionBy(*keys).orderBy(*order)
-    last = F.last(number, ignorenulls=True).over(turn.rowsBetween(Window.unboundedPreceding, -1))
+def sections(rows: DataFrame, keys: list[str], number: str, order: list[str], past_nulls: bool = True) -> DataFrame:
+    """`rows` with `section`, from 1: a new one begins where the number does not rise. Nulls are last in order and begin no section; a number behind one is held against the last number before it or, without `past_nulls`, against nothing."""
+    turn = Window.partitionBy(*keys).orderBy(*[F.asc_nulls_last(c) for c in order])
+    last = F.last(number, ignorenulls=True).over(turn.rowsBetween(Window.unboundedPreceding, -1)) if past_nulls else F.lag(number).over(turn)
     return rows.withColumn("_new", (F.col(number) <= last).cast("int")).withColumn("section", F.coalesce(F.sum("_new").over(turn.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)) + 1).drop("_new")
 
 

@@ -26,6 +26,21 @@ def test_page_number_behind_a_colon_opens_no_list_in_the_query(spark, tmp_path):
     assert ("A-9", "P-9-1", "4", None, None, "nei modi di cui appresso: 554", 1) in got and len(got) == 2
 
 
+def test_numbers_that_are_missing_end_no_section_in_the_query(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(rng.randrange(40), rng.choice([1, 2, 3, 4, None]), rng.choice([1.0, 2.0, 5.0, 9.0, None])) for _ in range(200)] + [(90, 1, 5.0), (90, 2, None), (90, 3, 3.0), (91, None, 2.0), (91, 1, 4.0)]
+    # rows alike in all that orders them are left out: SQL has no one answer for them
+    spark.createDataFrame(sorted(set(rows), key=str), "l_orderkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    query = catalogue.number_sections(spark, str(tmp_path))
+    # one sort serves both windows, so rows alike in their order are taken in the same order by both
+    assert planned(query).count("Sort [") == 1 and planned(query).count("Exchange") == 1
+    got = sorted(map(str, (tuple(r) for r in query.collect())))
+    assert got == sorted(map(str, con.execute(catalogue.ORACLE_SQL["number_sections"]).fetchall()))
+    assert "(90, 3, 1)" in got and "(91, None, 2)" in got
+
+
 def planned(df):
     return df._jdf.queryExecution().executedPlan().toString()
 

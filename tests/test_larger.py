@@ -125,6 +125,15 @@ def test_every_row_asks_in_the_measured_search(spark, tmp_path, monkeypatch):
     assert got[0].queries == 73 and 0 < got[0].mrr < 1
 
 
+def test_every_row_has_its_similar_later_ones(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ranking, "BLOCK_BYTES", 1_000, raising=False)
+    monkeypatch.setattr(ranking, "TILE", 64, raising=False)
+    con = vectors_of_all_kinds(spark, tmp_path)
+    got = sorted(str(tuple(r)) for r in catalogue.similar_later(spark, str(tmp_path)).collect())
+    assert got == sorted(map(str, con.execute(catalogue.ORACLE_SQL["similar_later"]).fetchall()))
+    assert len(got) > 100
+
+
 def test_products_leave_out_none_of_the_best():
     rng = np.random.default_rng(6)
     # of some only the last digits differ, far below single precision
